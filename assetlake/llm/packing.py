@@ -9,6 +9,7 @@ size doesn't, and a group leaves at most about one sequence half empty.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -28,17 +29,37 @@ BYTES_PER_TOKEN = 3.5
 CACHE_WORDS = 400_000
 
 
+#: Texts of these characters only are the same after NFC, lower-case one by one, and hold no contraction.
+_PLAIN = re.compile("[ \n!-&(-~À-ÖØ-öø-ÿ]*")
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \n]+")
+_PROBE = "Äpfel, x1y22 (straße)... FOO_bar|baz%% año!"
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
 class WordIds:
     """Ids of a text by a tokenizer that never joins across a space or line feed.
 
-    Such texts are tokenised word by word, and each word once while remembered.
+    A plain text is cut into runs of letters, digits and marks, as the tokenizer
+    would cut it, and only runs not met before go to its model. Other texts are
+    looked at word by word: plain words likewise, the rest by the tokenizer itself.
+    If runs give other ids than the tokenizer on a probe, no text counts as plain.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.at: dict[bytes, int] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.at: dict[str, int] = {}
+        self.plain = True
+        self.clear()
+        self.plain = self(_PROBE.encode()).tolist() == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -47,34 +68,53 @@ class WordIds:
         self.ends = np.zeros(1 << 12, np.int64)
         self.n = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        for e, w in zip(self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), words, strict=True):
-            got = e.ids
-            begin = self.ends[self.n]
-            while begin + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            if self.n + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[begin : begin + len(got)] = got
-            self.at[w] = self.n
-            self.n += 1
-            self.ends[self.n] = begin + len(got)
+    def _is_plain(self, text: str) -> bool:
+        return self.plain and "<|" not in text and _PLAIN.fullmatch(text) is not None
+
+    def _parts(self, text: str) -> list[str]:
+        """Runs of a plain text; of another, words that the tokenizer must see are marked with a blank."""
+        if self._is_plain(text):
+            return _RUNS.findall(text.lower())
+        out: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            out += _RUNS.findall(word.lower()) if self._is_plain(word) else [" " + word]
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        found: list[int] = []
+        ends = []
+        begin = int(self.ends[self.n])
+        for n, part in enumerate(parts, self.n):
+            if part[0] == " ":
+                found += self.tokenizer.encode(part[1:], add_special_tokens=False).ids
+            else:
+                text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+                found += [x.id for x in self.model.tokenize(text)]
+            self.at[part] = n
+            ends.append(begin + len(found))
+        while begin + len(found) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(parts) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[begin : begin + len(found)] = found
+        self.ends[self.n + 1 : self.n + 1 + len(parts)] = ends
+        self.n += len(parts)
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        words = raw.replace(b"\n", b" ").split(b" ")
+        parts = self._parts(raw.decode("utf-8", "replace"))
         if self.n > CACHE_WORDS:
             self.clear()
-        known = self.at
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        begin, size = self.ends[k], self.ends[k + 1] - self.ends[k]
-        total = int(size.sum())
-        if not total:
+        known = list(map(self.at.get, parts))
+        if None in known:
+            self._learn([p for p in dict.fromkeys(parts) if p not in self.at])
+            known = list(map(self.at.__getitem__, parts))
+        if not known:
             return np.empty(0, np.uint16)
+        k = np.array(known, np.int64)
+        begin = self.ends[k]
+        size = self.ends[k + 1] - begin
         step = np.cumsum(size)
-        return self.ids[np.arange(total) + np.repeat(begin - step + size, size)]
+        return self.ids[np.arange(step[-1]) + np.repeat(begin - step + size, size)]
 
 
 def best_fit_decreasing(sizes: np.ndarray, length: int) -> np.ndarray:

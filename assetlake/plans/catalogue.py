@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("manifest_queries", "voxel_queries", "point_queries", "metric_queries", "training_queries")
+MODULES: tuple[str, ...] = ("manifest_queries", "voxel_queries", "point_queries", "metric_queries", "training_queries", "job_queries")
 
 
 def queries() -> dict:

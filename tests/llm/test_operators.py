@@ -117,7 +117,18 @@ def brute_sets(texts):
     return out
 
 
-def test_near_duplicates(spark, texts):
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_duplicates(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", block)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    group = []  # alike to the base, less so to each other, some to neither
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        group.append(" ".join(w))
+    texts = texts + group
     sets = brute_sets(texts)
     parent = list(range(len(texts)))
 

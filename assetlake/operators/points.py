@@ -14,6 +14,8 @@ from assetlake.operators.graph import connected_components
 from assetlake.session import cut
 
 XYZ = ("x", "y", "z")
+#: Points of a group up to which all of them are candidates for each other.
+SMALL_GROUP = 64
 
 
 def valid_points(df: DataFrame, limit: float = 1.05) -> DataFrame:
@@ -83,26 +85,34 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
     """
     stats = ref.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_e{a}") for a in XYZ])
     width = F.greatest(F.greatest(*[F.col(f"_e{a}") for a in XYZ]) * F.pow(F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)), F.lit(1e-9))
-    stats = cut(stats.select(*keys, F.least(F.col("_n"), F.lit(k)).alias("_k"), width.alias("_h0")))
+    stats = cut(stats.select(*keys, "_n", F.least(F.col("_n"), F.lit(k)).alias("_k"), width.alias("_h0")))
     r0 = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ]).join(stats, keys)
-    todo = query.select(*keys, "id", *XYZ).join(stats, keys)
+    q0 = query.select(*keys, "id", *XYZ).join(stats.select(*keys, "_n"), keys)
+    w = Window.partitionBy(*keys, "id")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        d = [F.col(a) - F.col(f"n{a}") for a in XYZ]
+        near = pairs.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        return near.withColumn("r", F.row_number().over(w.orderBy("d2", "nid"))).where(F.col("r") <= k)
+
+    # a group that is no larger than what the cells around a point would hold is compared whole
+    few = nearest(q0.where(F.col("_n") <= SMALL_GROUP).drop("_n").join(r0.where(F.col("_n") <= SMALL_GROUP), keys))
+    done = [few.select(*keys, "id", "nid", "d2", "r")]
+    r0 = r0.where(F.col("_n") > SMALL_GROUP).drop("_n")
+    todo = cut(q0.where(F.col("_n") > SMALL_GROUP).drop("_n").join(stats.select(*keys, "_h0"), keys))
     offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijk", strict=True)]) for o in np.ndindex(3, 3, 3)])
-    done = []
     for i in range(max_rounds):
+        if todo.isEmpty():
+            break
         h = F.col("_h0") * float(2**i)
-        r = r0.withColumns({f"_c{a}": F.floor(F.col(f"n{a}") / h) for a in XYZ}).drop("_h0", "_k")
+        r = r0.withColumns({f"_c{a}": F.floor(F.col(f"n{a}") / h) for a in XYZ}).drop("_h0")
         q = todo.withColumn("_h", h).withColumn("_o", F.explode(offsets))
         q = q.withColumns({f"_c{a}": F.floor(F.col(a) / F.col("_h")) + F.col(f"_o.{o}") - 1 for a, o in zip(XYZ, "ijk", strict=True)}).drop("_o")
-        d = [F.col(a) - F.col(f"n{a}") for a in XYZ]
-        near = q.join(r, [*keys, "_cx", "_cy", "_cz"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        w = Window.partitionBy(*keys, "id")
-        near = near.withColumn("r", F.row_number().over(w.orderBy("d2", "nid"))).where(F.col("r") <= k)
+        near = nearest(q.join(r, [*keys, "_cx", "_cy", "_cz"]))
         sure = (F.max("r").over(w) == F.col("_k")) & (F.sqrt(F.max("d2").over(w)) <= F.col("_h"))
         got = cut(near.withColumn("_ok", sure).where("_ok").select(*keys, "id", "nid", "d2", "r"))
         done.append(got)
         todo = cut(todo.join(got.where("r = 1").select(*keys, "id"), [*keys, "id"], "left_anti"))
-        if todo.isEmpty():
-            break
     else:
         raise RuntimeError("neighbour search did not settle")
     return reduce(DataFrame.unionByName, done)

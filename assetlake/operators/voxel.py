@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,9 +160,19 @@ def coalesce_duplicates(vox: DataFrame, channels: int) -> DataFrame:
 
 def to_dense(vox: DataFrame, res: int, value: Column) -> DataFrame:
     """One flat array of res^3 values per batch, 0 where empty."""
+
+    @F.pandas_udf("array<double>")
+    def scatter(at: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for i, x in zip(at, v, strict=True):
+            dense = np.zeros(res**3)
+            dense[i] = x
+            out.append(dense)
+        return pd.Series(out)
+
     at = (F.col("x") * (res * res) + F.col("y") * res + F.col("z")).cast("int")
-    held = vox.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("i"), value.cast("double").alias("v")))).alias("m"))
-    return held.select("b", F.transform(F.sequence(F.lit(0), F.lit(res**3 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("dense"))
+    held = vox.groupBy("b").agg(F.sort_array(F.collect_list(F.struct(at.alias("i"), value.cast("double").alias("v")))).alias("m"))
+    return held.select("b", scatter(F.col("m.i"), F.col("m.v")).alias("dense"))
 
 
 def from_dense(dense: DataFrame, res: int) -> DataFrame:

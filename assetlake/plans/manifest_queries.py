@@ -83,7 +83,7 @@ def prune_counts(t):
     return S.prune_counts(manifest(t), "source", F.col("quality") == 0, F.col("quality").isNull(), F.col("quality") == 1)
 
 
-@R.query("views_json", "SELECT asset, count(*) AS n_views, sum(view) AS sum_view, '{\"frames\":[' || string_agg('{\"view\":' || view || ',\"file_path\":\"' || file_path || '\"}', ',' ORDER BY view) || ']}' AS json FROM (SELECT conv_id AS asset, turn AS view, role || '_' || turn || '.png' AS file_path FROM conversations) GROUP BY asset")
+@R.query("views_json", "SELECT asset, count(*) AS n_views, sum(view)::BIGINT AS sum_view, '{\"frames\":[' || string_agg('{\"view\":' || view || ',\"file_path\":\"' || file_path || '\"}', ',' ORDER BY view) || ']}' AS json FROM (SELECT conv_id AS asset, turn AS view, role || '_' || turn || '.png' AS file_path FROM conversations) GROUP BY asset")
 def views_json(t):
     v = t.conversations.select(F.col("conv_id").alias("asset"), F.col("turn").alias("view"), F.concat("role", F.lit("_"), "turn", F.lit(".png")).alias("file_path"))
     return S.views_json(v, "asset", ["view", "file_path"]).join(v.groupBy("asset").agg(F.count("*").alias("n_views"), F.sum("view").alias("sum_view")), "asset")

@@ -255,10 +255,12 @@ def test_curves(spark):
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     pts = np.concatenate([rng.normal(0, 0.01, (60, 3)), rng.uniform(-5, 5, (60, 3)), [[90.0, 0, 0]]])
-    df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(pts)], "a int, id int, x double, y double, z double")
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(pts)] + [(2, i, float(i), 0.0, 0.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "a int, id int, x double, y double, z double")
     got = {}
-    for r in P.knn(df, ["a"], 7).collect():
+    for r in P.knn(df, ["a"], 7).where("a = 1").collect():
         got.setdefault(r.id, {})[r.r] = r.nid
+    assert P.knn(df, ["a"], 7).where("a = 2").count() == 16
     for i, p in enumerate(pts):
         d = ((pts - p) ** 2).sum(axis=1)
         assert [got[i][k + 1] for k in range(7)] == np.lexsort((np.arange(len(pts)), d))[:7].tolist()

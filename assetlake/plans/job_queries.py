@@ -51,7 +51,7 @@ def job_latent_statistics(t):
 
 
 @R.query("job_log_report", """WITH e AS (SELECT step, metric, value FROM (<log>)), s AS (SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, max(value) AS max, count(DISTINCT step // 50) AS windows FROM e GROUP BY metric), b AS (SELECT metric, max(step) AS best_step FROM (SELECT metric, step, value, max(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e) WHERE best IS NULL OR value > best GROUP BY metric)
-SELECT metric, n, mean, max, best_step, windows FROM s JOIN b USING (metric)""")
+SELECT metric, n, mean, max, best_step, windows FROM s JOIN b USING (metric)""", best_step="INT")
 def job_log_report(t):
     return rounded(J.log_report(log(t).select("step", "metric", "value"), 50), 6, "mean").select("metric", "n", "mean", "max", "best_step", "windows")
 

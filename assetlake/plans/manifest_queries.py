@@ -44,7 +44,7 @@ def record_shards(t):
     return S.scan_record_shards(t.spark, path, r"part-.*\.csv$", "doc_id long, quality int, toxic int").select("doc_id", "quality", "toxic")
 
 
-@R.query("jsonl_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, length(props) AS n FROM events")
+@R.query("jsonl_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, length(props) AS n FROM events", n="INT")
 def jsonl_props(t):
     path = scratch(t, "jsonl")
     S.write_jsonl(t.events.select("event_id", "props"), path)

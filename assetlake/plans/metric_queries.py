@@ -185,20 +185,20 @@ def log_rollup(t):
     return rounded(M.log_rollup(log(t), "step", "metric", "value", 100), 6, "mean")
 
 
-@R.query("moving_avg", "SELECT metric, step, CASE WHEN step >= 9 THEN round(avg(value) OVER w, 6) END AS avg10, CASE WHEN step >= 9 THEN round(avg(ln(value + 1e-8)) OVER w, 6) + 0.0 END AS log10 FROM (<log>) WINDOW w AS (PARTITION BY metric ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+@R.query("moving_avg", "SELECT metric, step, CASE WHEN step >= 9 THEN round(avg(value) OVER w, 6) END AS avg10, CASE WHEN step >= 9 THEN round(avg(ln(value + 1e-8)) OVER w, 6) + 0.0 END AS log10 FROM (<log>) WINDOW w AS (PARTITION BY metric ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", step="INT")
 def moving_avg(t):
     a = M.moving_average(log(t), ["metric"], ["step"], F.col("value"), 10, "avg10")
     a = M.moving_average(a, ["metric"], ["step"], F.log(F.col("value") + 1e-8), 10, "log10")
     return a.select("metric", "step", F.round("avg10", 6).alias("avg10"), r6("log10").alias("log10"))
 
 
-@R.query("adaptive_clip", "SELECT metric, step, round(coalesce(lag(th) OVER (PARTITION BY metric ORDER BY step), 100.0), 6) AS threshold FROM (SELECT metric, step, CASE WHEN step >= 19 THEN least(quantile_cont(value, 0.9) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 100.0) ELSE 100.0 END AS th FROM (<log>))")
+@R.query("adaptive_clip", "SELECT metric, step, round(coalesce(lag(th) OVER (PARTITION BY metric ORDER BY step), 100.0), 6) AS threshold FROM (SELECT metric, step, CASE WHEN step >= 19 THEN least(quantile_cont(value, 0.9) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 100.0) ELSE 100.0 END AS th FROM (<log>))", step="INT")
 def adaptive_clip(t):
     c = M.adaptive_clip(log(t), ["metric"], ["step"], "value", 0.9, 20, 100.0)
     return rounded(c.select("metric", "step", "threshold"), 6, "threshold")
 
 
-@R.query("running_best", "SELECT metric, step, value FROM (SELECT metric, step, value, max(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (<log>)) WHERE best IS NULL OR value > best")
+@R.query("running_best", "SELECT metric, step, value FROM (SELECT metric, step, value, max(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (<log>)) WHERE best IS NULL OR value > best", step="INT")
 def running_best(t):
     return M.running_best(log(t), ["metric"], ["step"], "value").select("metric", "step", "value")
 

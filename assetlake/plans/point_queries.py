@@ -40,7 +40,7 @@ def cloud(t: Tables):
     return p.withColumns({"normal": F.array("y", "z", "x"), "curvature": F.abs("x"), "radius": F.abs("y"), **{f"v{a}": F.floor((F.col(a).cast("float").cast("double") + 1) / 2 * 14).cast("int") for a in "xyz"}})
 
 
-@R.query("flat_index", "SELECT asset, slot, f AS flat, f // 196 AS cx, (f // 14) % 14 AS cy, f % 14 AS cz FROM (SELECT asset, slot, greatest(0, least(13, {0})) * 196 + greatest(0, least(13, {1})) * 14 + greatest(0, least(13, {2})) AS f FROM (<pts>))".replace("{0}", _CELL.format("x")).replace("{1}", _CELL.format("y")).replace("{2}", _CELL.format("z")))
+@R.query("flat_index", "SELECT asset, slot, f AS flat, f // 196 AS cx, (f // 14) % 14 AS cy, f % 14 AS cz FROM (SELECT asset, slot, greatest(0, least(13, {0})) * 196 + greatest(0, least(13, {1})) * 14 + greatest(0, least(13, {2})) AS f FROM (<pts>))".replace("{0}", _CELL.format("x")).replace("{1}", _CELL.format("y")).replace("{2}", _CELL.format("z")), flat="BIGINT")
 def flat_index(t):
     p = points(t).withColumn("flat", G.flat_index("x", "y", "z", 14))
     x, y, z = G.flat_to_coords("flat", 14)
@@ -79,7 +79,7 @@ def explode_samples(t):
     return P.dedup_first(p, 0.05, ["asset", "voxel"], ["slot"]).select("asset", "voxel", "slot")
 
 
-@R.query("knn_embeddings", "SELECT asset, slot, nid, r, round(sqrt(d2), 6) AS dist FROM (<knn>)")
+@R.query("knn_embeddings", "SELECT asset, slot, nid, r, round(sqrt(d2), 6) AS dist FROM (<knn>)", r="INT")
 def knn_embeddings(t):
     k = P.knn(points(t).withColumn("id", F.col("slot")), ["asset"], 6)
     return k.select("asset", F.col("id").alias("slot"), "nid", "r", F.round(F.sqrt("d2"), 6).alias("dist"))
@@ -120,12 +120,12 @@ def patches(t: Tables):
     return P.grow_patches(cloud(t), edges(t), "asset", 3)
 
 
-@R.query("grow_patches", "<patch> SELECT asset, cls, id, patch_id FROM patches")
+@R.query("grow_patches", "<patch> SELECT asset, cls, id, patch_id FROM patches", patch_id="INT")
 def grow_patches(t):
     return patches(t)
 
 
-@R.query("cluster_purity", "<patch>, n AS (SELECT asset, patch_id, id % 2 AS face, count(*) AS n FROM patches WHERE patch_id >= 0 GROUP BY ALL) SELECT asset, patch_id, first(face ORDER BY n DESC, face) AS face, max(n) AS top, sum(n)::BIGINT AS size, round(max(n) / sum(n), 6) AS purity FROM n GROUP BY ALL")
+@R.query("cluster_purity", "<patch>, n AS (SELECT asset, patch_id, id % 2 AS face, count(*) AS n FROM patches WHERE patch_id >= 0 GROUP BY ALL) SELECT asset, patch_id, first(face ORDER BY n DESC, face) AS face, max(n) AS top, sum(n)::BIGINT AS size, round(max(n) / sum(n), 6) AS purity FROM n GROUP BY ALL", patch_id="INT")
 def cluster_purity(t):
     p = patches(t).withColumn("face", F.col("id") % 2)
     return P.patch_purity(p, ["asset"], "patch_id", "face").withColumn("purity", F.round("purity", 6))

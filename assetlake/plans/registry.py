@@ -26,13 +26,17 @@ class Registry:
         self.oracles: dict[str, str] = {}
         self.sql = sql  # named fragments, put in for <name>
 
-    def query(self, name: str, sql: str | None = None):
+    def query(self, name: str, sql: str | None = None, **kinds: str):
+        """Register a query with its SQL; ``kinds`` names SQL types that some columns of it take."""
+
         def add(f: Callable[[Tables], DataFrame]):
             self.queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             if sql:
                 text = sql
                 for k, v in self.sql.items():
                     text = text.replace(f"<{k}>", v)
+                if kinds:
+                    text = f"SELECT * REPLACE ({', '.join(f'CAST(\"{c}\" AS {k}) AS \"{c}\"' for c, k in kinds.items())}) FROM ({text})"
                 self.oracles[name] = text
             return f
 

@@ -125,12 +125,12 @@ def upsample(t):
     return wide(V.upsample(v, V.downsample(v, (2, 2, 2), 2), 2), "n", "q")
 
 
-@R.query("subdivide", "SELECT b, x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z, n, q FROM (<vox>), range(2) a(i), range(2) e(j), range(2) c(k)")
+@R.query("subdivide", "SELECT b, x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z, n, q FROM (<vox>), range(2) a(i), range(2) e(j), range(2) c(k)", x="INT", y="INT", z="INT")
 def subdivide(t):
     return wide(V.subdivide(voxels(t)), "n", "q")
 
 
-@R.query("cube_verts", "SELECT b, x + i AS x, y + j AS y, z + k AS z, count(*) AS k, round(avg(n), 6) AS n, round(avg(q), 6) AS q, round(var_pop(n), 6) + 0.0 AS vn FROM (<vox>), range(2) a(i), range(2) e(j), range(2) c(k) GROUP BY ALL")
+@R.query("cube_verts", "SELECT b, x + i AS x, y + j AS y, z + k AS z, count(*) AS k, round(avg(n), 6) AS n, round(avg(q), 6) AS q, round(var_pop(n), 6) + 0.0 AS vn FROM (<vox>), range(2) a(i), range(2) e(j), range(2) c(k) GROUP BY ALL", x="INT", y="INT", z="INT")
 def cube_verts(t):
     return wide(V.cubes_to_verts(voxels(t), 2).withColumn("vn", r6(F.col("variance")[0])).drop("variance"), "n", "q")
 
@@ -186,13 +186,13 @@ def zorder(t):
 w AS (SELECT b, n, k, unnest(range(k)) AS win FROM (SELECT DISTINCT b, n, CAST(ceil(n / 32) AS BIGINT) AS k FROM v)),
 s AS (SELECT b, n, win, k, floor(win * (n / k)) AS lo, floor((win + 1) * (n / k)) AS hi, CASE WHEN k = 1 THEN 0 ELSE floor((win + 0.5::DOUBLE) * (n / k) - 16) END AS begin, unnest(range(CASE WHEN k = 1 THEN n ELSE 32 END)) AS slot FROM w),
 p AS (SELECT b, win, slot, CAST((begin + slot + n) % n AS BIGINT) AS position, k = 1 OR (begin + slot >= lo AND begin + slot < hi) AS valid FROM s)
-SELECT p.b, p.win AS "window", p.slot, p.position, p.valid, v.x, v.y, v.z FROM p JOIN v USING (b, position)""")
+SELECT p.b, p.win AS "window", p.slot, p.position, p.valid, v.x, v.y, v.z FROM p JOIN v USING (b, position)""", window="INT", slot="INT", position="INT")
 def serialize_windows(t):
     v = voxels(t).select("b", "x", "y", "z")
     return V.serialize_windows(v, 32, G.zorder_code("x", "y", "z")).select("b", "window", "slot", "position", "valid", "x", "y", "z")
 
 
-@R.query("window_partition", "SELECT b, x, y, z, (x + 2) // 4 AS wx, (y + 2) // 4 AS wy, (z + 2) // 4 AS wz, row_number() OVER (PARTITION BY b, (x + 2) // 4, (y + 2) // 4, (z + 2) // 4 ORDER BY x, y, z) - 1 AS slot, count(*) OVER (PARTITION BY b, (x + 2) // 4, (y + 2) // 4, (z + 2) // 4) AS rows FROM (<vox>)")
+@R.query("window_partition", "SELECT b, x, y, z, (x + 2) // 4 AS wx, (y + 2) // 4 AS wy, (z + 2) // 4 AS wz, row_number() OVER (PARTITION BY b, (x + 2) // 4, (y + 2) // 4, (z + 2) // 4 ORDER BY x, y, z) - 1 AS slot, count(*) OVER (PARTITION BY b, (x + 2) // 4, (y + 2) // 4, (z + 2) // 4) AS rows FROM (<vox>)", slot="INT")
 def window_partition(t):
     return V.window_partition(voxels(t), 4, 2)
 
@@ -215,7 +215,7 @@ def select_batches(t):
     return u.groupBy("b", "x", "y", "z").pivot("channel", [0, 1]).agg(F.first("value")).withColumnsRenamed({"0": "channel0", "1": "channel1"})
 
 
-@R.query("collate", "WITH g AS (SELECT s_suppkey AS b, s_nationkey AS grp, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS batch FROM supplier) SELECT grp AS \"group\", batch, v.b, x, y, z, n, q FROM (<vox>) v JOIN g ON g.b = v.b")
+@R.query("collate", "WITH g AS (SELECT s_suppkey AS b, s_nationkey AS grp, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS batch FROM supplier) SELECT grp AS \"group\", batch, v.b, x, y, z, n, q FROM (<vox>) v JOIN g ON g.b = v.b", batch="INT")
 def collate(t):
     g = t.supplier.select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("b"))
     return wide(V.collate(voxels(t), g), "n", "q")
@@ -247,7 +247,7 @@ def octree_rollup(t):
 p AS (SELECT *, count(*) FILTER (WHERE mask < 0) OVER w AS asks, sum(value) OVER w AS total FROM l WINDOW w AS (PARTITION BY b, x // 2, y // 2, z // 2))
 SELECT DISTINCT b, 3 AS d, x // 2 AS x, y // 2 AS y, z // 2 AS z, total AS value FROM p WHERE mask < 0 AND asks = 8
 UNION ALL SELECT b, 5, x * 2 + i, y * 2 + j, z * 2 + k, value FROM p, range(2) a(i), range(2) e(j), range(2) c(k) WHERE mask > 0
-UNION ALL SELECT b, d, x, y, z, value FROM p WHERE mask = 0 OR (mask < 0 AND asks < 8)""")
+UNION ALL SELECT b, d, x, y, z, value FROM p WHERE mask = 0 OR (mask < 0 AND asks < 8)""", x="INT", y="INT", z="INT")
 def octree_refine(t):
     n = F.col("feats")[0]
     mask = F.when((F.col("x") < 8) & (F.col("y") < 8), -1).when(n > 2, 1).otherwise(0)
@@ -318,7 +318,7 @@ def crop_box(t):
     return op(pixels, "asset", 2)
 
 
-@R.query("class_color", "SELECT cls, list_position(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], cls) - 1 AS class_id, count(*) AS n FROM (<pts>) GROUP BY ALL")
+@R.query("class_color", "SELECT cls, list_position(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], cls) - 1 AS class_id, count(*) AS n FROM (<pts>) GROUP BY ALL", class_id="BIGINT")
 def class_color(t):
     ids = F.array_position(F.array(*[F.lit(x) for x in CLASSES]), F.col("cls")) - 1
     return points(t).groupBy("cls").agg(F.count("*").alias("n")).select("cls", ids.alias("class_id"), "n")

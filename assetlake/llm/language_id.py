@@ -30,10 +30,15 @@ LANGUAGES = 256
 #: Code points of text handled at once.
 CHUNK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _table: list[np.ndarray] = []
 
 
+def has_letter(text: str) -> bool:
+    """The pattern also finds number signs such as superscripts, which are no letters."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def _letters() -> np.ndarray:
     """Per code point: itself if a letter, else a blank."""
     if not _table:
@@ -101,7 +106,7 @@ class BitSliced:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (0 to 1: best against runner-up), share of n-grams covered."""
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not has_letter(text):
             return "und", 0.0, 0.0
         n, hits = 0, np.zeros(len(self.langs))
         for part in _chunks(text):

@@ -272,6 +272,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
         return lambda b: {"doc_id": b.column(0), "z": [zip_.compress(x or b"") for x in raw_texts(b.column(1))]}
 
     packed = map_rows(docs, zipped, "doc_id long, z binary")
-    some = packed.join(hits, "doc_id").select("doc_id", "z", "marks")
+    # marks grow with the texts, so they are never broadcast: the plan is the same at every size
+    some = packed.join(hits.hint("merge"), "doc_id").select("doc_id", "z", "marks")
     later = marks(some.mapInArrow(_window_batches(buckets, window, block), _PACKED_DDL), _later_in_bucket, "later-windows")
-    return map_rows(packed.join(later, "doc_id", "left").select("doc_id", "z", "marks"), _finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>")
+    return map_rows(packed.join(later.hint("merge"), "doc_id", "left").select("doc_id", "z", "marks"), _finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>")

@@ -308,7 +308,7 @@ def test_language(spark):
         k = sorted(alphabets)[i % 3]
         lang[i] = k
         texts.append(" ".join("".join(rng.choices(alphabets[k], k=5)) for _ in range(40)))
-    texts += [None, "", "123 !!"]
+    texts += [None, "", "123 !! x² ½".replace("x", "")]
     got = {r.doc_id: r for r in language_id.identify(frame(spark, texts, lang)).collect()}
     assert all(got[i].lang_pred == lang[i] for i in range(120) if got[i].held_out)
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)

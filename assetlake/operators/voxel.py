@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +61,11 @@ def neighbours(vox: DataFrame, half: bool = False) -> DataFrame:
 
 
 def voxel_components(vox: DataFrame, res: int) -> DataFrame:
-    """26-connected component of each voxel, all assets at once: the least flat index in it."""
+    """26-connected component of each voxel, all assets at once: the least flat index in it.
+
+    As a graph job, for grids too large for one task; ``component_sizes`` takes an
+    asset at a time.
+    """
     cube = res**3
     node = lambda s: F.col("b") * cube + F.col(f"x{s}") * (res * res) + F.col(f"y{s}") * res + F.col(f"z{s}")
     edges = neighbours(vox, half=True).select(node("0").alias("u"), node("").alias("v"))
@@ -69,11 +74,48 @@ def voxel_components(vox: DataFrame, res: int) -> DataFrame:
     return ids.join(found, "node", "left").select(*KEY, (F.coalesce("component", "node") - F.col("b") * cube).alias("component"))
 
 
+def grid_labels(coords: np.ndarray, res: int) -> np.ndarray:
+    """26-connected component of each row of ``coords`` (n x 3): the least row number in it."""
+    n = len(coords)
+    at = np.full((res + 2,) * 3, -1, np.int32)
+    x, y, z = (coords.astype(np.int64) + 1).T
+    at[x, y, z] = np.arange(n)
+    ends = []
+    for i, j, k in np.ndindex(3, 3, 3):
+        if (i, j, k) > (1, 1, 1):
+            v = at[x + i - 1, y + j - 1, z + k - 1]
+            u = np.flatnonzero(v >= 0)
+            ends.append((u, v[u]))
+    u, v = (np.concatenate(e) for e in zip(*ends, strict=True))
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def component_sizes(vox: DataFrame, res: int) -> DataFrame:
+    """Per asset: components, size of the largest, voxels. One task holds one asset, at most res^3 voxels."""
+
+    def run(t: pa.Table) -> pa.Table:
+        coords = np.unique(np.stack([t.column(a).to_numpy() for a in XYZ], axis=1), axis=0)
+        sizes = np.bincount(grid_labels(coords, res))
+        row = [t.column("b")[0].as_py(), int(np.count_nonzero(sizes)), int(sizes.max()), len(coords)]
+        return pa.Table.from_arrays([pa.array([v], pa.int64()) for v in row], names=["b", "component_count", "largest_component_size", "total_voxels"])
+
+    kept = vox.select(F.col("b").cast("long").alias("b"), *XYZ)
+    return kept.groupBy("b").applyInArrow(run, "b long, component_count long, largest_component_size long, total_voxels long")
+
+
 def component_metrics(vox: DataFrame, assets: DataFrame, res: int) -> DataFrame:
     """Per asset: components, size and share of the largest, share of the rest, voxels; zeros when empty."""
-    sizes = voxel_components(vox, res).groupBy("b", "component").agg(F.count("*").alias("n"))
-    got = sizes.groupBy("b").agg(F.count("*").alias("component_count"), F.max("n").alias("largest_component_size"), F.sum("n").alias("total_voxels"))
-    out = assets.select("b").join(got, "b", "left")
+    out = assets.select("b").join(component_sizes(vox, res), "b", "left")
     n = F.coalesce("total_voxels", F.lit(0))
     ratio = F.when(n > 0, F.col("largest_component_size") / n).otherwise(0.0)
     return out.select("b", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("component_count", "largest_component_size", "total_voxels")], ratio.alias("largest_component_ratio"), F.when(n > 0, 1 - ratio).otherwise(0.0).alias("small_component_ratio"))

@@ -9,7 +9,6 @@ from assetlake.functions import geometry as G
 from assetlake.operators import curation as Q
 from assetlake.operators import voxel as V
 from assetlake.plans.registry import Registry, Tables, r6
-from assetlake.session import cut
 
 RES = 14
 _CELL = "greatest(0, least(13, CAST(floor((CAST({0} AS FLOAT)::DOUBLE + 1) / 2 * 14) AS INT)))"
@@ -91,7 +90,7 @@ def components(t):
 
 
 def metrics(t):
-    v = cut(voxels(t).select("b", "x", "y", "z"))
+    v = V.cells(points(t), RES).select(F.col("asset").alias("b"), *[F.col(f"v{a}").alias(a) for a in "xyz"]).distinct()
     return V.component_metrics(v, t.supplier.select(F.col("s_suppkey").alias("b")), RES)
 
 

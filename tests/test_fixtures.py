@@ -287,3 +287,15 @@ def test_refined_normals_keep_sign(spark):
     df = spark.createDataFrame(rows, "a int, id int, x double, y double, z double, cls int, normal array<double>, radius double")
     for r in P.refine_normals(df, P.knn(df, ["a"], 8), ["a"], (1,), 0.1).collect():
         assert r.normal[2] < -0.999
+
+
+def test_grid_labels_equal_the_graph_job(spark):
+    rng = np.random.default_rng(11)
+    cells = np.unique(rng.integers(0, 9, (150, 3)), axis=0)
+    snake = np.array([(i, 0 if i % 2 else 1, 10) for i in range(12)])
+    coords = np.concatenate([cells, snake])
+    label = V.grid_labels(coords, 12)
+    v = vox(spark, [(1, *map(int, c), None) for c in coords])
+    other = {(r.x, r.y, r.z): r.component for r in V.voxel_components(v, 12).collect()}
+    pairs = {(int(a), other[tuple(map(int, c))]) for a, c in zip(label, coords)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})

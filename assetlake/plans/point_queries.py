@@ -203,3 +203,18 @@ def farthest_points(t):
 def metric_summary(t):
     s = P.summarize(t.lineitem, "l_extendedprice", ["l_returnflag"])
     return s.withColumns({c: F.round(c, 4) for c in ("mean", "median", "p90", "p95")})
+
+
+@R.query("shape_reason", "SELECT vec_id AS stem, CASE WHEN vec_id % 29 = 0 THEN 'invalid_blob' WHEN vec_id % 13 = 0 THEN 'invalid_face_grid_shape' WHEN vec_id % 17 = 0 THEN 'invalid_edge_grid_shape' WHEN vec_id % 19 = 0 THEN 'invalid_face_bbox_shape' WHEN vec_id % 23 = 0 THEN 'invalid_face_mask_shape' WHEN vec_id % 11 = 0 THEN 'face_grid_count_mismatch' WHEN vec_id % 7 = 0 THEN 'edge_bbox_count_mismatch' WHEN vec_id % 5 = 0 THEN 'face_types_count_mismatch' WHEN NOT embedding[1] > 0 THEN 'empty_face_mask' END AS reason FROM embeddings")
+def shape_reason(t):
+    """Shapes as a vector's number has them, the mask from its first value."""
+    from assetlake.operators.curation import shape_reason as op
+
+    odd = lambda k: (F.col("vec_id") % k == 0).cast("int")
+    one = lambda k, a, b: F.when(F.col("vec_id") % k == 0, F.array(*map(F.lit, a))).otherwise(F.array(*map(F.lit, b)))
+    shapes = {
+        "face_points": one(13, (4, 4, 3), (4, 4, 4, 3)), "edge_points": one(17, (3, 3), (3, 8, 3)), "face_bbox": F.array(F.lit(4), 6 - odd(19)), "edge_bbox": F.array(3 + odd(7), F.lit(6)),
+        "face_edge": F.array(4 + odd(11), F.lit(3)), "face_mask": one(23, (4,), (4, 4, 4)), "face_types": F.array(4 - odd(5)),
+    }
+    rows = t.embeddings.select("vec_id", (F.col("vec_id") % 29 == 0).alias("invalid"), (F.col("embedding")[0] > 0).alias("any_mask"), *[s.alias(f"{n}_shape") for n, s in shapes.items()])
+    return rows.select(F.col("vec_id").alias("stem"), op().alias("reason"))

@@ -22,11 +22,12 @@ from assetlake.llm.common import map_rows, prepare, raw_texts
 
 LENGTH = 4096
 END_ID = 1
-#: Sequences that one group of pieces fills, about.
-GROUP_SEQUENCES = 1024
+#: Sequences that one group of pieces fills, about; fewer where groups carry the ids themselves.
+GROUP_SEQUENCES, MATRIX_SEQUENCES = 1024, 384
 #: UTF-8 bytes per token, to choose the number of groups.
 BYTES_PER_TOKEN = 3.5
-CACHE_WORDS = 400_000
+#: Runs that one worker remembers, some 100 MB.
+CACHE_WORDS = 1_000_000
 
 
 #: Texts of these characters only are the same after NFC, lower-case one by one, and hold no contraction.
@@ -106,7 +107,7 @@ class WordIds:
             self.clear()
         known = list(map(self.at.get, parts))
         if None in known:
-            self._learn([p for p in dict.fromkeys(parts) if p not in self.at])
+            self._learn(list(dict.fromkeys([p for p, k in zip(parts, known, strict=True) if k is None])))
             known = list(map(self.at.__getitem__, parts))
         if not known:
             return np.empty(0, np.uint16)
@@ -267,7 +268,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, method
 _SEQUENCE = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids binary, position_ids binary"
 
 
-def packed_matrix(docs: DataFrame, tokenizer: str, length: int = LENGTH, method: str = "best_fit_decreasing", end_id: int = END_ID, pad_id: int = 0, sequences: int = GROUP_SEQUENCES) -> DataFrame:
+def packed_matrix(docs: DataFrame, tokenizer: str, length: int = LENGTH, method: str = "best_fit_decreasing", end_id: int = END_ID, pad_id: int = 0, sequences: int = MATRIX_SEQUENCES) -> DataFrame:
     """One row per sequence: the id row padded to ``length``, cumulative segment lengths, positions.
 
     ``ids`` and ``position_ids`` are little-endian 16-bit; positions start again at 0

@@ -73,11 +73,12 @@ def _split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 def _probe_batches(buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
             ids, hashes, aligned, first = [], [], [], [0]
-            for doc, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-                found = [] if raw is None else raw.split()
-                if doc is None or len(found) < window:
+            for doc, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = unzip.decompress(z).split()
+                if len(found) < window:
                     continue
                 h = ngram_hashes(words.of(found), block)
                 ids.append(doc)
@@ -264,15 +265,14 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
         hits = packed.groupBy("k").applyInArrow(match, _PACKED_DDL).groupBy("batch").applyInArrow(_by_document, "doc_id long, marks binary")
         return materialize(hits.dropDuplicates(["doc_id"]), name)
 
-    once = docs.where("doc_id is not null")
-    hits = marks(once.mapInArrow(_probe_batches(buckets, window, block), _PACKED_DDL), _match_bucket, "block-hits")
-
     def zipped():
         zip_ = zstandard.ZstdCompressor(level=3)
         return lambda b: {"doc_id": b.column(0), "z": [zip_.compress(x or b"") for x in raw_texts(b.column(1))]}
 
     packed = map_rows(docs, zipped, "doc_id long, z binary")
+    once = packed.where("doc_id is not null").groupBy("doc_id").agg(F.min("z").alias("z"))  # repeated rows are one document
+    hits = marks(once.mapInArrow(_probe_batches(buckets, window, block), _PACKED_DDL), _match_bucket, "block-hits")
     # marks grow with the texts, so they are never broadcast: the plan is the same at every size
-    some = packed.join(hits.hint("merge"), "doc_id").select("doc_id", "z", "marks")
+    some = once.join(hits.hint("merge"), "doc_id").select("doc_id", "z", "marks")
     later = marks(some.mapInArrow(_window_batches(buckets, window, block), _PACKED_DDL), _later_in_bucket, "later-windows")
     return map_rows(packed.join(later.hint("merge"), "doc_id", "left").select("doc_id", "z", "marks"), _finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>")

@@ -206,6 +206,19 @@ def test_repeated_passages(spark, texts):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_are_one_document(spark, parts):
+    rng = random.Random(6)
+    texts = [words(rng, 40, 5000) for _ in range(3)]
+    texts.append(f"{words(rng, 10, 5000)} {texts[1]} {words(rng, 10, 5000)}")  # repeats a passage of a repeated row
+    texts.append(" ".join(texts[2].split()[:25] * 2))  # repeats itself and another
+    expected = brute_passages(texts)
+    docs = frame(spark, texts)
+    got = substring_dedup.repeated_passages(docs.union(docs).union(docs.where("doc_id in (1, 4)")).repartition(parts)).collect()
+    assert Counter(r.doc_id for r in got) == {0: 2, 1: 3, 2: 2, 3: 2, 4: 3}
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == expected[r.doc_id] for r in got)
+
+
 def test_pieces_and_packing(spark, texts):
     from tokenizers import Tokenizer
 

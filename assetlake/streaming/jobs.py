@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from assetlake.operators.manifest import merge_records
 from assetlake.sources.files import replace_table
 
+#: Rows of one frame that a stream puts out.
+FRAME_ROWS = 10_000
+
 
 def drain(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over everything that is there and stop; ``sink(batch, id)`` gets each batch."""
@@ -56,9 +59,9 @@ def sessions(events: DataFrame, ts: str, by: str, gap: str, delay: str = "10 min
 def _keep_best(better):
     def run(key, batches, state):
         best = state.get if state.exists else (None, None)
-        for pdf in batches:
-            for step, value in pdf.sort_values("step")[["step", "value"]].itertuples(index=False):
-                if best[1] is None or better(value, best[1]):
+        for pdf in batches:  # rows come in any order: of equal values the smaller step stays
+            for step, value in pdf.dropna(subset=["value"])[["step", "value"]].itertuples(index=False):
+                if best[1] is None or better(value, best[1]) or (value == best[1] and step < best[0]):
                     best = (int(step), float(value))
         if best[1] is not None:
             state.update(best)
@@ -68,7 +71,7 @@ def _keep_best(better):
 
 
 def stream_best(log: DataFrame, mode: str = "max") -> DataFrame:
-    """Best (step, value) of each run so far, kept across restarts; log rows are (run, step, value)."""
+    """Best (step, value) of each run so far, the smaller step of equal values, kept across restarts; log rows are (run, step, value)."""
     better = (lambda a, b: a > b) if mode == "max" else (lambda a, b: a < b)
     return log.groupBy("run").applyInPandasWithState(_keep_best(better), "run string, step long, best double", "step long, best double", "update", "NoTimeout")
 
@@ -79,9 +82,11 @@ def _clip(percentile: float, buffer: int, cap: float):
     def run(key, batches, state):
         ring, = state.get if state.exists else ([],)
         ring = list(ring)
-        for pdf in batches:
+        # a group comes in several frames, in any order: it is put in order as a whole
+        rows = pd.concat([pdf[["step", "value"]] for pdf in batches]).sort_values(["step", "value"])
+        for lo in range(0, len(rows), FRAME_ROWS):
             out = []
-            for step, value in pdf.sort_values("step")[["step", "value"]].itertuples(index=False):
+            for step, value in rows.iloc[lo : lo + FRAME_ROWS].itertuples(index=False):
                 if not np.isfinite(value):
                     continue
                 full = len(ring) >= buffer
@@ -94,7 +99,11 @@ def _clip(percentile: float, buffer: int, cap: float):
 
 
 def stream_clip(log: DataFrame, percentile: float, buffer: int, cap: float) -> DataFrame:
-    """Clip threshold of each step from a ring of the last finite norms; rows of a batch must follow the earlier batches."""
+    """Clip threshold of each step from a ring of the last finite norms; rows of a batch must follow the earlier batches.
+
+    Within a batch rows may come in any order. A run's rows of one batch are held by one
+    task, two numbers a row; the source's limits (``maxFilesPerTrigger``) bound a batch.
+    """
     return log.groupBy("run").applyInPandasWithState(_clip(percentile, buffer, cap), "run string, step long, threshold double", "ring array<double>", "append", "NoTimeout")
 
 

@@ -151,6 +151,24 @@ def test_streams_keep_state_between_runs(spark, tmp_path):
     assert sorted((r.step, r.threshold) for r in spark.read.parquet(f"{out}-clip").collect()) == sorted((r.step, r.threshold) for r in batch.collect())
 
 
+def test_streams_take_rows_in_any_order(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "run string, step long, value double"
+    rows = [("r", i, float(i * 37 % 101)) for i in range(600)]
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(src)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "50")
+    try:
+        for kind, job, mode in (("best", J.stream_best, "update"), ("clip", lambda s: J.stream_clip(s, 0.5, 3, 1000.0), "append")):
+            J.drain(job(spark.readStream.schema(schema).parquet(src)), lambda b, n, kind=kind: b.write.mode("append").parquet(str(tmp_path / kind)), str(tmp_path / f"ck-{kind}"), mode)
+    finally:
+        spark.conf.set(name, old)
+    batch = X.adaptive_clip(spark.createDataFrame(rows, schema), ["run"], ["step"], "value", 0.5, 3, 1000.0)
+    assert sorted((r.step, r.threshold) for r in spark.read.parquet(str(tmp_path / "clip")).collect()) == sorted((r.step, r.threshold) for r in batch.collect())
+    best = spark.read.parquet(str(tmp_path / "best")).first()
+    assert (best.step, best.best) == (min(i for _, i, v in rows if v == 100.0), 100.0)
+
+
 def test_user_code(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, None)], "k int, v array<double>")
     got = {r.k: r for r in U.map_assets(df, "k", lambda r: None if r["k"] == 2 else {"total": float(sum(r["v"]))}, "total double").collect()}

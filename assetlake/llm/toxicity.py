@@ -1,6 +1,7 @@
 """Operator 8: toxicity by a factorization machine over hashed terms.
 
-A document is the set of its lower-cased terms, hashed. A bounded sample of labelled
+A document is the set of its lower-cased terms, hashed: its words and their
+beginnings, so that an inflected word shares terms with its other forms. A bounded sample of labelled
 rows gives document counts per class, the most telling terms, and a model with a
 weight and a short vector per term: the score of a text is the logistic of all
 weights plus all pairwise products of vectors, so that two terms together can say
@@ -10,6 +11,7 @@ more than the sum of both.
 from __future__ import annotations
 
 import string
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +29,31 @@ TRAIN_ROWS = 20_000
 BUCKETS, TERMS, FACTORS = 1 << 22, 2048, 8
 EPOCHS, BATCH, RATE, L2 = 20, 256, 0.1, 1e-3
 CACHE_WORDS = 500_000
+#: Lengths of the beginnings of a longer word that are terms too.
+STEMS = range(3, 7)
 _EDGES = string.punctuation + "“”‘’«»…–—"
 
 
 class Terms(dict):
-    """Word (bytes) to term bucket, or to the model's index of it; -1: none. Remembered."""
+    """Word (bytes) to its term buckets, or to the model's indexes of those it has. Remembered."""
 
     def __init__(self, index: dict[int, int] | None = None):
         super().__init__()
         self.index = index
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
         term = word.decode("utf-8", "replace").lower().strip(_EDGES)
-        k = xxhash.xxh3_64_intdigest(term.encode()) % BUCKETS if term else -1
-        if k >= 0 and self.index is not None:
-            k = self.index.get(k, -1)
-        self[word] = k
-        return k
+        keys = [term, *(f"{term[:n]}\0" for n in STEMS if n < len(term))] if term else []
+        out = (xxhash.xxh3_64_intdigest(k.encode()) % BUCKETS for k in keys)
+        if self.index is not None:
+            out = (self.index[k] for k in out if k in self.index)
+        got = self[word] = tuple(out)
+        return got
 
     def of(self, raw: bytes | None) -> list[int]:
-        found = set(map(self.__getitem__, set((raw or b"").split())))
-        found.discard(-1)
-        return sorted(found)
+        return sorted(set(chain.from_iterable(map(self.__getitem__, set((raw or b"").split())))))
 
 
 class FactorizationMachine:

@@ -361,6 +361,23 @@ def test_toxicity_needs_the_pair(spark):
     assert all(r.predicted == int(r.score >= 0.7) for r in got)
 
 
+def test_toxicity_knows_inflected_terms(spark):
+    rng = random.Random(12)
+    ends = ["".join(rng.choices("aeilmnorst", k=5)) for _ in range(400)]
+    texts, labels = [], []
+    for i in range(1200):  # nearly every form of the insult is met once
+        bad = rng.random() < 0.2
+        t = [f"w{rng.randrange(40)}" for _ in range(12)] + [f"grobian{rng.choice(ends)}" if bad else f"freund{rng.choice(ends)}"]
+        rng.shuffle(t)
+        texts.append(" ".join(t))
+        labels.append((i, 1, int(bad)))
+    got = toxicity.score_documents(frame(spark, texts), spark.createDataFrame(labels, LABELS)).collect()
+    held = [r for r in got if r.held_out]
+    bad = [r.predicted for r in held if labels[r.doc_id][2]]
+    assert sum(bad) / len(bad) > 0.95
+    assert not any(r.predicted for r in held if not labels[r.doc_id][2])
+
+
 def test_mix(spark, texts):
     source = {i: ["a", "b", None, "z"][i % 4] if i % 5 else "a" for i in range(len(texts))}
     got = mixing.mix_sources(frame(spark, texts, source=source)).collect()

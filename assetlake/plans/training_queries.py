@@ -105,8 +105,11 @@ _PROJ = _POSE + f""", q AS (SELECT c.asset, c.l_orderkey, c.l_linenumber, p.view
 uv AS (SELECT *, (cx / cz * 0.8::DOUBLE + 0.5) * 2 - 1 AS u, (cy / cz * 0.8::DOUBLE + 0.5) * 2 - 1 AS v FROM q)"""
 
 
-def projected(t: Tables):
-    p = points(t).where("l_linenumber = 1").select("asset", "l_orderkey", "l_linenumber", "x", "y", "z")
+_PROJ_ALL = _PROJ.replace(" WHERE c.l_linenumber = 1", "")
+
+
+def projected(t: Tables, every: bool = False):
+    p = points(t).where(F.lit(every) | (F.col("l_linenumber") == 1)).select("asset", "l_orderkey", "l_linenumber", "x", "y", "z")
     return W.project(p, views(t), "asset", F.lit(0.8))
 
 
@@ -115,6 +118,11 @@ def project_views(t):
     return projected(t).where("depth > 0.5").select("asset", "l_orderkey", "view", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in "uv"])
 
 
+@R.query("project_all_points", _PROJ_ALL + " SELECT asset, l_orderkey, l_linenumber, view, round(u, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v FROM uv WHERE cz > 0.5")
+def project_all_points(t):
+    return projected(t, every=True).where("depth > 0.5").select("asset", "l_orderkey", "l_linenumber", "view", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in "uv"])
+
+
 @R.query("fuse_views", _PROJ + """, k AS (SELECT *, ((u + 1) * 6 - 1) / 2 AS c, ((v + 1) * 6 - 1) / 2 AS r FROM uv WHERE cz > 0.5), tap AS (SELECT asset, l_orderkey, view, floor(r) + i AS row, floor(c) + j AS col, (1 - abs(r - floor(r) - i)) * (1 - abs(c - floor(c) - j)) AS w FROM k, range(2) a(i), range(2) b(j)),
 fs AS (SELECT asset, l_orderkey, view, sum(w * CASE WHEN row BETWEEN 0 AND 5 AND col BETWEEN 0 AND 5 THEN row * 6 + col + view ELSE 0 END) AS s FROM tap GROUP BY ALL)
 SELECT asset, l_orderkey, round(avg(s), 4) + 0.0 AS feature, count(*) AS views FROM fs GROUP BY ALL""")

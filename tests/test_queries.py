@@ -20,6 +20,12 @@ def test_query(spark, duck, name):
         assert df.count() > 0
 
 
+def test_views_take_every_point(spark):
+    key = ["l_suppkey", "l_orderkey", "l_linenumber"]
+    got = QUERIES["project_all_points"](spark, DATA).withColumnRenamed("asset", "l_suppkey").select(*key).distinct().count()
+    assert got == spark.read.parquet(f"{DATA}/lineitem.parquet").select(*key).distinct().count()
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.session import shared_dir, ship
@@ -79,6 +79,26 @@ def ngram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix(out)
 
 
+def row_key() -> Column:
+    """Digest of id and text together: what tells a row of documents from others."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", parts: int = 1024) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row per key and in ``size`` its number of rows.
+
+    Of the ``total`` rows at most ``parts`` keys can have a ``parts``-th each: those are
+    broadcast, and their rows stay where they are; the others meet in a shuffle, where
+    no key brings a task more rows than that. With ``how="left"`` rows without a group
+    stay, those with a null key unshuffled; otherwise ``how`` is an inner join.
+    """
+    bar = max(2, -(-total // parts))
+    hot, cold = F.broadcast(groups.where(F.col(size) >= bar)), groups.where(F.col(size) < bar)
+    some = rows.where(F.col(key).isNotNull())
+    out = some.join(hot, key).unionByName(some.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """``mapInArrow`` with a function from one batch to a dict of columns."""
     from pyspark.sql.types import _parse_datatype_string

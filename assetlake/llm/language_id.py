@@ -10,6 +10,7 @@ the language that covers most of the text's n-grams is the answer.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,6 @@ POSITIONS, HASHES = 1 << 18, 3
 GRAMS_PER_LANGUAGE = 8192
 #: Documents of one language that the filters are learned from, at most about.
 TRAIN_DOCS = 4000
-#: Languages that one model can tell apart.
-LANGUAGES = 256
 #: Code points of text handled at once.
 CHUNK = 1 << 20
 
@@ -48,29 +47,27 @@ def _letters() -> np.ndarray:
     return _table[0]
 
 
-def gram_hashes(text: str, sizes: tuple[int, ...] = GRAMS) -> np.ndarray:
-    """Hashes of the n-grams of the lower-cased letters, words parted by one blank."""
-    cp = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)]
-    blank = cp == 32
-    cp = cp[np.r_[True, ~(blank[1:] & blank[:-1])]].astype(np.uint64)
-    out = []
-    for n in sizes:
-        if len(cp) >= n:
-            h = np.full(len(cp) - n + 1, np.uint64(n))
-            for i in range(n):
-                h = h * np.uint64(0x100000001B3) + cp[i : i + len(h)]
-            out.append(h)
-    return mix(np.concatenate(out)) if out else np.empty(0, np.uint64)
+def gram_hashes(text: str, sizes: tuple[int, ...] = GRAMS) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of the lower-cased letters, words parted by one blank.
 
-
-def _chunks(text: str):
-    """A text in pieces that overlap by nothing but are cut at blanks where there are any."""
-    while len(text) > CHUNK:
-        at = text.rfind(" ", 1, CHUNK)
-        at = CHUNK if at < 0 else at
-        yield text[:at]
-        text = text[at:]
-    yield text
+    The text is taken in pieces of CHUNK code points; each carries on from the last
+    code points of the one before, so every n-gram comes once wherever pieces end.
+    """
+    text = f" {text.lower()} "
+    tail = np.empty(0, np.uint64)
+    for lo in range(0, len(text), CHUNK):
+        cp = _letters()[np.frombuffer(text[lo : lo + CHUNK].encode("utf-32-le", "replace"), np.uint32)]
+        blank = cp == 32
+        after_blank = np.r_[bool(len(tail)) and tail[-1] == 32, blank[:-1]]
+        cp = np.concatenate([tail, cp[~(blank & after_blank)].astype(np.uint64)])
+        for n in sizes:
+            part = cp[max(0, len(tail) - n + 1) :]
+            if len(part) >= n:
+                h = np.full(len(part) - n + 1, np.uint64(n))
+                for i in range(n):
+                    h = h * np.uint64(0x100000001B3) + part[i : i + len(h)]
+                yield mix(h)
+        tail = cp[-(max(sizes) - 1) :]
 
 
 def _positions(h: np.ndarray) -> list[np.ndarray]:
@@ -109,8 +106,7 @@ class BitSliced:
         if not self.langs or text is None or not has_letter(text):
             return "und", 0.0, 0.0
         n, hits = 0, np.zeros(len(self.langs))
-        for part in _chunks(text):
-            h = gram_hashes(part)
+        for h in gram_hashes(text):
             n += len(h)
             hits += self.hits(h)
         share = np.clip((hits - n * self.false) / (1 - self.false), 0, None) / max(1, n)
@@ -122,21 +118,27 @@ class BitSliced:
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, per_language: int = GRAMS_PER_LANGUAGE) -> BitSliced:
-    """Filters from rows with a language that are not held out; a bounded sample a language."""
+    """Filters from rows with a language that are not held out; a bounded sample a language.
+
+    Every language that occurs is learned: the mask table has as many columns as they need.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    have = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not have:
+    have = rows.groupBy("lang").agg(F.count("*").alias("k"))
+    most = have.orderBy(F.desc("k"), "lang").first()
+    if most is None:
         return BitSliced({})
-    share = F.create_map(*[F.lit(x) for r in have for x in (r["lang"], min(1.0, train_docs / r["count"]))])
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    share = F.least(F.lit(1.0), F.lit(train_docs) / F.col("k"))
+    some = rows.join(have.hint("broadcast"), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")  # one short row a language
 
     def make():
         def step(b: pa.RecordBatch) -> dict:
             by: dict[str, list] = {}
-            for raw, lang in zip(raw_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                by.setdefault(lang, []).extend(gram_hashes(x) for x in _chunks(raw.decode("utf-8", "replace")))
+            for raw, lang in zip(raw_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
+                by.setdefault(lang, []).extend(gram_hashes(raw.decode("utf-8", "replace")))
             out: dict[str, list] = {"lang": [], "gram": [], "n": []}
             for lang, parts in by.items():
+                if not parts:
+                    continue
                 gram, n = np.unique(np.concatenate(parts), return_counts=True)
                 out["lang"] += [lang] * len(gram)
                 out["gram"] += gram.view(np.int64).tolist()
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, per_language: int = GRA
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= per_language)
     got = top.select("lang", "gram").toArrow()
     lang, gram = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy().view(np.uint64)
-    return BitSliced({k: gram[lang == k] for k in {*lang.tolist()}}, have[0]["lang"])
+    return BitSliced({k: gram[lang == k] for k in {*lang.tolist()}}, most["lang"])
 
 
 def identify(docs: DataFrame, model: BitSliced | None = None) -> DataFrame:
@@ -158,7 +160,8 @@ def identify(docs: DataFrame, model: BitSliced | None = None) -> DataFrame:
     ``und`` with score 0 where the text is null or has no letter, or nothing could be
     learned. A text with letters of which no filter knows an n-gram gets the most
     frequent language and score 0. Whole texts of any length are read, in pieces.
-    Repeated rows are separate rows; extra columns are ignored.
+    Repeated rows are separate rows; extra columns are ignored; an empty table
+    gives an empty result.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # 2 MB per 64 languages
@@ -177,7 +180,13 @@ def identify(docs: DataFrame, model: BitSliced | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_coverage: float = 0.2) -> DataFrame:
-    """``docs`` without rows of no language: undetermined, or hardly an n-gram that any filter knows."""
+    """``docs`` without rows of no language: undetermined, or hardly an n-gram that any filter knows.
+
+    So null texts and texts without a letter go. Where ``lang`` is null throughout and
+    nothing can be learned, every text with a letter stays. Each row is judged by its
+    text alone: null or repeated ids, and columns of any name, come back unchanged; an
+    empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
@@ -185,7 +194,10 @@ def keep_identified(docs: DataFrame, min_coverage: float = 0.2) -> DataFrame:
     def known(texts):
         import pandas as pd
 
-        got = [shared.value.predict(x) for x in texts]
-        return pd.Series([g[0] != "und" and g[2] >= min_coverage for g in got])
+        model = shared.value
+        if not model.langs:
+            return pd.Series([x is not None and has_letter(x) for x in texts], dtype=bool)
+        got = [model.predict(x) for x in texts]
+        return pd.Series([g[0] != "und" and g[2] >= min_coverage for g in got], dtype=bool)
 
     return docs.where(known("text"))

@@ -1,14 +1,17 @@
 """Operator 9: mix sources to target weights, in DataFrame operations only.
 
-Each document gets a hash-random key. Keys are uniform, so a source's rows are cut
-into key ranges of bounded size; sums per range give each range its offset, and a
-running sum inside the range the exact number of words before each document. The
-cut at the budget is then a comparison per row: no task holds a whole source.
+Each document gets a hash-random key. Rows of one source, key and size are alike and
+are counted; the counts are sorted in key ranges of bounded size. Sums per range, and
+over the ranges before, give each range its offset, and a running sum inside the range
+the exact number of words before each key. So every source gets its cut: the key at
+which its budget is spent, and the words left there. One row a source, the cut then
+tells every document what the mix takes of it, where the document is read: rows are
+never exchanged, and neither a hot source nor a repeated key meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.llm.common import WORD
@@ -18,8 +21,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
-#: Rows that one key range of one source should hold at most, about.
+#: Keys that one range of one source should hold at most, about; rows of one key that one task numbers.
 RANGE_ROWS = 20_000
+#: Sources up to which their cuts, about 100 bytes each, are broadcast; more are joined by salted exchange.
+BROADCAST_SOURCES, SALTS = 100_000, 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -45,46 +50,133 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``.
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
-    A source's budget is its target, rounded down. Whole epochs take every document
-    once; the last epoch takes documents in key order until the budget is spent,
-    the document at the cut with the words that are left. Null text has size 0 and
-    takes 0; null is a source of its own; repeated rows are separate rows with the
-    same key, in order of size. An empty table gives an empty result.
+
+def _key(seed: str) -> Column:
+    """Hash of the id; rows without one have the hash of their text."""
+    by_id = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    return F.coalesce(by_id, F.md5(F.concat(F.lit(f"{seed}|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")))
+
+
+def _hinted(by_source: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(by_source) if sources <= BROADCAST_SOURCES else by_source
+
+
+def source_cuts(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """One row a source of ``rows`` (source, key, size): where its last epoch ends.
+
+    ``source, source_size, target, epochs`` and, for the rows of key ``cut_key`` and
+    size ``cut_size``, how many of the ``cut_rows`` come ``whole`` and how many words
+    (``part``) of one more. Rows before that key come whole, later ones not at all;
+    without a cut every row comes in whole epochs only.
     """
-    shared_dir(docs.sparkSession)
-    key = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f"|{seed}")).cast("binary"))
-    rows = materialize(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(key, F.lit("")).alias("key")), "mix"
-    )
+    total = rows.count()
     digits = 1
-    while 16**digits * RANGE_ROWS < rows.count() * 4 and digits < 6:
+    while 16**digits * RANGE_ROWS < total * 4:
         digits += 1
-    rows = rows.withColumn("range", F.substring("key", 1, digits))
+    coarse = digits // 2
+    rows = rows.select("source", "key", "size", F.substring("key", 1, digits).alias("range"))
     ranges = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
+    # offsets in two levels: of the coarse ranges, and of the fine ones inside a coarse range
+    high = F.substring("range", 1, coarse) if coarse else F.lit("")
+    ranges = ranges.withColumn("high", high)
+    before = lambda *by: Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranges.groupBy("source", F.col("high").alias("at")).agg(F.sum("words").alias("words")).withColumn("top", F.coalesce(F.sum("words").over(before("source")), F.lit(0)))
+    fine = ranges.withColumn("at", F.col("range")).withColumn("inner", F.coalesce(F.sum("words").over(before("source", "high")), F.lit(0)))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    offset = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("words").over(offset), F.lit(0)))
-    t, r = targets.alias("t"), ranges.alias("r")
-    ranges = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select(F.col("r.source").alias("source"), "range", "offset", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d, g = rows.withColumn("upto", F.sum("size").over(within)).alias("d"), ranges.alias("g")
-    joined = d.join(g, F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.range") == F.col("g.range")))
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    start = F.col("offset") + F.col("upto") - F.col("size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", (epochs * F.col("size") + last).alias("taken"))
-
-
-def repeat_mixed(docs: DataFrame, **how) -> DataFrame:
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
+    budgets = targets.withColumn("epochs", epochs).withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
+    budgets = materialize(budgets, "budgets")
+    # the range in which the rest of the budget ends, then the key: of a source, one range is sorted
+    t, f, b = tops.alias("t"), fine.alias("f"), budgets.alias("b")
+    placed = f.join(t, F.col("f.source").eqNullSafe(F.col("t.source")) & (F.col("f.high") == F.col("t.at"))).select(F.col("f.source").alias("source"), "range", "f.words", (F.col("top") + F.col("inner")).alias("offset")).alias("p")
+    ends = placed.join(b, F.col("p.source").eqNullSafe(F.col("b.source"))).where("offset < rest and rest <= offset + words").select(F.col("p.source").alias("source"), "range", "offset", "rest")
+    ends = materialize(ends, "ends")
+    here = F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.range") == F.col("e.range"))
+    near = rows.alias("r").join(_hinted(ends, budgets.count()).alias("e"), here, "left_semi")
+    groups = near.groupBy("source", "range", "key", "size").agg(F.count("*").alias("n"))
+    last = groups.alias("r").join(ends.alias("e"), here).select("r.source", "r.range", "key", "size", "n", "offset", "rest")
+    within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("upto", F.col("offset") + F.sum(F.col("size") * F.col("n")).over(within)).withColumn("start", F.col("upto") - F.col("size") * F.col("n"))
+    cut = last.where("start < rest and rest <= upto").select("source", F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.col("n").alias("cut_rows"), F.expr("(rest - start) div greatest(size, 1)").alias("whole"), F.expr("(rest - start) % greatest(size, 1)").alias("part")).alias("c")
+    return materialize(b.join(cut, F.col("b.source").eqNullSafe(F.col("c.source")), "left").select("b.source", "source_size", "target", "epochs", "cut_key", "cut_size", "cut_rows", "whole", "part"), "cuts")
+
+
+def _with_taken(rows: DataFrame, cuts: DataFrame, sources: int) -> DataFrame:
+    """``rows`` (source, key, size, nth, ...) with ``source_size, target, taken`` by their source's cut.
+
+    ``nth`` counts the rows of a cut with several rows, from 0.
+    """
+    r = rows.withColumnRenamed("source", "own")
+    if sources <= BROADCAST_SOURCES:
+        both = r.join(F.broadcast(cuts), F.col("own").eqNullSafe(F.col("source")))
+    else:
+        r = r.withColumn("salt", F.pmod(F.xxhash64("key", "nth"), F.lit(SALTS)))
+        c = cuts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = r.join(c, F.col("own").eqNullSafe(F.col("source")) & (F.col("salt") == F.col("copy"))).drop("salt", "copy")
+    here = F.struct("key", "size")
+    cut = F.struct(F.col("cut_key").alias("key"), F.col("cut_size").alias("size"))
+    at_cut = F.when(F.col("nth") < F.col("whole"), F.col("size")).when(F.col("nth") == F.col("whole"), F.col("part")).otherwise(F.lit(0))
+    last = F.when(F.col("cut_key").isNull(), F.lit(0)).when(here < cut, F.col("size")).when(here == cut, at_cut).otherwise(F.lit(0))
+    return both.withColumn("taken", (F.col("epochs") * F.col("size") + last).cast("long")).drop("own", "epochs", "cut_key", "cut_size", "cut_rows", "whole", "part")
+
+
+def _numbered(rows: DataFrame, cuts: DataFrame, sources: int) -> DataFrame:
+    """``row, nth`` of the rows at cuts that several rows share, numbered from 0.
+
+    Rows are dealt into parts of about RANGE_ROWS by their number; part sums give the
+    offsets, so a key of any number of rows is numbered by many tasks.
+    """
+    c = cuts.where("cut_rows > 1").select(F.col("source").alias("cut_source"), "cut_key", "cut_size", F.ceil(F.col("cut_rows") / RANGE_ROWS).cast("long").alias("parts"))
+    same = F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("key") == F.col("cut_key")) & (F.col("size") == F.col("cut_size"))
+    some = rows.join(_hinted(c, sources), same).select("row", "cut_source", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"))
+    some = materialize(some, "cut-rows")
+    sums = some.groupBy("cut_source", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("cut_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("o")
+    s = some.withColumn("k", F.row_number().over(Window.partitionBy("cut_source", "part").orderBy("row")) - 1).alias("s")
+    return s.join(sums, F.col("s.cut_source").eqNullSafe(F.col("o.cut_source")) & (F.col("s.part") == F.col("o.part"))).select("row", (F.col("offset") + F.col("k")).alias("nth"))
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    cuts = source_cuts(rows, weights, share, most)
+    sources, shared_cuts = cuts.agg(F.count("*"), F.count_if(F.col("cut_rows") > 1)).first()
+    if shared_cuts:
+        rows = rows.join(_numbered(rows, cuts, sources), "row", "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
+    else:
+        rows = rows.withColumn("nth", F.lit(0))
+    return _with_taken(rows, cuts, sources)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``.
+
+    A source's budget is its target, rounded down. Whole epochs take every document
+    once; the last epoch takes documents in key order until the budget is spent, the
+    document at the cut with the words that are left. Null text has size 0 and takes 0;
+    null is a source of its own. Keys come from doc_id, of rows without one from the
+    text; rows with the same key go by size, and of rows alike in all this, which are
+    separate rows, as many are taken as the budget allows. Texts of any length are
+    counted whole; extra columns are ignored; an empty table gives an empty result.
+    """
+    shared_dir(docs.sparkSession)
+    rows = materialize(docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("key"), F.monotonically_increasing_id().alias("row")), "mix")
+    out = _mixed(rows, weights, share, most)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def repeat_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` as the mix reads them: each row as often as an epoch takes words of it.
 
-    The document at a budget's cut comes whole, so texts stay as they are.
+    The document at a budget's cut comes whole, so texts stay as they are. Rows are
+    judged one by one, so null or repeated ids lose nothing; a row of no words never
+    comes. Columns come back as they were, whatever their names; an empty table gives
+    an empty one.
     """
-    taken = mix_sources(docs, **how).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    cols = docs.columns
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)
+    shared_dir(docs.sparkSession)
+    rows = materialize(docs.select(F.struct("*").alias("whole_row"), "source", _size().alias("size"), _key(seed).alias("key"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    out = _mixed(rows, weights, share, most).where("taken > 0")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("whole_row.*")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,19 +106,28 @@ class WordIds:
         parts = self._parts(raw.decode("utf-8", "replace"))
         if self.n > CACHE_WORDS:
             self.clear()
-        known = list(map(self.at.get, parts))
-        if None in known:
-            self._learn(list(dict.fromkeys([p for p, k in zip(parts, known, strict=True) if k is None])))
-            known = list(map(self.at.__getitem__, parts))
-        if not known:
+        if not parts:
             return np.empty(0, np.uint16)
-        k = np.array(known, np.int64)
+        k = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
+        if k.min() < 0:
+            self._learn(list(dict.fromkeys([parts[i] for i in np.flatnonzero(k < 0)])))
+            k = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
         begin = self.ends[k]
         size = self.ends[k + 1] - begin
         step = np.cumsum(size)
         return self.ids[np.arange(step[-1]) + np.repeat(begin - step + size, size)]
 
 
+_encoders: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The encoder of this worker, which remembers its runs from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
+
+
 def best_fit_decreasing(sizes: np.ndarray, length: int) -> np.ndarray:
     """Bin of each piece: longest first, into the fullest bin that takes it.
 
@@ -166,16 +176,17 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def sum_of_squares(sizes: np.ndarray, length: int) -> np.ndarray:
+def sum_of_squares(sizes: np.ndarray, length: int, compete: bool = False) -> np.ndarray:
     """Bin of each piece: where the sum over gaps of (open bins with that gap)^2 gets least.
 
-    Pieces come longest first. Only open bins are compared, the fullest of equals
-    wins, and a new bin is opened when none takes the piece: an open choice of new
-    bins would leave more of them half empty at the end.
+    Pieces come longest first; the fullest of equal bins wins. With ``compete`` a new bin
+    is a choice like the open ones; without, it is opened when no open bin takes the piece,
+    which leaves fewer bins half empty at the end.
     """
     count = np.zeros(length + 1, np.int64)
     open_: list[list[int]] = [[] for _ in range(length + 1)]
     out, n = np.empty(len(sizes), np.int64), 0
+    never = np.iinfo(np.int64).max
     for i in np.argsort(-sizes, kind="stable"):
         size = int(sizes[i])
         # moving a bin from gap g to g - size changes the sum by 2 (N[g - size] - N[g] + 1); a full bin counts no more
@@ -183,9 +194,10 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> np.ndarray:
         to = count[: length + 1 - size]
         cost = 2 * (to - gaps + 1)
         cost[0] = 1 - 2 * gaps[0]
-        cost = np.where(gaps > 0, cost, np.iinfo(np.int64).max)
+        cost = np.where(gaps > 0, cost, never)
         g = int(np.argmin(cost))
-        if gaps[g] > 0:
+        new = 2 * int(count[length - size]) + 1 if size < length else 0
+        if gaps[g] > 0 and not (compete and new < cost[g]):
             room = g + size
             b = open_[room].pop()
             count[room] -= 1
@@ -198,14 +210,22 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-PACKERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {"best_fit_decreasing": best_fit_decreasing, "sum_of_squares": sum_of_squares}
+def sum_of_squares_competing(sizes: np.ndarray, length: int) -> np.ndarray:
+    return sum_of_squares(sizes, length, compete=True)
+
+
+PACKERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
+    "best_fit_decreasing": best_fit_decreasing,
+    "sum_of_squares": sum_of_squares,
+    "sum_of_squares_competing": sum_of_squares_competing,
+}
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids``: every document's ids and the end id, cut."""
 
     def make():
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
 
         def step(b: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
@@ -228,6 +248,18 @@ def _groups(docs: DataFrame, length: int, sequences: int) -> int:
     return max(1, round(((size[0] or 0) / BYTES_PER_TOKEN + size[1]) / (length * sequences)))
 
 
+def _dealt(pieces: DataFrame, length: int, groups: int) -> DataFrame:
+    """Pieces with their group ``g``: by hash of what a piece is and of the partition it lies in.
+
+    So rows of one id, or of none, are spread like any others, and rows alike in everything
+    meet only if one partition holds them. Full pieces, which need no packing, have small
+    groups of their own.
+    """
+    what = F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.spark_partition_id())
+    g = F.pmod(what, F.lit(groups))
+    return pieces.withColumn("g", F.when(F.col("length") < length, g).otherwise(F.lit(groups) + g))
+
+
 def _assigned(length: int, method: str):
     """One group's pieces with sequence and offset; the least row names a sequence."""
     place = PACKERS[method]
@@ -252,16 +284,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, method
 
     Null and empty texts are the end id alone. Only documents longer than ``length``
     are cut, without loss. Repeated rows are packed as often as they occur. Offsets
-    in a sequence are gapless from 0. Extra columns are ignored.
+    in a sequence are gapless from 0. Null or repeated ids don't matter to the packing;
+    texts of any length are read whole. Extra columns are ignored; an empty table gives
+    an empty result.
     """
     prepare(docs.sparkSession)
     groups = _groups(docs, length, sequences)
     pieces = token_pieces(docs, tokenizer, length, end_id, with_ids)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", F.lit("full")), F.lit(1 << 20))
-    # full pieces go through unchanged, in small groups of their own
-    g = F.when(F.col("length") < length, F.pmod(F.xxhash64("doc_id"), F.lit(groups))).otherwise(F.lit(groups) + spread % F.lit(max(1, groups)))
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, g long, sequence_id long, offset long"
-    out = pieces.withColumn("g", g).groupBy("g").applyInArrow(_assigned(length, method), ddl)
+    out = _dealt(pieces, length, groups).groupBy("g").applyInArrow(_assigned(length, method), ddl)
     return out.drop("g") if with_ids else out.drop("g", "ids")
 
 
@@ -272,13 +303,14 @@ def packed_matrix(docs: DataFrame, tokenizer: str, length: int = LENGTH, method:
     """One row per sequence: the id row padded to ``length``, cumulative segment lengths, positions.
 
     ``ids`` and ``position_ids`` are little-endian 16-bit; positions start again at 0
-    in each segment. ``cu_seqlens`` runs from 0 to the tokens used.
+    in each segment. ``cu_seqlens`` runs from 0 to the tokens used. Null and empty texts
+    are the end id alone, overlong ones are cut without loss, repeated rows and null ids
+    are segments like others. Extra columns are ignored; an empty table gives an empty
+    result.
     """
     prepare(docs.sparkSession)
     groups = _groups(docs, length, sequences)
     pieces = token_pieces(docs, tokenizer, length, end_id)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", F.lit("full")), F.lit(1 << 20))
-    g = F.when(F.col("length") < length, F.pmod(F.xxhash64("doc_id"), F.lit(groups))).otherwise(F.lit(groups) + spread % F.lit(max(1, groups)))
     assign = _assigned(length, method)
 
     def rows(t: pa.Table) -> pa.Table:
@@ -298,7 +330,7 @@ def packed_matrix(docs: DataFrame, tokenizer: str, length: int = LENGTH, method:
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(v, ty) for v, ty in zip(out.values(), types, strict=True)], names=list(out))
 
-    return pieces.withColumn("g", g).groupBy("g").applyInArrow(rows, _SEQUENCE)
+    return _dealt(pieces, length, groups).groupBy("g").applyInArrow(rows, _SEQUENCE)
 
 
 def write_matrix(packed: DataFrame, path: str) -> None:

@@ -35,6 +35,8 @@ WINDOW = 20
 BLOCK = 10
 #: Bytes of packed probes that one bucket (one task's group) should hold.
 BUCKET_BYTES = 12_000_000
+#: Words of the documents that are packed together: a task sends one message a bucket for so many.
+BATCH_WORDS = 1_000_000
 _PACKED = pa.schema([("k", pa.int32()), ("batch", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _PACKED_DDL = "k int, batch long, kind tinyint, a binary, b binary, c binary"
 _META, _PROBES, _ANCHORS, _HITS = 0, 1, 2, 3
@@ -70,37 +72,52 @@ def _split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[ends[k] : ends[k + 1]]
 
 
+def _documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[list[tuple]]:
+    """(doc_id, text key, words, marks) of all documents with a whole window, about BATCH_WORDS at a time."""
+    unzip = zstandard.ZstdDecompressor()
+    out: list[tuple] = []
+    n = 0
+    for b in batches:
+        marks = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+        for doc, key, z, mark in zip(*(b.column(i).to_pylist() for i in range(3)), marks, strict=True):
+            found = unzip.decompress(z).split()
+            if len(found) >= window:
+                out.append((doc, key, found, mark))
+                n += len(found)
+            if n >= BATCH_WORDS:
+                yield out
+                out, n = [], 0
+    if out:
+        yield out
+
+
+def _meta(buckets: int, docs: list[tuple], first: list[int], mark: np.ndarray) -> tuple[int, tuple]:
+    """Number of a batch, and the row that says where its documents lie and what is marked already."""
+    ids, keys = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
+    batch = xxhash.xxh3_64_intdigest(np.stack([ids, keys]).tobytes()) >> 1
+    return batch, (-1 - batch % buckets, batch, _META, np.stack([ids, keys]).tobytes(), np.array(first, np.int64).tobytes(), _pack(np.packbits(mark)))
+
+
 def _probe_batches(buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        unzip = zstandard.ZstdDecompressor()
-        for b in batches:
-            ids, hashes, aligned, first = [], [], [], [0]
-            for doc, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = unzip.decompress(z).split()
-                if len(found) < window:
-                    continue
-                h = ngram_hashes(words.of(found), block)
-                ids.append(doc)
-                hashes.append(h)
-                aligned.append(np.arange(len(h)) % block == 0)
-                first.append(first[-1] + len(h))
-            if not ids:
-                continue
-            h, own = np.concatenate(hashes), np.concatenate(aligned)
-            batch = xxhash.xxh3_64_intdigest(np.array([*ids, len(h), int(h[0] >> np.uint64(1))], np.int64).tobytes()) >> 1
+        for docs in _documents(batches, window):
+            hashes = [ngram_hashes(words.of(d[2]), block) for d in docs]
+            first = [0, *np.cumsum([len(h) for h in hashes]).tolist()]
+            h, own = np.concatenate(hashes), np.concatenate([np.arange(len(h)) % block == 0 for h in hashes])
+            del hashes
             twice = _repeated(h)
-            out = [(-1 - batch % buckets, batch, _META, np.array(ids, np.int64).tobytes(), np.array(first, np.int64).tobytes(), _pack(np.packbits(twice)))]
-            bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            low = h.astype(np.uint32)
+            batch, meta = _meta(buckets, docs, first, twice)
+            yield from _rows([meta], _PACKED).to_batches()
+            out = []
             single = np.flatnonzero(~twice)
-            for k, at in _split_by(bucket[single].astype(np.int64), buckets):
+            for k, at in _split_by(((h[single] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets):
                 at = single[at]
-                out.append((k, batch, _PROBES, low[at].tobytes(), _pack(np.diff(at, prepend=0).astype(np.uint32)), np.packbits(own[at]).tobytes()))
+                out.append((k, batch, _PROBES, h[at].astype(np.uint32).tobytes(), _pack(np.diff(at, prepend=0).astype(np.uint32)), np.packbits(own[at]).tobytes()))
             anchors = np.unique(h[twice & own])
             for k, at in _split_by(((anchors >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets):
                 out.append((k, batch, _ANCHORS, anchors[at].astype(np.uint32).tobytes(), b"", b""))
-            yield from _rows(out, _PACKED).to_batches()
+            yield from _rows(out, _PACKED).to_batches(max_chunksize=1000)
 
     return run
 
@@ -131,14 +148,14 @@ def _match_bucket(t: pa.Table) -> pa.Table:
     return _rows(out, _PACKED)
 
 
-_BY_DOC = pa.schema([("doc_id", pa.int64()), ("marks", pa.binary())])
+_BY_DOC = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("marks", pa.binary())])
 
 
 def _by_document(t: pa.Table) -> pa.Table:
     """All marks of one batch, as positions per document."""
     rows = list(zip(*(t.column(c).to_pylist() for c in _PACKED.names), strict=True))
     meta = next(r for r in rows if r[2] == _META)
-    ids, first = np.frombuffer(meta[3], np.int64), np.frombuffer(meta[4], np.int64)
+    (ids, keys), first = np.frombuffer(meta[3], np.int64).reshape(2, -1), np.frombuffer(meta[4], np.int64)
     mark = np.unpackbits(_unpack(meta[5], np.uint8), count=int(first[-1])).astype(bool)
     for r in rows:
         if r[2] == _HITS:
@@ -147,7 +164,7 @@ def _by_document(t: pa.Table) -> pa.Table:
     for i, doc in enumerate(ids):
         at = np.flatnonzero(mark[first[i] : first[i + 1]])
         if len(at):
-            out.append((int(doc), _pack(np.diff(at, prepend=0).astype(np.uint32))))
+            out.append((int(doc), int(keys[i]), _pack(np.diff(at, prepend=0).astype(np.uint32))))
     return _rows(out, _BY_DOC)
 
 
@@ -160,41 +177,42 @@ def _candidates(marks: bytes, n: int, window: int, block: int) -> np.ndarray:
     return starts[total[starts + window - block + 1] > total[starts]]
 
 
+def _later(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which windows also start earlier: in a smaller doc_id, or before in the same document (``place``)."""
+    order = np.lexsort((place, doc, h))
+    hs, ds, ps = h[order], doc[order], place[order]
+    start = np.r_[True, hs[1:] != hs[:-1]]
+    out = np.zeros(len(h), bool)
+    out[order] = (ds > ds[start][np.cumsum(start) - 1]) | np.r_[False, ~start[1:] & (ps[1:] == ps[:-1])]
+    return out
+
+
 def _window_batches(buckets: int, window: int, block: int):
-    """Local first occurrence of each candidate window, by bucket; later ones marked at once."""
+    """First occurrences of each candidate window within a batch, by bucket; later ones marked at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        unzip = zstandard.ZstdDecompressor()
-        for b in batches:
-            ids, first, hashes, starts = [], [0], [], []
-            order = np.argsort(b.column(0).to_numpy(), kind="stable")
-            texts, marks = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i in order:
-                found = unzip.decompress(texts[i]).split()
-                at = _candidates(marks[i], len(found), window, block)
-                if len(at):
-                    ids.append(b.column(0)[int(i)].as_py())
-                    hashes.append(ngram_hashes(words.of(found), window)[at])
-                    starts.append(at)
-                    first.append(first[-1] + len(found))
-            if not ids:
+        for docs in _documents(batches, window):
+            starts = [_candidates(d[3], len(d[2]), window, block) for d in docs]
+            some = [i for i, at in enumerate(starts) if len(at)]
+            if not some:
                 continue
-            h = np.concatenate(hashes)
-            pos = np.concatenate([s + f for s, f in zip(starts, first, strict=False)])
-            batch = xxhash.xxh3_64_intdigest(np.array([*ids, len(h), int(h[0] >> np.uint64(1))], np.int64).tobytes()) >> 1
-            _, earliest = np.unique(h, return_index=True)  # ids ascend, so the first index is the earliest place
-            later = np.ones(len(h), bool)
-            later[earliest] = False
+            docs, starts = [docs[i] for i in some], [starts[i] for i in some]
+            first = [0, *np.cumsum([len(d[2]) for d in docs]).tolist()]
+            h = np.concatenate([ngram_hashes(words.of(d[2]), window)[at] for d, at in zip(docs, starts, strict=True)])
+            pos = np.concatenate([at + f for at, f in zip(starts, first, strict=False)])
+            place = np.repeat(np.arange(len(docs)), [len(at) for at in starts])
+            doc = np.array([d[0] for d in docs], np.int64)[place]
+            later = _later(h, doc, place)
             gone = np.zeros(first[-1], bool)
             gone[pos[later]] = True
-            out = [(-1 - batch % buckets, batch, _META, np.array(ids, np.int64).tobytes(), np.array(first, np.int64).tobytes(), _pack(np.packbits(gone)))]
-            keep = np.sort(earliest)
-            doc = np.array(ids, np.int64)[np.searchsorted(np.array(first), pos, side="right") - 1]
+            batch, meta = _meta(buckets, docs, first, gone)
+            yield from _rows([meta], _PACKED).to_batches()
+            keep, out = np.flatnonzero(~later), []
             for k, at in _split_by(((h[keep] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), buckets):
                 at = keep[at]
                 out.append((k, batch, _PROBES, h[at].tobytes(), _pack(np.diff(doc[at], prepend=0)), _pack(np.diff(pos[at], prepend=0).astype(np.uint32))))
-            yield from _rows(out, _PACKED).to_batches()
+            yield from _rows(out, _PACKED).to_batches(max_chunksize=1000)
 
     return run
 
@@ -207,12 +225,8 @@ def _later_in_bucket(t: pa.Table) -> pa.Table:
     pos = [np.cumsum(_unpack(r[5], np.uint32), dtype=np.int64) for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in h])
     h_all, doc, pos_all = np.concatenate(h), np.concatenate([np.cumsum(_unpack(r[4], np.int64)) for r in rows]), np.concatenate(pos)
-    # one hash has at most one row of each batch, and a document is in one batch: doc_id alone orders them
-    order = np.lexsort((doc, h_all))
-    hs, ds = h_all[order], doc[order]
-    start = np.r_[True, hs[1:] != hs[:-1]]
-    least = ds[start][np.cumsum(start) - 1]
-    later = order[ds > least]
+    # of one document a batch sends each hash once, so smaller doc_ids alone are earlier
+    later = np.flatnonzero(_later(h_all, doc, np.arange(len(h_all))))
     out = []
     for i, at in _split_by(owner[later], len(rows)):
         out.append((0, rows[i][1], _HITS, _pack(np.sort(pos_all[later[at]])), b"", b""))
@@ -252,27 +266,35 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
     A word goes if a window of ``window`` words covers it whose words also start
     earlier: in a smaller doc_id, or in the same document before. ``spans`` lists
     begin and end of each removed run of words. Null texts have no words; a null
-    doc_id takes no part and loses nothing. Rows that repeat a doc_id must repeat its
-    text; they count as one document. Extra columns are ignored.
+    doc_id takes no part and loses nothing. A document is an id with a text: rows that
+    repeat both are one document and share its result, and of several texts of one id
+    none is earlier than another. Texts of any length are read whole. Extra columns are
+    ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     block = window // 2
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-size // bucket_bytes))
+    document = ["doc_id", "key"]
 
     def marks(packed: DataFrame, match, name: str) -> DataFrame:
-        hits = packed.groupBy("k").applyInArrow(match, _PACKED_DDL).groupBy("batch").applyInArrow(_by_document, "doc_id long, marks binary")
-        return materialize(hits.dropDuplicates(["doc_id"]), name)
+        hits = packed.groupBy("k").applyInArrow(match, _PACKED_DDL).groupBy("batch").applyInArrow(_by_document, "doc_id long, key long, marks binary")
+        return materialize(hits.dropDuplicates(document), name)
 
     def zipped():
         zip_ = zstandard.ZstdCompressor(level=3)
-        return lambda b: {"doc_id": b.column(0), "z": [zip_.compress(x or b"") for x in raw_texts(b.column(1))]}
 
-    packed = map_rows(docs, zipped, "doc_id long, z binary")
-    once = packed.where("doc_id is not null").groupBy("doc_id").agg(F.min("z").alias("z"))  # repeated rows are one document
+        def step(b: pa.RecordBatch) -> dict:
+            texts = [x or b"" for x in raw_texts(b.column(1))]
+            return {"doc_id": b.column(0), "key": [xxhash.xxh3_64_intdigest(x) >> 1 for x in texts], "z": [zip_.compress(x) for x in texts]}
+
+        return step
+
+    packed = map_rows(docs, zipped, "doc_id long, key long, z binary")
+    once = packed.where("doc_id is not null").groupBy(document).agg(F.min("z").alias("z"))  # repeated rows are one document
     hits = marks(once.mapInArrow(_probe_batches(buckets, window, block), _PACKED_DDL), _match_bucket, "block-hits")
     # marks grow with the texts, so they are never broadcast: the plan is the same at every size
-    some = once.join(hits.hint("merge"), "doc_id").select("doc_id", "z", "marks")
+    some = once.join(hits.hint("merge"), document).select("doc_id", "key", "z", "marks")
     later = marks(some.mapInArrow(_window_batches(buckets, window, block), _PACKED_DDL), _later_in_bucket, "later-windows")
-    return map_rows(packed.join(later.hint("merge"), "doc_id", "left").select("doc_id", "z", "marks"), _finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>")
+    return map_rows(packed.join(later.hint("merge"), document, "left").select("doc_id", "z", "marks"), _finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>")

@@ -1,17 +1,19 @@
 """Operator 8: toxicity by a factorization machine over hashed terms.
 
-A document is the set of its lower-cased terms, hashed: its words and their
-beginnings, so that an inflected word shares terms with its other forms. A bounded sample of labelled
-rows gives document counts per class, the most telling terms, and a model with a
-weight and a short vector per term: the score of a text is the logistic of all
-weights plus all pairwise products of vectors, so that two terms together can say
+A document is the set of its lower-cased terms, hashed: its words, and the beginnings
+of words at each rate that they reach in the text, so that an inflected word shares
+terms with its other forms and a beginning that a language uses now and then differs
+from one that fills the text. A bounded sample of labelled rows gives document counts
+per class; the terms that stand out more than the best of so many would by chance make
+the model, a weight and a short vector per term: the score of a text is the logistic of
+all weights plus all pairwise products of vectors, so that two terms together can say
 more than the sum of both.
 """
 
 from __future__ import annotations
 
 import string
-from itertools import chain
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,88 +27,150 @@ from assetlake.session import materialize
 THRESHOLD = 0.7
 #: Labelled rows that the model is fitted on, at most about.
 TRAIN_ROWS = 20_000
-#: Buckets of the term hash, terms kept for the model, length of their vectors.
-BUCKETS, TERMS, FACTORS = 1 << 22, 2048, 8
-EPOCHS, BATCH, RATE, L2 = 20, 256, 0.1, 1e-3
+#: Buckets of the term hash, length of the vectors.
+BUCKETS, FACTORS = 1 << 22, 8
+EPOCHS, BATCH, RATE, L2 = 40, 256, 0.1, 0.1
+#: One training row in so many is kept apart to choose the number of epochs.
+VALIDATION = 5
 CACHE_WORDS = 500_000
-#: Lengths of the beginnings of a longer word that are terms too.
-STEMS = range(3, 7)
+#: Lengths of the beginnings of words that are terms, and the rates that make a term each.
+STEMS, RATES = range(3, 9), (1 / 1024, 1 / 256, 1 / 64)
+_RATE_STEP = 0x9E3779B1
 _EDGES = string.punctuation + "“”‘’«»…–—"
 
 
+def _bucket(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode()) % BUCKETS
+
+
 class Terms(dict):
-    """Word (bytes) to its term buckets, or to the model's indexes of those it has. Remembered."""
+    """Word (bytes) to its own term and its beginnings; with an index, those of the model only. Remembered."""
 
     def __init__(self, index: dict[int, int] | None = None):
         super().__init__()
         self.index = index
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
         if len(self) >= CACHE_WORDS:
             self.clear()
         term = word.decode("utf-8", "replace").lower().strip(_EDGES)
-        keys = [term, *(f"{term[:n]}\0" for n in STEMS if n < len(term))] if term else []
-        out = (xxhash.xxh3_64_intdigest(k.encode()) % BUCKETS for k in keys)
+        own = (_bucket(term),) if term else ()
+        stems = tuple(_bucket(f"{term[:n]}\0") for n in STEMS if n <= len(term))
         if self.index is not None:
-            out = (self.index[k] for k in out if k in self.index)
-        got = self[word] = tuple(out)
+            own = tuple(self.index[k] for k in own if k in self.index)
+            stems = tuple(s for s in stems if any(self.rated(s, i) in self.index for i in range(len(RATES))))
+        got = self[word] = own, stems
         return got
 
+    @staticmethod
+    def rated(stem: int, level: int) -> int:
+        return (stem + level * _RATE_STEP) % BUCKETS
+
     def of(self, raw: bytes | None) -> list[int]:
-        return sorted(set(chain.from_iterable(map(self.__getitem__, set((raw or b"").split())))))
+        """The terms of one text, in order."""
+        words = (raw or b"").split()
+        found: set[int] = set()
+        count: dict[int, int] = {}
+        for word, k in Counter(words).items():
+            own, stems = self[word]
+            found.update(own)
+            for s in stems:
+                count[s] = count.get(s, 0) + k
+        for s, k in count.items():
+            for level, rate in enumerate(RATES):
+                if k >= rate * len(words):
+                    term = self.rated(s, level)
+                    if self.index is None:
+                        found.add(term)
+                    elif term in self.index:
+                        found.add(self.index[term])
+        return sorted(found)
+
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of some rows, and the row of each."""
+    return np.fromiter((t for r in rows for t in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
 class FactorizationMachine:
-    def __init__(self, terms: np.ndarray, seed: int = 7):
+    """Logistic of bias + sum of w x + sum over pairs of (v, v') x x', x being the term's value where it occurs."""
+
+    def __init__(self, terms: np.ndarray, value: np.ndarray | None = None, seed: int = 7):
         self.terms = terms
         n = len(terms)
+        self.x = np.ones(n) if value is None else value
         self.bias, self.w = 0.0, np.zeros(n)
         self.v = np.random.default_rng(seed).normal(0, 0.05, (n, FACTORS))
 
-    def raw(self, idx: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores before the logistic, and each row's sum of vectors; ``ends`` bound the rows in ``idx``."""
-        def total(x):
-            c = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
-            return c[ends[1:]] - c[ends[:-1]]
-
-        v = self.v[idx]
-        s = total(v)
-        return self.bias + total(self.w[idx]) + 0.5 * (s**2 - total(v**2)).sum(axis=1), s
-
-    def fit(self, rows: list[list[int]], y: np.ndarray, seed: int = 7) -> "FactorizationMachine":
+    def raw(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores before the logistic, and each row's sum of vectors; a row's sums see that row alone."""
+        idx, row = _flat(rows)
+        total = lambda x: np.bincount(row, x, len(rows))
+        v = self.v[idx] * self.x[idx, None]
+        s = np.stack([total(v[:, f]) for f in range(FACTORS)], axis=1)
+        squares = np.stack([total(v[:, f] ** 2) for f in range(FACTORS)], axis=1)
+        return self.bias + total(self.w[idx] * self.x[idx]) + 0.5 * (s**2 - squares).sum(axis=1), s
+
+    def _steps(self, rows: list[list[int]], y: np.ndarray, epochs: int, seed: int, after=None) -> None:
+        """Adaptive gradient steps on the logistic loss plus L2 a training set."""
         rng = np.random.default_rng(seed)
+        n = len(self.w)
         self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        gw, gv, gb = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
-        for _ in range(EPOCHS):
+        gw, gv, gb = np.full(n, 1e-6), np.full(self.v.shape, 1e-6), 1e-6
+        decay = L2 / len(rows)
+        for _ in range(epochs):
             order = rng.permutation(len(rows))
             for lo in range(0, len(rows), BATCH):
                 pick = order[lo : lo + BATCH]
-                idx = np.fromiter((t for i in pick for t in rows[i]), np.int64)
-                ends = np.r_[0, np.cumsum([len(rows[i]) for i in pick])]
-                z, s = self.raw(idx, ends)
+                part = [rows[i] for i in pick]
+                idx, row = _flat(part)
+                z, s = self.raw(part)
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-                each = np.repeat(err, np.diff(ends))
-                dw = np.bincount(idx, each, len(self.w)) + L2 * self.w / len(rows) * len(pick)
-                near = np.repeat(s, np.diff(ends), axis=0) - self.v[idx]
-                dv = np.stack([np.bincount(idx, each * near[:, f], len(self.w)) for f in range(FACTORS)], axis=1) + L2 * self.v / len(rows) * len(pick)
+                each = err[row] * self.x[idx]
+                near = s[row] - self.v[idx] * self.x[idx, None]
+                dw = np.bincount(idx, each, n) + decay * self.w
+                dv = np.stack([np.bincount(idx, each * near[:, f], n) for f in range(FACTORS)], axis=1) + decay * self.v
                 gw, gv, gb = gw + dw**2, gv + dv**2, gb + err.sum() ** 2
                 self.w -= RATE * dw / np.sqrt(gw)
                 self.v -= RATE * dv / np.sqrt(gv) * 0.3
                 self.bias -= RATE * err.sum() / np.sqrt(gb)
+            if after:
+                after()
+
+    def fit(self, rows: list[list[int]], y: np.ndarray, seed: int = 7) -> "FactorizationMachine":
+        """Fit on all rows, with as many epochs as suit rows kept apart best."""
+        apart = np.arange(len(rows)) % VALIDATION == 0
+        epochs = EPOCHS // 2
+        if len(set(y[apart])) == len(set(y[~apart])) == 2:
+            trial, losses = FactorizationMachine(self.terms, self.x, seed), []
+            held, truth = [r for r, a in zip(rows, apart, strict=True) if a], y[apart]
+
+            def loss():
+                z = np.clip(trial.raw(held)[0], -30, 30)
+                losses.append(float(np.mean(np.log1p(np.exp(z)) - truth * z)))
+
+            trial._steps([r for r, a in zip(rows, apart, strict=True) if not a], y[~apart], EPOCHS, seed, loss)
+            epochs = int(np.argmin(losses)) + 1
+        self._steps(rows, y, epochs, seed)
         return self
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        idx = np.fromiter((t for r in rows for t in r), np.int64)
-        z, _ = self.raw(idx, np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(rows)[0], -30, 30)))
+
 
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> FactorizationMachine:
+    """Fit on labelled rows that are not held out; ties between labels of one document go to 1.
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS) -> FactorizationMachine:
-    """Fit on labelled rows that are not held out; ties between labels of one document go to 1."""
+    How far a term stands out is counted in standard deviations of its documents' labels
+    from the average, less half a document. The best of M terms reaches sqrt(2 log M) by
+    chance: there a term has value 1, below it the square of its part, and below half of
+    it it is no term of the model. So the model grows with what the labels show, and no
+    number of terms is set.
+    """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     share = min(1.0, train_rows / max(1, marked.count()))
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)  # `train_rows` ids, about
-    some = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    some = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
     def make():
         known = Terms()
@@ -115,27 +179,41 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     rows = materialize(map_rows(some, make, "toxic int, terms array<int>"), "toxic-terms")
     n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n1 or n1 == n:
-        return FactorizationMachine(np.empty(0, np.int64)).fit([[]] * n, np.full(n, float(bool(n1))))
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k"), F.count("*").alias("m")).where("m >= 3")
+        return FactorizationMachine(np.empty(0, np.int64)).fit([[]] * n, np.full(n, float(bool(n1)))) if n else FactorizationMachine(np.empty(0, np.int64))
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k"), F.count("*").alias("m")).where("m > 2")
+    counts = materialize(counts, "toxic-counts")
     p, m = F.lit(n1 / n), F.col("m")
-    z = F.abs((F.col("k") - m * p) / F.sqrt(m * p * (1 - p)))
-    top = np.sort(np.array([r[0] for r in counts.orderBy(z.desc(), "term").limit(terms).select("term").collect()], np.int64))
-    model = FactorizationMachine(top)
-    kept = rows.select("toxic", F.array_sort(F.array_intersect("terms", F.array(*[F.lit(int(t)) for t in top]) if len(top) else F.array().cast("array<int>"))).alias("t"), F.xxhash64("terms").alias("o"))
-    got = kept.orderBy("o", "toxic").select("toxic", "t").toArrow()  # bounded by train_rows * terms
-    x = [np.searchsorted(top, r).tolist() for r in got.column(1).to_pylist()]
-    return model.fit(x, got.column(0).to_numpy().astype(float))
+    z = F.greatest(F.abs(F.col("k") - m * p) - 0.5, F.lit(0.0)) / F.sqrt(m * p * (1 - p))
+    bar = float(np.sqrt(2 * np.log(max(2, counts.count()))))
+    best = counts.select("term", (z / bar).alias("z")).where("z >= 0.5").orderBy("term").toArrow()
+    top = best.column(0).to_numpy().astype(np.int64)
+
+    def within():
+        def step(b: pa.RecordBatch) -> dict:
+            terms = b.column(1)
+            ends, flat = terms.offsets.to_numpy(), terms.values.to_numpy()
+            at = np.minimum(np.searchsorted(top, flat), max(0, len(top) - 1))
+            mine = [at[lo:hi][top[at[lo:hi]] == flat[lo:hi]] if len(top) else at[:0] for lo, hi in zip(ends, ends[1:])]
+            return {"toxic": b.column(0), "t": mine, "o": [xxhash.xxh3_64_intdigest(flat[lo:hi].tobytes()) >> 1 for lo, hi in zip(ends, ends[1:])]}
+
+        return step
+
+    got = map_rows(rows, within, "toxic int, t array<long>, o long").toArrow()  # bounded by train_rows
+    toxic, order = got.column(0).to_numpy(), np.lexsort((got.column(0).to_numpy(), got.column(2).to_numpy()))
+    terms = got.column(1).to_pylist()
+    model = FactorizationMachine(top, np.minimum(1.0, best.column(1).to_numpy()) ** 2)
+    return model.fit([terms[i] for i in order], toxic[order].astype(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: FactorizationMachine | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Null and empty texts score the model's bias. Whole texts are read. Without
-    labels of both kinds every score is the only label's share. Repeated rows are
-    separate rows; extra columns are ignored.
+    Null and empty texts score the model's bias. Whole texts of any length are read.
+    Without labels of both kinds every score is the only label's share. Repeated rows are
+    separate rows; extra columns are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels))  # TERMS * (FACTORS + 2) numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels))  # FACTORS + 2 numbers a term of the bounded sample
 
     def make():
         model = shared.value

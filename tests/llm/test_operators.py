@@ -16,12 +16,13 @@ from assetlake.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tests.compare import duck_rows, spark_rows
 from tests.conftest import DATA
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard int, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard int, digest string, _times string, _copy int, a int, component int, key string, z binary, row string, nth int, s int"
+EXTRA = (None, None, None, "t", 77, 1, 2, "k", b"z", "r", 5, 6)
 LABELS = "doc_id long, quality int, toxic int"
 
 
 def frame(spark, texts, lang=None, source=None):
-    rows = [(i, t, (lang or {}).get(i, "en"), (source or {}).get(i, f"s{i % 3}"), len(t or ""), True, 7, "x") for i, t in enumerate(texts)]
+    rows = [(i, t, (lang or {}).get(i, "en"), (source or {}).get(i, f"s{i % 3}"), len(t or ""), True, 7, "x", *EXTRA[3:]) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -45,35 +46,146 @@ def texts():
     return out
 
 
-EMPTY = ["op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+OPERATORS = {
+    "op1": quality.assess,
+    "op2": lambda docs, labels: minhash_dedup.near_duplicates(docs),
+    "op3": lambda docs, labels: packing.packed_matrix(docs, tokenizer_path()),
+    "op4": lambda docs, labels: packing.pack_documents(docs, tokenizer_path()),
+    "op5": lambda docs, labels: substring_dedup.repeated_passages(docs),
+    "op6": lambda docs, labels: sharding.shard_rows(docs),
+    "op7": lambda docs, labels: language_id.identify(docs),
+    "op8": toxicity.score_documents,
+    "op9": lambda docs, labels: mixing.mix_sources(docs),
+    "op10": lambda docs, labels: exact_dedup.exact_duplicates(docs),
+}
+STAGES = {
+    "language": language_id.keep_identified,
+    "exact": exact_dedup.drop_exact_duplicates,
+    "near": minhash_dedup.drop_near_duplicates,
+    "mix": mixing.repeat_mixed,
+}
 
 
-def run(name, docs, labels):
-    return {
-        "op1": lambda: quality.assess(docs, labels),
-        "op2": lambda: minhash_dedup.near_duplicates(docs),
-        "op4": lambda: packing.pack_documents(docs, tokenizer_path()),
-        "op5": lambda: substring_dedup.repeated_passages(docs),
-        "op6": lambda: sharding.shard_rows(docs),
-        "op7": lambda: language_id.identify(docs),
-        "op8": lambda: toxicity.score_documents(docs, labels),
-        "op9": lambda: mixing.mix_sources(docs),
-        "op10": lambda: exact_dedup.exact_duplicates(docs),
-    }[name]()
+def rows_of(spark, some, parts=1):
+    """Documents of (doc_id, text, source), in so many partitions."""
+    return spark.createDataFrame([(i, t, "en", source, None, *EXTRA[:1], None, None, *EXTRA[3:]) for i, t, source in some], SCHEMA).repartition(parts)
 
 
-@pytest.mark.parametrize("name", EMPTY)
+def sha(t):
+    return hashlib.sha256((t or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     docs, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], LABELS)
-    assert run(name, docs, labels).count() == 0
+    assert OPERATORS[name](docs, labels).count() == 0
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_empty_table_in_a_stage(spark, name):
+    out = STAGES[name](spark.createDataFrame([], SCHEMA))
+    assert out.count() == 0 and out.columns == spark.createDataFrame([], SCHEMA).columns
 
 
-@pytest.mark.parametrize("name", EMPTY)
-def test_null_columns_and_repeated_rows(spark, name):
-    rows = [(None, None, None, None, None, None, None, None), (1, "x y z", None, None, None, None, None, None), (1, "x y z", None, None, None, None, None, None), (2, "", None, "b", None, None, None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA)
+#: Nulls, repeated rows, one id with two texts, wordless and empty texts, names that operators use inside.
+EDGE = [(None, None, None), (None, "p q r s", "b"), (1, "x y z", "b"), (1, "x y z", "b"), (1, "u v w", None), (2, "", "b"), (3, " \t ", None), (4, "p q r s", "b")]
+EDGE_WORDS = [0, 4, 3, 3, 3, 0, 0, 4]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("name", OPERATORS)
+def test_nulls_repeated_rows_and_clashing_names(spark, name, parts):
+    docs = rows_of(spark, EDGE, parts)
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 0), (2, 0, 1)], LABELS)
-    assert run(name, docs, labels).count() == 4
+    got = OPERATORS[name](docs, labels).collect()
+    table = lambda *cols: Counter(tuple(r[c] for c in cols) for r in got)
+    ids = [e[0] for e in EDGE]
+    if name == "op1":
+        assert table("doc_id", "n_words", "base_failed", "kept") == Counter((i, n, True, False) for i, n in zip(ids, EDGE_WORDS, strict=True))
+    elif name == "op2":
+        none, two = (0, None), (2, 4)
+        expected = [(None, *none, True), (None, *two, False), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, *two, True)]
+        assert table("doc_id", "n_shingles", "component_id", "kept") == Counter(expected)
+    elif name == "op3":
+        assert sorted(x for r in got for x in r.doc_ids if x is not None) == [1, 1, 1, 2, 3, 4] and sum(r.cu_seqlens[-1] for r in got) == sum(r.n_tokens for r in got)
+        assert sum(x is None for r in got for x in r.doc_ids) == 2
+    elif name == "op4":
+        assert table("doc_id", "piece", "start") == Counter((i, 0, 0) for i in ids)
+        assert sum(r.length == 1 for r in got) == EDGE_WORDS.count(0)
+    elif name == "op5":
+        assert table("doc_id", "n_words", "n_removed", "kept_sha256") == Counter((i, n, 0, sha(" ".join((t or "").split()))) for (i, t, _), n in zip(EDGE, EDGE_WORDS, strict=True))
+    elif name == "op6":
+        assert table("doc_id", "size", "text_crc32", "law") == Counter((i, len(t or "") + 16, zlib.crc32((t or "").encode()), "bytes") for i, t, _ in EDGE)
+        assert all(r.slot == 0 for r in got)  # more shards than rows
+    elif name == "op7":
+        assert table("doc_id", "lang_pred") == Counter((i, "en" if n else "und") for i, n in zip(ids, EDGE_WORDS, strict=True))
+    elif name == "op8":
+        assert Counter(r.doc_id for r in got) == Counter(ids) and all(0 <= r.score <= 1 for r in got)
+    elif name == "op9":
+        taken = Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            assert 0 <= r.taken <= 2 * r.size
+        assert table("doc_id", "source", "size", "source_size") == Counter((i, s, n, {"b": 14, None: 3}[s]) for (i, _, s), n in zip(EDGE, EDGE_WORDS, strict=True))
+        assert taken == {"b": 19, None: 6}  # 150 % of 17 words by 3 to 1, null stops at twice its 3
+    else:
+        best = {None: 3, "": 3, "p q r s": 4, "x y z": 1, "u v w": 1, " \t ": 3} | {None: 2, "": 2}
+        assert table("doc_id", "keep_id", "kept", "text_sha256") == Counter((i, best[t], i == best[t], sha(t)) for i, t, _ in EDGE)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stages_decide_row_by_row(spark, parts):
+    docs = rows_of(spark, EDGE, parts)
+    kept = lambda name: Counter((r.doc_id, r.text) for r in STAGES[name](docs).collect())
+    same = rows_of(spark, [(None, "same same", "s"), (5, "same same", "s"), (5, "different", "s"), (9, "same same", "s"), (9, "same same", "s")], parts)
+    assert kept("language") == Counter((i, t) for i, t, _ in EDGE if t and t.strip())
+    assert kept("exact") == Counter([(1, "x y z"), (1, "u v w"), (2, ""), (3, " \t "), (4, "p q r s")])
+    assert kept("near") == Counter((i, t) for i, t, _ in EDGE) - Counter([(None, "p q r s")])
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(same, 1).collect()) == Counter([(5, "different"), (9, "same same")])
+    for name in STAGES:
+        got = STAGES[name](docs).collect()
+        assert all(tuple(r)[7:] == (None, *EDGE_TAIL) for r in got), name
+
+
+EDGE_TAIL = EXTRA[3:]
+
+
+def test_documents_without_an_id_are_mixed(spark):
+    docs = rows_of(spark, [(None, f"w{i} v{i} u", "s") for i in range(200)], 3)
+    taken = mixing.mix_sources(docs).agg(F.sum("taken")).first()[0]
+    got = Counter(r.text for r in mixing.repeat_mixed(docs).collect())
+    assert taken == 900 and len(got) == 200 and 300 <= sum(got.values()) <= 301 and max(got.values()) == 2
+
+
+def test_rows_alike_share_a_cut(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)  # many parts number the rows of one key
+    docs = rows_of(spark, [(None, "one two three", "s")] * 100 + [(i, "a b", "t") for i in range(10)], 3)
+    got = mixing.mix_sources(docs).collect()
+    assert Counter(r.taken for r in got if r.source == "s") == Counter({3: 53, 6: 46, 5: 1})  # 440 of 300 words
+    assert sum(r.taken for r in got) == 480
+    assert mixing.repeat_mixed(docs).count() == 100 + 47 + 20
+
+
+def test_more_sources_than_are_broadcast(spark, texts, monkeypatch):
+    source = {i: f"s{i % 11}" for i in range(len(texts))}
+    expected = sorted((r.doc_id, r.taken) for r in mixing.mix_sources(frame(spark, texts, source=source)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix_sources(frame(spark, texts, source=source)).collect()) == expected
+
+
+def test_one_row_repeated_is_cut_anywhere(spark):
+    docs = rows_of(spark, [(None, "one text", "s")] * 3000 + [(i, f"t{i} other", "s") for i in range(1000)], 3)
+    got = sharding.shard_rows(docs, 10).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    mean = sum(r.s for r in got) / 10
+    assert len(got) == 10 and all(abs(r.s - mean) <= 30 and r.last == r.n - 1 for r in got)
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    rng = random.Random(2)
+    one, two = words(rng, 40, 5000), words(rng, 40, 5000)
+    docs = rows_of(spark, [(1, one, "s"), (1, two, "s"), (2, f"{one} {two}", "s"), (None, one, "s"), (1, one, "s")], 2)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.repeated_passages(docs).collect())
+    assert got == Counter([(1, 40, 0)] * 3 + [(2, 80, 80), (None, 40, 0)])
 
 
 def test_statistics_by_hand():
@@ -89,6 +201,33 @@ def brute_repeats(text):
     return len({j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)})
 
 
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(5)
+    x = rng.random((800, 3))
+    t = quality.Trees().fit(x, (x[:, 0] * x[:, 1] > 0.3).astype(float), [1, 0, -1])
+
+    def walk(row):
+        out = t.base
+        for node in t.roots:
+            while t.left[node] != node:
+                node = t.left[node] if row[t.feature[node]] <= t.threshold[node] else t.right[node]
+            out += t.value[node]
+        return out
+
+    assert np.allclose(t.raw(x[:100]), [walk(r) for r in x[:100]])
+
+
+def test_lines_and_symbols_by_brute_force():
+    rng = random.Random(11)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b é", "#", "|", "<x>", " ", "\n", "\n", "a\n", "\t\n", "&%$*"]) for _ in range(rng.randrange(40)))
+        lines = text.split("\n")
+        dup = sum(bool(line.strip(" \t\n\v\f\r")) and line in lines[:i] for i, line in enumerate(lines))
+        (n, chars, symbols, dup_lines, repeat), _ = quality.statistics(text.encode())
+        assert (symbols, dup_lines) == (sum(c in "#*$%&|<>" for c in text), dup)
+        assert (n, chars, repeat) == (len(text.encode().split()), sum(len(w.decode()) for w in text.encode().split()), brute_repeats(text))
+
+
 def test_quality(spark, texts):
     labels = spark.createDataFrame([(i, int(len((t or "").split()) > 5), 0) for i, t in enumerate(texts)], LABELS)
     for r in quality.assess(frame(spark, texts), labels).collect():
@@ -120,6 +259,7 @@ def brute_sets(texts):
 @pytest.mark.parametrize("block", [4, 256])
 def test_near_duplicates(spark, texts, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", block)
+    monkeypatch.setattr(minhash_dedup, "CENTRE_PAIRS", 2 * block)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(150)]
     group = []  # alike to the base, less so to each other, some to neither
@@ -267,6 +407,36 @@ def test_best_fit_decreasing_is_best_fit():
     assert sorted(100 - sizes[got == b].sum() for b in set(got)) == sorted(rooms)
 
 
+@pytest.mark.parametrize("compete", [False, True])
+def test_sum_of_squares_by_brute_force(compete):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 31, 250)
+    rooms: list[int] = []
+
+    def squares(some):
+        return sum(k * k for room, k in Counter(some).items() if 0 < room < 30)
+
+    for i in np.argsort(-sizes, kind="stable"):
+        size = int(sizes[i])
+        options = [(squares([*rooms[:b], r - size, *rooms[b + 1 :]]), r, b) for b, r in enumerate(rooms) if r >= size]
+        fresh = (squares([*rooms, 30 - size]), 30, len(rooms))
+        best = min(options) if options else fresh
+        if compete and options and fresh[0] < best[0]:
+            best = fresh
+        if best[2] == len(rooms):
+            rooms.append(30)
+        rooms[best[2]] -= size
+    got = packing.sum_of_squares(sizes, 30, compete)
+    assert sorted(30 - sizes[got == b].sum() for b in set(got)) == sorted(rooms)
+
+
+def test_documents_without_an_id_are_spread_over_groups(spark):
+    docs = rows_of(spark, [(None, f"w{i} x y z " * 20, "s") for i in range(200)], 2)
+    got = packing.pack_documents(docs, tokenizer_path(), length=256, sequences=4).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 200 and len(groups) > 5 and max(groups.values()) < 60
+
+
 def test_matrix_round_trip(spark, texts, tmp_path):
     from tokenizers import Tokenizer
 
@@ -338,12 +508,69 @@ def test_bit_sliced_filter_has_no_false_negatives():
         assert np.median(hits) < 25
 
 
+def plain_grams(text):
+    """The n-grams of a text as strings, by the plainest means."""
+    letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    letters = f" {letters} " if letters else " "
+    return [letters[i : i + n] for n in language_id.GRAMS for i in range(len(letters) - n + 1)]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 64, 1 << 20])
+def test_grams_equal_plain_sets_wherever_pieces_end(monkeypatch, chunk):
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    rng = random.Random(3)
+    for text in ["", "a", " ", "Straße -- ÄÖ 12 x", "alpha beta  gamma\n\n delta!" * 9, "".join(rng.choices("ab c.é ", k=300))]:
+        got = [h for part in language_id.gram_hashes(text) for h in part.tolist()]
+        names = plain_grams(text)
+        hashes = {g: int(next(iter(language_id.gram_hashes(g[1:-1], (len(g),))))[0]) if g[0] == g[-1] == " " else None for g in names}
+        assert len(got) == len(names) and len(set(got)) == len(set(names))
+        assert {h for h in hashes.values() if h is not None} <= set(got)
+        assert sorted(Counter(got).values()) == sorted(Counter(names).values())
+
+
+def test_prediction_equals_plain_sets():
+    rng = random.Random(7)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "αβγδεζηθ"}
+    text = lambda k, n: " ".join("".join(rng.choices(alphabets[k], k=4)) for _ in range(n))
+    learned = {k: text(k, 200) for k in alphabets}
+    model = language_id.BitSliced({k: np.unique(np.concatenate(list(language_id.gram_hashes(t)))) for k, t in learned.items()})
+    known = {k: set(plain_grams(t)) for k, t in learned.items()}
+    for i in range(60):
+        t = text(sorted(alphabets)[i % 3], 30)
+        share = {k: sum(g in known[k] for g in plain_grams(t)) / len(plain_grams(t)) for k in known}
+        lang, score, covered = model.predict(t)
+        assert lang == max(share, key=share.get) and abs(covered - share[lang]) < 0.02
+        first, second = sorted(share.values(), reverse=True)[:2]
+        assert abs(score - first / (first + second)) < 0.02
+
+
+def test_every_language_is_learned(spark):
+    texts = [f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}{chr(0x4E02 + 3 * k)} " * 5 for k in range(300) for _ in range(4)]
+    docs = frame(spark, texts, {i: f"l{i // 4:03d}" for i in range(1200)})
+    got = language_id.identify(docs).collect()
+    taught = {r.doc_id // 4 for r in got if not r.held_out}
+    assert len(taught) > 290 and all(r.lang_pred == f"l{r.doc_id // 4:03d}" for r in got if r.doc_id // 4 in taught)
+
+
+def test_language_without_labels_keeps_what_has_letters(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language_id.keep_identified(docs).collect()] == [1]
+
+
 def test_long_text_is_read_in_pieces(monkeypatch):
     text = "alpha beta gamma " * 50
-    model = language_id.BitSliced({"x": language_id.gram_hashes(text), "y": language_id.gram_hashes("zeta eta")})
+    grams = lambda t: np.concatenate(list(language_id.gram_hashes(t)))
+    model = language_id.BitSliced({"x": grams(text), "y": grams("zeta eta")})
     whole = model.predict(text)
     monkeypatch.setattr(language_id, "CHUNK", 64)
-    assert model.predict(text)[0] == whole[0] == "x"
+    assert model.predict(text) == whole and whole[0] == "x"
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_languages_of_the_given_table(spark, sf):
+    docs = spark.read.parquet(f"{DATA.rsplit('/', 1)[0]}/{sf}/documents.parquet")
+    got = language_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(got) > 300 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.99
 
 
 def test_toxicity_needs_the_pair(spark):
@@ -378,6 +605,42 @@ def test_toxicity_knows_inflected_terms(spark):
     assert not any(r.predicted for r in held if not labels[r.doc_id][2])
 
 
+def test_pairwise_products_one_by_one():
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine(np.arange(30), rng.random(30))
+    m.bias, m.w, m.v = 0.3, rng.normal(size=30), rng.normal(size=m.v.shape)
+    rows = [sorted(rng.choice(30, k, replace=False).tolist()) for k in (0, 1, 2, 7, 0, 30)]
+    for row, z in zip(rows, m.raw(rows)[0], strict=True):
+        pairs = sum(float(m.v[i] @ m.v[j]) * m.x[i] * m.x[j] for i in row for j in row if i < j)
+        assert z == pytest.approx(m.bias + sum(m.w[i] * m.x[i] for i in row) + pairs)
+    assert m.raw(rows)[0].tolist() == [m.raw([r])[0][0] for r in rows]  # whatever else is in the batch
+
+
+def test_terms_of_a_text():
+    known = toxicity.Terms()
+    text = "Anders, anderen anderswo " + "x " * 300
+    rated = lambda stem, level: known.rated(toxicity._bucket(f"{stem}\0"), level)
+    got = set(known.of(text.encode()))
+    assert {toxicity._bucket("anders"), toxicity._bucket("anderen"), toxicity._bucket("x")} <= got
+    assert rated("ander", 1) in got and rated("ander", 2) not in got  # 3 of 303 words
+    assert rated("anders", 1) in got and rated("anderswo", 0) in got and rated("anderswo", 1) not in got
+    assert known.of(None) == known.of(b" ") == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_toxicity_of_the_given_tables(spark, sf):
+    at = f"{DATA.rsplit('/', 1)[0]}/{sf}"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    truth = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = toxicity.score_documents(spark.read.parquet(f"{at}/documents.parquet"), labels).where("held_out").join(truth, "doc_id").collect()
+    bad, good = ([r for r in got if r.toxic == k] for k in (1, 0))
+    wins = np.mean([np.mean([(b.score > g.score) + 0.5 * (b.score == g.score) for g in good]) for b in bad])
+    assert wins > 0.95
+    assert sum(r.predicted for r in good) <= 0.005 * len(good)
+    if sf == "sf0.1":
+        assert sum(r.predicted for r in bad) > 0.8 * len(bad)
+
+
 def test_mix(spark, texts):
     source = {i: ["a", "b", None, "z"][i % 4] if i % 5 else "a" for i in range(len(texts))}
     got = mixing.mix_sources(frame(spark, texts, source=source)).collect()

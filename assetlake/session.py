@@ -9,18 +9,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[str, str]] = []
 REPO = str(Path(__file__).resolve().parents[1])
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local temporary
-    folder is taken.
+    A session that names none must run on this machine alone; then a temporary folder
+    is taken. On a cluster that would not be shared, so it is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not jsc.getCheckpointDir().isDefined():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="assetlake-"))
     return named or jsc.getCheckpointDir().get()
 
@@ -37,14 +40,29 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result has no lineage, survives lost executors, and later readers prune
-    its columns. The files stay until the folder's owner clears it.
+    its columns. The files stay until the folder's owner clears it, or ``release`` does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assetlake/{name}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext.applicationId, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables have been written so far: a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since a mark, all but the last; nothing may still need them."""
+    for i, (app, path) in enumerate(_written[since:-1], since):
+        if path and app == spark.sparkContext.applicationId:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _written[i] = (app, "")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small or iterative table."""
     shared_dir(df.sparkSession)

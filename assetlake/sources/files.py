@@ -117,8 +117,8 @@ def decode_npy_blobs(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return df.select(key, *cols).mapInPandas(run, f"`{key}` {kind}, {fields}")
 
 
-def scan_npz(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """``asset, shape, values`` of one array in each NPZ file; a missing one gives nulls."""
+def decode_npz(files: DataFrame, field: str) -> DataFrame:
+    """``asset, shape, values`` of one array in each NPZ content (``path, content``); a missing one gives nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,10 +130,13 @@ def scan_npz(spark: SparkSession, path: str, field: str) -> DataFrame:
                 rows.append((asset, None if a is None else list(a.shape), None if a is None else a.astype(np.float32).ravel().tolist()))
             yield pd.DataFrame(rows, columns=["asset", "shape", "values"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInPandas(run, "asset string, shape array<int>, values array<float>")
 
 
+def scan_npz(spark: SparkSession, path: str, field: str) -> DataFrame:
+    return decode_npz(spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path), field)
+
+
 def _ply_vertices(content: bytes) -> np.ndarray:
     head, _, body = content.partition(b"end_header\n")
     lines = head.decode("ascii", "replace").split("\n")
@@ -254,18 +257,42 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def replace_table(df: DataFrame, path: str, tag: str, backup: bool = True) -> str | None:
-    """Write beside, then swap by renames; the old files stay under ``path.backup-tag``."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}._staging")
-    (new, fs), (here, _), (old, _) = _fs(spark, f"{path}._staging"), _fs(spark, path), _fs(spark, f"{path}.backup-{tag}")
-    if fs.exists(here) and not fs.rename(here, old):
+def _swap(spark: SparkSession, path: str, tag: str) -> str:
+    """The two renames of a replacement, each done unless it already is; returns where the old files are."""
+    (new, fs), (here, _), (old, _) = _fs(spark, f"{path}._staging-{tag}"), _fs(spark, path), _fs(spark, f"{path}.backup-{tag}")
+    if not fs.exists(old) and fs.exists(here) and not fs.rename(here, old):
         raise OSError(f"could not move {path} aside")
     if not fs.rename(new, here):
         raise OSError(f"could not move the new files to {path}")
-    if not backup and fs.exists(old):
-        fs.delete(old, True)
-    return old.toString() if backup else None
+    return old.toString()
+
+
+def finish_swap(spark: SparkSession, path: str, tag: str) -> bool:
+    """Whether the replacement ``tag`` of a table is in place; one that stopped between its renames is finished.
+
+    The backup comes to be only after all new files are written. While it exists and the
+    table doesn't, the new files wait beside; with both there, the swap is done.
+    """
+    (here, fs), (old, _) = _fs(spark, path), _fs(spark, f"{path}.backup-{tag}")
+    if not fs.exists(old):
+        return False
+    if not fs.exists(here):
+        _swap(spark, path, tag)
+    return True
+
+
+def replace_table(df: DataFrame, path: str, tag: str, backup: bool = True) -> str | None:
+    """Write beside, then swap by renames; the old files stay under ``path.backup-tag``.
+
+    After a crash ``finish_swap`` with the same tag tells whether this must run again.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}._staging-{tag}")
+    old = _swap(spark, path, tag)
+    if not backup:
+        p, fs = _fs(spark, old)
+        fs.delete(p, True)
+    return old if backup else None
 
 
 def write_split_dataset(final: DataFrame, path: str, policy: str = "val first by rank") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.operators.manifest import merge_records
-from assetlake.sources.files import replace_table
+from assetlake.sources.files import finish_swap, replace_table
 
 #: Rows of one frame that a stream puts out.
 FRAME_ROWS = 10_000
@@ -22,8 +22,9 @@ def drain(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
 def stream_records(spark: SparkSession, path: str, schema: str, manifest: str, key: str, columns: list[str], checkpoint: str, archive: str | None = None) -> None:
     """Merge record shards that arrive in ``path`` into the manifest table, each file once.
 
-    The manifest is swapped whole; the batch number is in the backup's name, so a
-    batch that is run again after a failure finds its backup and stops.
+    The manifest is swapped whole, once a batch, so ``maxFilesPerTrigger`` sets how much
+    one rewrite takes in. A batch that is run again after a failure, at whatever step,
+    finds its swap done, finishes it, or merges anew.
     """
     reader = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1000)
     if archive:
@@ -32,9 +33,7 @@ def stream_records(spark: SparkSession, path: str, schema: str, manifest: str, k
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        old = f"{manifest}.backup-{number:06d}"
-        p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-        if p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if finish_swap(s, manifest, f"{number:06d}"):
             return
         replace_table(merge_records(s.read.parquet(manifest), batch, key, columns, ["_file"]), manifest, f"{number:06d}")
 
@@ -56,44 +55,33 @@ def sessions(events: DataFrame, ts: str, by: str, gap: str, delay: str = "10 min
     return events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
-def _keep_best(better):
-    def run(key, batches, state):
-        best = state.get if state.exists else (None, None)
-        for pdf in batches:  # rows come in any order: of equal values the smaller step stays
-            for step, value in pdf.dropna(subset=["value"])[["step", "value"]].itertuples(index=False):
-                if best[1] is None or better(value, best[1]) or (value == best[1] and step < best[0]):
-                    best = (int(step), float(value))
-        if best[1] is not None:
-            state.update(best)
-            yield pd.DataFrame({"run": [key[0]], "step": [best[0]], "best": [best[1]]})
-
-    return run
-
-
 def stream_best(log: DataFrame, mode: str = "max") -> DataFrame:
     """Best (step, value) of each run so far, the smaller step of equal values, kept across restarts; log rows are (run, step, value)."""
-    better = (lambda a, b: a > b) if mode == "max" else (lambda a, b: a < b)
-    return log.groupBy("run").applyInPandasWithState(_keep_best(better), "run string, step long, best double", "step long, best double", "update", "NoTimeout")
+    up = mode == "max"
+    good = log.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    best = (F.max if up else F.min)(F.struct(F.col("value").cast("double").alias("value"), (-F.col("step") if up else F.col("step")).cast("long").alias("s")))
+    step = -F.col("b.s") if up else F.col("b.s")
+    return good.groupBy("run").agg(best.alias("b")).select("run", step.alias("step"), F.col("b.value").alias("best"))
 
 
 def _clip(percentile: float, buffer: int, cap: float):
     import numpy as np
 
     def run(key, batches, state):
-        ring, = state.get if state.exists else ([],)
-        ring = list(ring)
+        ring = np.array(state.get[0] if state.exists else [], float)
         # a group comes in several frames, in any order: it is put in order as a whole
         rows = pd.concat([pdf[["step", "value"]] for pdf in batches]).sort_values(["step", "value"])
+        rows = rows[np.isfinite(rows["value"].to_numpy(float))]
         for lo in range(0, len(rows), FRAME_ROWS):
-            out = []
-            for step, value in rows.iloc[lo : lo + FRAME_ROWS].itertuples(index=False):
-                if not np.isfinite(value):
-                    continue
-                full = len(ring) >= buffer
-                out.append((key[0], int(step), min(float(np.percentile(ring[-buffer:], 100 * percentile)), cap) if full else cap))
-                ring = [*ring, float(value)][-buffer:]
-            yield pd.DataFrame(out, columns=["run", "step", "threshold"])
-        state.update((ring,))
+            part = rows.iloc[lo : lo + FRAME_ROWS]
+            seen = np.concatenate([ring, part["value"].to_numpy(float)])
+            threshold = np.full(len(part), cap)
+            full = np.lib.stride_tricks.sliding_window_view(seen[:-1], buffer) if len(seen) > buffer else np.empty((0, buffer))
+            if len(full):  # of each step but the first few, the window that ends before it
+                threshold[len(part) - len(full) :] = np.minimum(np.percentile(full, 100 * percentile, axis=1), cap)
+            ring = seen[-buffer:]
+            yield pd.DataFrame({"run": [key[0]] * len(part), "step": part["step"].to_numpy(), "threshold": threshold})
+        state.update((ring.tolist(),))
 
     return run
 

@@ -123,6 +123,25 @@ def face_type_name(code) -> Column:
     return F.coalesce(known[c(code).cast("int")], F.lit(DEFAULT_TYPE))
 
 
+#: Fixed colours of the classes 0 to 7, red, green and blue.
+CLASS_COLORS = (
+    (0.12, 0.47, 0.71), (1.00, 0.50, 0.05), (0.17, 0.63, 0.17), (0.84, 0.15, 0.16),
+    (0.58, 0.40, 0.74), (0.55, 0.34, 0.29), (0.89, 0.47, 0.76), (0.50, 0.50, 0.50),
+)
+
+
+def class_id(name: Column, classes: list[str] | tuple[str, ...]) -> Column:
+    """0-based place of a class name, -1 if it is none."""
+    return F.array_position(F.array(*[F.lit(x) for x in classes]), name) - 1
+
+
+def class_color(one_hot: Column) -> Column:
+    """Colour of the largest of 8 channels, the first of equal ones; of 7 channels the first class is taken as missing."""
+    padded = F.when(F.size(one_hot) == len(CLASS_COLORS) - 1, F.concat(F.array(F.lit(0.0)), one_hot.cast("array<double>"))).otherwise(one_hot.cast("array<double>"))
+    palette = F.array(*[F.array(*[F.lit(v) for v in rgb]) for rgb in CLASS_COLORS])
+    return F.get(palette, (F.array_position(padded, F.array_max(padded)) - 1).cast("int"))
+
+
 def rotation_free_inverse(matrix: list[list[Column]]) -> list[list[Column]]:
     """Inverse of a rigid 4x4: transpose the rotation, rotate the shift back."""
     r = [[matrix[j][i] for j in range(3)] for i in range(3)]

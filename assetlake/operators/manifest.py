@@ -60,6 +60,26 @@ def funnel(df: DataFrame, steps: list[tuple[str, Column]], by: str) -> DataFrame
     return df.groupBy(by).agg(*aggs).select(by, rows.alias("s")).select(by, "s.step", "s.name", "s.left")
 
 
+def needs(field: str, selected: str) -> bool:
+    """Whether a comma-separated choice of fields, or ``all``, asks for a field."""
+    chosen = {x.strip() for x in selected.split(",")}
+    return "all" in chosen or field in chosen
+
+
+def filter_reasons(df: DataFrame, reasons: list[str], reason: str = "reason") -> DataFrame:
+    """Rejected rows with one of the reasons; it is an error at run time if there is none."""
+    kept = df.where(F.col(reason).isin(reasons))
+    n = F.broadcast(kept.agg(F.count("*").alias("_n")))
+    some = F.assert_true(F.col("_n") > 0, F.lit(f"no row with reason {', '.join(sorted(reasons))}")).isNull()
+    return n.where(some).crossJoin(kept).drop("_n")
+
+
+def limit_samples(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in manifest order, with their index; 0 takes all."""
+    indexed = with_global_index(df, order)
+    return indexed.where(F.col("idx") < n) if n else indexed
+
+
 def with_default_flags(df: DataFrame, flags: list[str], counts: tuple[str, ...] = ("num_voxels",)) -> DataFrame:
     """Missing or null flags are false, counts 0."""
     have = set(df.columns)
@@ -177,8 +197,12 @@ def split_by_rank(df: DataFrame, rank: str, target: int, val: int, policy: str =
     return df.withColumn("split", split)
 
 
-def order_by_split(df: DataFrame, split: str, rank: str) -> DataFrame:
-    return df.orderBy(F.when(F.col(split) == "val", 0).when(F.col(split) == "train", 1).otherwise(2), rank)
+def order_by_split(df: DataFrame, split: str, rank: str, first: tuple[str, ...] = ("val", "train")) -> DataFrame:
+    """Rows in the order of their splits, others last, then by rank, with their ``position``."""
+    place = F.lit(len(first))
+    for i, name in reversed(list(enumerate(first))):
+        place = F.when(F.col(split) == name, i).otherwise(place)
+    return with_global_index(df.withColumn("_split", place), ["_split", rank], "position").drop("_split")
 
 
 def select_first(df: DataFrame, order: list[str], target: int, reserve: int) -> DataFrame:
@@ -201,4 +225,10 @@ def keep_unpruned(final: DataFrame, removed: DataFrame, key: str) -> DataFrame:
 
 def pick_one(df: DataFrame, group: str, item: str, seed: int) -> DataFrame:
     """One item of each group, the same on each run with one seed."""
-    return df.groupBy(group).agg(F.min_by(item, F.struct(F.xxhash64(F.lit(seed), group, item), F.col(item))).alias(item))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), F.col(item).cast("string")).cast("binary"))
+    return df.groupBy(group).agg(F.min_by(item, F.struct(order, F.col(item))).alias(item))
+
+
+def intersect_members(members: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """Archive members that are manifest ids, each once."""
+    return members.select(key).intersect(manifest.select(key))

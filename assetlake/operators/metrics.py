@@ -225,16 +225,22 @@ def recover_eps(xt: Column, v: Column, t: Column) -> Column:
     return F.zip_with(xt, v, lambda x, u: (1 - t) * u + x)
 
 
+def _seeded_share(seed: str, key: str) -> Column:
+    """A number in (0, 1) that looks random, the same for a key on each run and in every engine that has md5."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
 def drop_condition(df: DataFrame, key: str, cond: str, negative: Column, p: float, seed: int) -> DataFrame:
     """The condition is replaced with probability p, the same rows on each run."""
-    share = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn(cond, F.when(share < p, negative).otherwise(F.col(cond)))
+    return df.withColumn(cond, F.when(_seeded_share(str(seed), key) < p, negative).otherwise(F.col(cond)))
 
 
-def sample_t(df: DataFrame, kind: str, seed: int, mean: float = 0.0, std: float = 1.0) -> DataFrame:
-    """Times in (0, 1): uniform, logit-normal, or 80 % logit-normal with 20 % uniform."""
-    normal = G.sigmoid(F.randn(seed) * std + mean)
-    t = {"uniform": F.rand(seed), "logit_normal": normal, "mixture": F.when(F.rand(seed + 1) < 0.8, normal).otherwise(F.rand(seed + 2))}[kind]
+def sample_t(df: DataFrame, key: str, kind: str, seed: int, mean: float = 0.0, std: float = 1.0) -> DataFrame:
+    """Times in (0, 1): uniform, logit-normal, or 80 % logit-normal with 20 % uniform; the same for a key on each run."""
+    u = [_seeded_share(f"{seed}-{i}", key) for i in range(4)]
+    normal = G.sigmoid(F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * F.pi() * u[1]) * std + mean)
+    t = {"uniform": u[2], "logit_normal": normal, "mixture": F.when(u[3] < 0.8, normal).otherwise(u[2])}[kind]
     return df.withColumn("t", t)
 
 
@@ -263,3 +269,26 @@ def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
     nested = top.withColumn("m", F.when(F.col("v").startswith("{"), inner))
     deep = nested.where("m is not null").select(key, "k", F.explode("m").alias("k2", "v2")).select(key, F.concat_ws("/", "k", "k2").alias("path"), F.col("v2").alias("value"))
     return nested.where("m is null").select(key, F.col("k").alias("path"), F.col("v").alias("value")).unionByName(deep)
+
+
+def merge_leaves(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Leaves (key, path, value) of both sides' objects together; a path that both have, or one below another's leaf, is an error at run time."""
+    both = left.unionByName(right)
+    inner = both.where(F.col("path").contains("/")).select(key, F.substring_index("path", "/", 1).alias("path")).distinct().withColumn("_inner", F.lit(1))
+    n = both.groupBy(key, "path").agg(F.count("*").alias("_n"), F.first("value").alias("value")).join(inner, [key, "path"], "left")
+    once = F.assert_true((F.col("_n") == 1) & F.col("_inner").isNull(), F.concat(F.lit("duplicate leaf "), F.col("path"))).isNull()
+    return n.where(once).select(key, "path", "value")
+
+
+def parse_captions(text: Column, plain: Column) -> tuple[Column, Column]:
+    """(first caption of a JSON list of strings, or the plain one; whether the list is valid)."""
+    return F.coalesce(F.get(F.from_json(text, "array<string>"), F.lit(0)), plain), F.json_array_length(text).isNotNull()
+
+
+def minmax_scale(x: Column, by: list[str] | None = None, bounds: tuple[float, float] | None = None) -> Column:
+    """(x - min) / (max - min + 1e-8) within ``by``; with ``bounds`` those are used and the result is clipped to [0, 1]."""
+    if bounds:
+        lo, hi = bounds
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - lo) / (hi - lo)))
+    w = Window.partitionBy(*(by or []))
+    return (x - F.min(x).over(w)) / (F.max(x).over(w) - F.min(x).over(w) + 1e-8)

@@ -16,6 +16,8 @@ from assetlake.session import cut
 XYZ = ("x", "y", "z")
 #: Points of a group up to which all of them are candidates for each other.
 SMALL_GROUP = 64
+#: Cell widths tried are the group's extent over 4^0 to 4^LEVELS.
+LEVELS = 8
 
 
 def valid_points(df: DataFrame, limit: float = 1.05) -> DataFrame:
@@ -79,14 +81,25 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
     Both have ``id, x, y, z``. Candidates come from the 27 grid cells around the
     query; an answer stands once its k-th distance is no more than the cell width,
     which is how far those cells surely reach. The others try again with cells twice
-    as wide. Cells start at a width that should hold about k points. Columns: keys,
+    as wide. Cells start, per group, at the widest of some widths at which no cell holds
+    many points, so outliers and clusters don't make a group one cell; of points in one
+    place only the k first by id can be answers, and only they are kept. Columns: keys,
     id, nid, d2, r (1-based, ties by nid). Query points whose keys have no reference
     point have no row.
     """
-    stats = ref.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_e{a}") for a in XYZ])
-    width = F.greatest(F.greatest(*[F.col(f"_e{a}") for a in XYZ]) * F.pow(F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)), F.lit(1e-9))
-    stats = cut(stats.select(*keys, "_n", F.least(F.col("_n"), F.lit(k)).alias("_k"), width.alias("_h0")))
-    r0 = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ]).join(stats, keys)
+    place = Window.partitionBy(*keys, *[f"n{a}" for a in XYZ]).orderBy("nid")
+    first = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ])
+    first = cut(first.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p"))
+    stats = first.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(f"n{a}") - F.min(f"n{a}")).alias(f"_e{a}") for a in XYZ])
+    extent = F.greatest(*[F.col(f"_e{a}") for a in XYZ], F.lit(1e-9))
+    stats = cut(stats.select(*keys, "_n", F.least(F.col("_n"), F.lit(k)).alias("_k"), extent.alias("_e")))
+    crowd = first.join(stats.where(F.col("_n") > SMALL_GROUP), keys).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    width = F.col("_e") / F.pow(F.lit(4.0), F.col("_l"))
+    crowd = crowd.groupBy(*keys, "_l", *[F.floor(F.col(f"n{a}") / width).alias(f"_c{a}") for a in XYZ]).agg(F.count("*").alias("_in"))
+    fine = crowd.groupBy(*keys, "_l").agg(F.max("_in").alias("_in"))
+    level = fine.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_in") <= F.greatest(F.lit(SMALL_GROUP), F.lit(4 * k)), F.col("_l"))), F.lit(LEVELS)).alias("_l"))
+    stats = cut(stats.join(level, keys, "left").withColumn("_h0", F.col("_e") / F.pow(F.lit(4.0), F.coalesce("_l", F.lit(0)))).drop("_e", "_l"))
+    r0 = first.join(stats, keys)
     q0 = query.select(*keys, "id", *XYZ).join(stats.select(*keys, "_n"), keys)
     w = Window.partitionBy(*keys, "id")
 
@@ -301,3 +314,15 @@ def farthest_points(points: DataFrame, by: list[str], n: int, order: list[str],
 
     rows = arrays.withColumn("i", pick("p")).select(*by, "p", F.posexplode("i").alias("slot", "i"))
     return rows.select(*by, "slot", *[F.col("p")[F.col("i")][a].alias(a) for a in XYZ])
+
+
+def merge_point_sources(faces: DataFrame, edges: DataFrame, columns: list[str], most: float | None = None) -> DataFrame:
+    """Face points (label 0; valid ones only where a limit is given) and all edge points (label 1)."""
+    inner = faces if most is None else valid_points(faces, most)
+    one = lambda df, label: df.select(*columns, F.lit(label).alias("label"))
+    return one(inner, 0).unionByName(one(edges, 1))
+
+
+def explode_samples(points: DataFrame, step: float, voxel: list[str], slot: str, most: float) -> DataFrame:
+    """The valid points of each voxel, the first in slot order of those in one place."""
+    return dedup_first(valid_points(points, most), step, voxel, [slot])

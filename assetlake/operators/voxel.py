@@ -12,6 +12,8 @@ from assetlake.functions import geometry as G
 from assetlake.operators.graph import connected_components
 
 XYZ = ("x", "y", "z")
+#: Resolution up to which the voxels of an asset go to one task: a grid of 8 MB.
+TASK_RES = 128
 KEY = ("b", *XYZ)
 
 
@@ -100,16 +102,23 @@ def grid_labels(coords: np.ndarray, res: int) -> np.ndarray:
             label = up
 
 
-def component_sizes(vox: DataFrame, res: int) -> DataFrame:
-    """Per asset: components, size of the largest, voxels. One task holds one asset, at most res^3 voxels."""
+def component_sizes(vox: DataFrame, res: int, task_res: int = TASK_RES) -> DataFrame:
+    """Per asset: components, size of the largest, voxels; repeated voxels count once.
+
+    Up to resolution ``task_res`` an asset is at most task_res^3 voxels and is handled by
+    one task; finer grids are a graph job over all voxels, whatever an asset's size.
+    """
+    kept = vox.select(F.col("b").cast("long").alias("b"), *XYZ).distinct()
+    if res > task_res:
+        sizes = voxel_components(kept, res).groupBy("b", "component").agg(F.count("*").alias("n"))
+        return sizes.groupBy("b").agg(F.count("*").alias("component_count"), F.max("n").alias("largest_component_size"), F.sum("n").alias("total_voxels"))
 
     def run(t: pa.Table) -> pa.Table:
-        coords = np.unique(np.stack([t.column(a).to_numpy() for a in XYZ], axis=1), axis=0)
+        coords = np.stack([t.column(a).to_numpy() for a in XYZ], axis=1)
         sizes = np.bincount(grid_labels(coords, res))
         row = [t.column("b")[0].as_py(), int(np.count_nonzero(sizes)), int(sizes.max()), len(coords)]
         return pa.Table.from_arrays([pa.array([v], pa.int64()) for v in row], names=["b", "component_count", "largest_component_size", "total_voxels"])
 
-    kept = vox.select(F.col("b").cast("long").alias("b"), *XYZ)
     return kept.groupBy("b").applyInArrow(run, "b long, component_count long, largest_component_size long, total_voxels long")
 
 
@@ -200,6 +209,14 @@ def coalesce_duplicates(vox: DataFrame, channels: int) -> DataFrame:
     return vox.groupBy(*KEY).agg(F.array(*[F.sum(F.col("feats")[i]) for i in range(channels)]).alias("feats"))
 
 
+def full_grid_of(batches: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int], channels: int, value: float) -> DataFrame:
+    """All voxels lo to hi, both included, of each batch ``b`` of a table, with constant features."""
+    out = batches.select(F.col("b").cast("int").alias("b"))
+    for a, low, high in zip(XYZ, lo, hi, strict=True):
+        out = out.withColumn(a, F.explode(F.sequence(F.lit(low), F.lit(high))))
+    return out.withColumn("feats", F.array(*[F.lit(float(value))] * channels))
+
+
 def to_dense(vox: DataFrame, res: int, value: Column) -> DataFrame:
     """One flat array of res^3 values per batch, 0 where empty."""
 
@@ -317,17 +334,20 @@ def standardize_groups(vox: DataFrame, channels: int, groups: int, eps: float =
     """Per batch and channel group: minus the mean, over sqrt(population variance + eps)."""
     per = channels // groups
     part = [F.slice("feats", i * per + 1, per) for i in range(groups)]
-    sums = [F.sum(F.aggregate(p, F.lit(0.0), lambda s, x: s + x)).alias(f"s{i}") for i, p in enumerate(part)]
-    squares = [F.sum(F.aggregate(p, F.lit(0.0), lambda s, x: s + x * x)).alias(f"q{i}") for i, p in enumerate(part)]
-    g = vox.groupBy("b").agg(F.count("*").alias("_n"), *sums, *squares)
-    out = vox.join(g, "b")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    means = [F.avg(total(p) / per).alias(f"m{i}") for i, p in enumerate(part)]
+
+    # a voxel's squares about its own mean, and the spread of those means: nothing large is subtracted
+    def about_mean(p: Column) -> Column:
+        return total(F.transform(p, lambda x: (x - total(p) / per) * (x - total(p) / per)))
+
+    inside = [F.avg(about_mean(p) / per).alias(f"w{i}") for i, p in enumerate(part)]
+    between = [F.var_pop(total(p) / per).alias(f"v{i}") for i, p in enumerate(part)]
+    out = vox.join(vox.groupBy("b").agg(*means, *inside, *between), "b")
     feats = []
     for ch in range(channels):
         i = ch // per
-        n = F.col("_n") * per
-        mean = F.col(f"s{i}") / n
-        var = F.greatest(F.col(f"q{i}") / n - mean * mean, F.lit(0.0))
-        feats.append((F.col("feats")[ch] - mean) / F.sqrt(var + eps))
+        feats.append((F.col("feats")[ch] - F.col(f"m{i}")) / F.sqrt(F.col(f"w{i}") + F.col(f"v{i}") + eps))
     return out.select(*[x for x in vox.columns if x != "feats"], F.array(*feats).alias("feats"))
 
 

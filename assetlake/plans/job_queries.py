@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetlake.functions import geometry as G
 from assetlake.operators import manifest as M
 from assetlake.plans import jobs as J
-from assetlake.plans.manifest_queries import manifest
+from assetlake.plans.manifest_queries import manifest, scratch
 from assetlake.plans.metric_queries import _LAT, _LOG, _OUT, latents, log, pairs, rounded
 from assetlake.plans.point_queries import cloud
 from assetlake.plans.registry import Registry
@@ -36,6 +36,19 @@ def job_prune(t):
     return J.prune_dataset(final, reasons, "doc_id")[2]
 
 
+@R.query("job_prune_live", """WITH f AS (SELECT doc_id, quality, CASE WHEN r < 40 THEN 'val' ELSE 'train' END AS split, r AS rank FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM (<man>)) WHERE r < 180)
+SELECT doc_id, split, rank, true AS stored FROM f WHERE quality = 1 UNION ALL SELECT doc_id, 'artifact', 0, true FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f WHERE quality IS NULL OR quality = 0)""")
+def job_prune_live(t):
+    m, data, latents = manifest(t), scratch(t, "dataset"), scratch(t, "latents")
+    final = M.split_by_rank(M.with_global_index(m.select("doc_id"), ["doc_id"], "rank"), "rank", 180, 40).where("split is not null")
+    final.write.parquet(data)
+    t.documents.select("doc_id").write.parquet(latents)
+    reasons = m.select("doc_id", F.when(F.col("quality").isNull(), "unlabelled").when(F.col("quality") == 0, "low").alias("reason"))
+    J.prune_stored(t.spark, data, reasons, "doc_id", "001", {"latents": latents}, dry_run=False)
+    left = t.spark.read.parquet(data).select("doc_id", "split", "rank", F.lit(True).alias("stored"))
+    return left.unionByName(t.spark.read.parquet(latents).select("doc_id", F.lit("artifact").alias("split"), F.lit(0).cast("long").alias("rank"), F.lit(True).alias("stored")))
+
+
 @R.query("job_rank_cases", """WITH s AS (SELECT asset, round(count(*) FILTER (WHERE outcome = 'TP') / (count(*) + 1e-8), 9) AS iou FROM (<out>) GROUP BY asset), r AS (SELECT *, row_number() OVER (ORDER BY iou DESC, asset) - 1 AS p, count(*) OVER () AS n FROM s)
 SELECT asset, 'best' AS kind, p AS place FROM r WHERE p < 4 UNION ALL SELECT asset, 'middle', p - (n - 4) // 2 FROM r WHERE p >= (n - 4) // 2 AND p < (n - 4) // 2 + 4 UNION ALL SELECT asset, 'worst', n - 1 - p FROM r WHERE p >= n - 4""")
 def job_rank_cases(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
@@ -17,6 +17,7 @@ from assetlake.operators import sampling as S
 from assetlake.operators import views as W
 from assetlake.operators import voxel as V
 from assetlake.session import cut, materialize
+from assetlake.sources import files
 
 
 @dataclass(frozen=True)
@@ -96,12 +97,36 @@ def finalize_dataset(status: DataFrame, target: int, val: int) -> DataFrame:
 
 
 def prune_dataset(final: DataFrame, reasons: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept in split order, removed with reason, counts): nothing is written, so this is the dry run too."""
+    """(kept in split order, removed with reason, counts): nothing is written, so this is the dry run of ``prune_stored``."""
     removed = final.join(reasons.where("reason is not null").select(key, "reason"), key)
     counts = removed.groupBy("split", "reason").agg(F.count("*").alias("n"))
     return M.order_by_split(M.keep_unpruned(final, removed, key), "split", "rank"), removed, counts
 
 
+def prune_stored(spark: SparkSession, path: str, reasons: DataFrame, key: str, tag: str, artifacts: dict[str, str] | None = None, dry_run: bool = True) -> DataFrame:
+    """Prune the stored data set at ``path``; returns what goes, by split and reason.
+
+    Without ``dry_run`` the table is replaced by the kept rows in split order, the old
+    one stays as a backup named by ``tag``, and the removed keys go from each artefact
+    table (name to path) likewise. Run again with the same tag, it finishes what is left.
+    """
+    if not dry_run and files.finish_swap(spark, path, tag):
+        final = spark.read.parquet(f"{path}.backup-{tag}")
+    else:
+        final = spark.read.parquet(path)
+    kept, removed, counts = prune_dataset(final, reasons, key)
+    counts = cut(counts)
+    if dry_run:
+        return counts
+    removed = cut(removed.select(key))
+    for where in (artifacts or {}).values():
+        if not files.finish_swap(spark, where, tag):
+            files.delete_artifacts(spark.read.parquet(where), removed, key, where, tag, dry_run=False)
+    if not files.finish_swap(spark, path, tag):
+        files.replace_table(kept.drop("position"), path, tag)
+    return counts
+
+
 def build_manifest(published: DataFrame, records: DataFrame, listing: DataFrame, key: str, columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Records merged, defaults set, flags derived from artefacts; and the statistics."""
     m = M.merge_records(published, records, key, columns, order)

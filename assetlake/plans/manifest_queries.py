@@ -64,7 +64,9 @@ def content_hash(t):
 
 @R.query("artifact_presence", "SELECT doc_id, rendered AND coalesce(voxelized, false) AS latent FROM (<man>)")
 def artifact_presence(t):
-    listing = t.labels.where("quality = 1").select("doc_id")
+    path = scratch(t, "latents")  # a file an asset, as its stage leaves them
+    t.labels.where("quality = 1").select("doc_id", F.lit("done").alias("value")).repartition(4).write.partitionBy("doc_id").text(path)
+    listing = S.scan_artifacts(t.spark, path, r"doc_id=(\d+)/", "latent").select(F.col("key").cast("long").alias("doc_id"))
     m = manifest(t).select("doc_id", "rendered", F.lit(None).cast("boolean").alias("latent"))
     return M.flag_from_artifacts(m, listing, "doc_id", "latent", ["rendered"]).select("doc_id", "latent")
 
@@ -216,8 +218,7 @@ def split_rank(t):
 
 @R.query("split_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, doc_id) - 1 AS position FROM documents")
 def split_order(t):
-    d = t.documents.select("doc_id", F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).otherwise(2).alias("k"))
-    return M.with_global_index(d, ["k", "doc_id"], "position").select("doc_id", "position")
+    return M.order_by_split(t.documents.select("doc_id", "lang"), "lang", "doc_id", ("de", "en")).select("doc_id", "position")
 
 
 @R.query("latest_step", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS run, max(CAST(regexp_extract(url, '(\\d+)', 1) AS BIGINT)) AS step FROM pages WHERE regexp_matches(url, '\\d') GROUP BY 1")
@@ -237,17 +238,37 @@ def prune_keep(t):
 
 @R.query("key_intersect", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def key_intersect(t):
-    return t.documents.select("doc_id").intersect(t.labels.select("doc_id"))
+    return M.intersect_members(t.documents, t.labels, "doc_id")
 
 
-@R.query("pick_one")
+@R.query("pick_one", "SELECT user_id, arg_min(event_id, (md5('11|' || user_id || '|' || event_id), event_id)) AS event_id FROM events GROUP BY user_id")
 def pick_one(t):
     return M.pick_one(t.events.select("user_id", "event_id"), "user_id", "event_id", 11)
 
 
-@R.query("stream_merge_batch", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
-def source_counts(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+@R.query("limit_samples", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS idx FROM documents ORDER BY idx LIMIT 50")
+def limit_samples(t):
+    return M.limit_samples(t.documents.select("source", "doc_id"), ["source", "doc_id"], 50).select("doc_id", "idx")
 
 
-del QUERIES["stream_merge_batch"], ORACLES["stream_merge_batch"]
+@R.query("filter_reasons", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'low' END AS reason FROM (<man>) WHERE quality = 0")
+def filter_reasons(t):
+    reason = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("quality") == 0, "low")
+    return M.filter_reasons(manifest(t).select("doc_id", reason.alias("reason")), ["low"])
+
+
+@R.query("file_hash", "SELECT source, sha256(string_agg(doc_id || '|' || n_chars || chr(10), '' ORDER BY doc_id)) AS sha256, sum(length(doc_id || '|' || n_chars || chr(10)))::BIGINT AS length FROM documents GROUP BY source")
+def file_hash(t):
+    path = scratch(t, "files")
+    lines = t.documents.select("source", "doc_id", F.concat_ws("|", "doc_id", "n_chars").alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    source = F.regexp_extract("path", "source=([^/]+)/", 1)
+    return S.content_sha256(t.spark, path).where(source != "").select(source.alias("source"), "sha256", "length")
+
+
+@R.query("delete_artifacts", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_artifacts(t):
+    path = scratch(t, "artifacts")
+    t.documents.select("doc_id", "n_chars").write.parquet(path)
+    S.delete_artifacts(t.spark.read.parquet(path), t.labels.where("quality = 0"), "doc_id", path, "001", dry_run=False)
+    return t.spark.read.parquet(path)

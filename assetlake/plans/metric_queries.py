@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
@@ -43,6 +47,24 @@ def latent_explode(t):
     return latents(t)
 
 
+@R.query("npz_roundtrip", "SELECT vec_id AS asset, i::INT AS position, embedding[i+1]::DOUBLE AS value FROM embeddings, range(64) r(i)")
+def npz_roundtrip(t):
+    """Vectors as NPZ contents, one an asset, decoded again."""
+    from assetlake.sources import files as S
+
+    @F.pandas_udf("binary")
+    def npz(vectors: pd.Series) -> pd.Series:
+        def one(v):
+            out = io.BytesIO()
+            np.savez(out, mean=np.asarray(v, np.float32).reshape(8, 8))
+            return out.getvalue()
+
+        return vectors.map(one)
+
+    packed = t.embeddings.select(F.concat(F.lit("latents/"), "vec_id", F.lit(".npz")).alias("path"), npz("embedding").alias("content"))
+    return S.decode_npz(packed, "mean").select(F.col("asset").cast("long").alias("asset"), F.posexplode("values").alias("position", "v")).select("asset", "position", F.col("v").cast("double").alias("value"))
+
+
 @R.query("score_stats", "SELECT asset, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS median FROM (<lat>) GROUP BY asset")
 def score_stats(t):
     return rounded(M.score_stats(latents(t), "asset", "value"), 6, "mean", "std")
@@ -241,12 +263,16 @@ def diffuse_pairs(t):
     return d.select("asset", F.posexplode(F.arrays_zip("xt", "v", "x0")).alias("i", "p")).select("asset", "i", *[r6(f"p.{c}").alias(c) for c in ("xt", "v", "x0")])
 
 
-@R.query("sample_t")
+def _share(seed: str, key: str) -> str:
+    return f"((('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+@R.query("sample_t", f"SELECT vec_id, round(CASE WHEN {_share('5-3', 'vec_id')} < 0.8 THEN 1 / (1 + exp(-sqrt(-2 * ln({_share('5-0', 'vec_id')})) * cos(2 * pi() * {_share('5-1', 'vec_id')}))) ELSE {_share('5-2', 'vec_id')} END, 7) AS t FROM embeddings")
 def sample_t(t):
-    return M.sample_t(t.embeddings.select("vec_id"), "mixture", 5)
+    return rounded(M.sample_t(t.embeddings.select("vec_id"), "vec_id", "mixture", 5), 7, "t")
 
 
-@R.query("drop_cond")
+@R.query("drop_cond", f"SELECT doc_id, CASE WHEN {_share('3', 'doc_id')} < 0.1 THEN 'none' ELSE lang END AS lang FROM documents")
 def drop_cond(t):
     return M.drop_condition(t.documents.select("doc_id", "lang"), "doc_id", "lang", F.lit("none"), 0.1, 3)
 
@@ -272,11 +298,18 @@ def json_props(t):
 def parse_captions(t):
     text = F.when(F.col("event_id") % 9 == 0, "not a list").otherwise(F.to_json(F.array(F.concat_ws("-", "event_type", "user_id"), F.lit("x"))))
     e = t.events.select("event_id", F.concat_ws("-", "event_type", "user_id").alias("plain"), text.alias("captions"))
-    parsed = F.from_json("captions", "array<string>")
-    return e.select("event_id", F.coalesce(F.get(parsed, F.lit(0)), F.col("plain")).alias("caption"), F.json_array_length("captions").isNotNull().alias("valid"))
+    caption, valid = M.parse_captions(F.col("captions"), F.col("plain"))
+    return e.select("event_id", caption.alias("caption"), valid.alias("valid"))
 
 
 @R.query("flatten_json", "SELECT event_id, 'a/k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events")
 def flatten_json(t):
     e = t.events.select("event_id", F.to_json(F.struct(F.from_json("props", "k long").alias("a"), F.col("event_type").alias("type"))).alias("j"))
     return M.flatten_json(e, "event_id", "j")
+
+
+@R.query("merge_leaves", "SELECT event_id, 'a/k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'a/user', user_id::VARCHAR FROM events")
+def merge_leaves(t):
+    one = t.events.select("event_id", F.to_json(F.struct(F.from_json("props", "k long").alias("a"), F.col("event_type").alias("type"))).alias("j"))
+    two = t.events.select("event_id", F.to_json(F.struct(F.struct(F.col("user_id").alias("user")).alias("a"))).alias("j"))
+    return M.merge_leaves(M.flatten_json(one, "event_id", "j"), M.flatten_json(two, "event_id", "j"), "event_id")

@@ -75,8 +75,8 @@ def dedup_mean(t):
 
 @R.query("explode_samples", "SELECT asset, CAST(label AS INT) AS voxel, slot FROM (SELECT *, row_number() OVER (PARTITION BY asset, CAST(round_even(x / 0.05, 0) AS BIGINT), CAST(round_even(y / 0.05, 0) AS BIGINT), CAST(round_even(z / 0.05, 0) AS BIGINT) ORDER BY slot) AS k FROM (<pts>) WHERE abs(x) <= 0.3::DOUBLE AND abs(y) <= 0.3::DOUBLE AND abs(z) <= 0.3::DOUBLE) WHERE k = 1")
 def explode_samples(t):
-    p = P.valid_points(points(t).withColumn("voxel", F.col("label").cast("int")), 0.3)
-    return P.dedup_first(p, 0.05, ["asset", "voxel"], ["slot"]).select("asset", "voxel", "slot")
+    p = points(t).withColumn("voxel", F.col("label").cast("int"))
+    return P.explode_samples(p, 0.05, ["asset", "voxel"], "slot", 0.3).select("asset", "voxel", "slot")
 
 
 @R.query("knn_embeddings", "SELECT asset, slot, nid, r, round(sqrt(d2), 6) AS dist FROM (<knn>)", r="INT")
@@ -218,3 +218,14 @@ def shape_reason(t):
     }
     rows = t.embeddings.select("vec_id", (F.col("vec_id") % 29 == 0).alias("invalid"), (F.col("embedding")[0] > 0).alias("any_mask"), *[s.alias(f"{n}_shape") for n, s in shapes.items()])
     return rows.select(F.col("vec_id").alias("stem"), op().alias("reason"))
+
+
+_PARTS = "SELECT l_suppkey AS asset, l_orderkey * 8 + l_linenumber AS id, min(l_quantity)::DOUBLE AS x, min(l_discount * 100)::DOUBLE AS y, min(l_tax * 100)::DOUBLE AS z FROM lineitem GROUP BY ALL"
+
+
+@R.query("knn_parts", f"WITH p AS ({_PARTS}), d AS (SELECT a.asset, a.id, b.id AS nid, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM p a JOIN p b ON a.asset = b.asset) SELECT asset, id, nid, r::INT AS r, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY asset, id ORDER BY d2, nid) AS r FROM d) WHERE r <= 4")
+def knn_parts(t):
+    """Groups of hundreds of points, many of them in one place."""
+    at = [F.min(c).cast("double").alias(a) for c, a in ((F.col("l_quantity"), "x"), (F.col("l_discount") * 100, "y"), (F.col("l_tax") * 100, "z"))]
+    p = cut(t.lineitem.groupBy(F.col("l_suppkey").alias("asset"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(*at))
+    return P.knn(p, ["asset"], 4).select("asset", "id", "nid", "r", F.round("d2", 6).alias("d2"))

@@ -239,3 +239,11 @@ def stream_best(t):
 def stream_clip(t):
     log = event_stream(t).select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
     return collected(t, J.stream_clip(log, 0.9, 20, 100.0)).select("run", "step", F.round("threshold", 6).alias("threshold"))
+
+
+@R.query("stream_log_lines", "SELECT event_id AS step, 'loss' AS metric, value FROM events")
+def stream_log_lines(t):
+    """The events as text lines of a run log, read as a stream."""
+    path = scratch(t, "runlog")
+    t.events.select(F.concat(F.col("event_id").cast("string"), F.lit(": {'loss': "), F.col("value").cast("string"), F.lit("}")).alias("value")).write.text(path)
+    return collected(t, J.log_lines(t.spark, path)).select("step", "metric", "value")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
 from assetlake.operators import curation as Q
+from assetlake.operators import manifest as M
+from assetlake.operators import metrics as X
+from assetlake.operators import points as P
 from assetlake.operators import voxel as V
 from assetlake.plans.registry import Registry, Tables, r6
 
@@ -148,8 +150,8 @@ def coord_elementwise(t):
 
 @R.query("full_grid", "SELECT b::INT AS b, x::INT AS x, y::INT AS y, z::INT AS z, 0.5::DOUBLE AS v FROM range((SELECT count(*) FROM supplier)) a(b), range(0, 4) c(x), range(1, 4) d(y), range(2, 4) e(z)")
 def full_grid(t):
-    grid = V.full_grid(t.spark, (0, 1, 2), (3, 3, 3), t.supplier.count(), 1, 0.5)
-    return wide(grid, "v")
+    batches = M.with_global_index(t.supplier.select("s_suppkey"), ["s_suppkey"], "b")
+    return wide(V.full_grid_of(batches, (0, 1, 2), (3, 3, 3), 1, 0.5), "v")
 
 
 @R.query("dense_roundtrip", "SELECT b, x, y, z, n FROM (<vox>)")
@@ -256,8 +258,7 @@ def octree_refine(t):
 @R.query("point_union", "SELECT asset, x, y, z, 0 AS label FROM (<pts>) WHERE cls <> 'AF' UNION ALL SELECT asset, x, y, z, 1 FROM (<pts>) WHERE cls = 'AF'")
 def point_union(t):
     p = points(t).select("asset", "x", "y", "z", "cls")
-    side = lambda cond, label: p.where(cond).select("asset", "x", "y", "z", F.lit(label).alias("label"))
-    return side("cls <> 'AF'", 0).unionByName(side("cls = 'AF'", 1))
+    return P.merge_point_sources(p.where("cls <> 'AF'"), p.where("cls = 'AF'"), ["asset", "x", "y", "z"])
 
 
 @R.query("label_points", "WITH m AS (SELECT asset, vx, vy, vz, first(cls ORDER BY n DESC, cls) AS label FROM (SELECT asset, vx, vy, vz, cls, count(*) AS n FROM (<cells>) GROUP BY ALL) GROUP BY ALL) SELECT c.l_orderkey, c.l_linenumber, m.label FROM (<cells>) c JOIN m ON (m.asset, m.vx, m.vy, m.vz) = (c.asset, c.vx, c.vy, c.vz)")
@@ -269,11 +270,9 @@ def label_points(t):
 
 @R.query("minmax", "SELECT b, x, y, z, round((n - min(n) OVER (PARTITION BY b)) / (max(n) OVER (PARTITION BY b) - min(n) OVER (PARTITION BY b) + 1e-8), 6) + 0.0 AS v, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (sqrt(n * n + q * q) - 10) / 90)).round(6) + 0.0 AS w FROM (<vox>)")
 def minmax(t):
-    w = Window.partitionBy("b")
     n, q = F.col("feats")[0], F.col("feats")[1]
-    v = (n - F.min(n).over(w)) / (F.max(n).over(w) - F.min(n).over(w) + 1e-8)
-    fixed = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.sqrt(n * n + q * q) - 10) / 90))
-    return voxels(t).select("b", "x", "y", "z", r6(v).alias("v"), r6(fixed).alias("w"))
+    fixed = X.minmax_scale(F.sqrt(n * n + q * q), bounds=(10, 100))
+    return voxels(t).select("b", "x", "y", "z", r6(X.minmax_scale(n, ["b"])).alias("v"), r6(fixed).alias("w"))
 
 
 @R.query("restore_world", "SELECT l_orderkey, l_linenumber, round(x * greatest(ex, greatest(ey, ez)) / 2 + cx, 6) + 0.0 AS wx, round(y * greatest(ex, greatest(ey, ez)) / 2 + cy, 6) + 0.0 AS wy, round(z * greatest(ex, greatest(ey, ez)) / 2 + cz, 6) + 0.0 AS wz FROM (<pts>) p JOIN (SELECT s_suppkey, s_nationkey + 1.0::DOUBLE AS ex, 2.0::DOUBLE AS ey, 0.5::DOUBLE AS ez, s_nationkey / 2 AS cx, 1.0::DOUBLE AS cy, -0.25::DOUBLE AS cz FROM supplier) s ON s_suppkey = asset")
@@ -319,7 +318,7 @@ def crop_box(t):
 
 @R.query("class_color", "SELECT cls, list_position(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], cls) - 1 AS class_id, count(*) AS n FROM (<pts>) GROUP BY ALL", class_id="BIGINT")
 def class_color(t):
-    ids = F.array_position(F.array(*[F.lit(x) for x in CLASSES]), F.col("cls")) - 1
+    ids = G.class_id(F.col("cls"), CLASSES)
     return points(t).groupBy("cls").agg(F.count("*").alias("n")).select("cls", ids.alias("class_id"), "n")
 
 

@@ -183,3 +183,64 @@ def test_user_code(spark):
         U.dataset("nope")
     rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (1, "b", 5.0), (2, "b", 6.0)], "step int, path string, value double")
     assert {r.path: r.value for r in U.reduce_leaves(rows, "path", "value", special={"b": "last"}).collect()} == {"a": 2.0, "b": 6.0}
+
+
+def shard(spark, path, n):
+    spark.createDataFrame([(n, 10 * n)], "k long, v long").coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+@pytest.mark.parametrize("step", ["before", "between", "after"])
+def test_streamed_merge_survives_a_crash_at_each_rename(spark, tmp_path, monkeypatch, step):
+    table, shards, ck = (str(tmp_path / x) for x in ("manifest", "shards", "offsets"))
+    spark.createDataFrame([(i, 0) for i in range(4)], "k long, v long").write.parquet(table)
+    args = (spark, shards, "k long, v long", table, "k", ["v"], ck)
+    shard(spark, shards, 1)
+    J.stream_records(*args)
+    shard(spark, shards, 2)
+    whole = S._swap
+
+    def stops(s, path, tag):
+        (new, fs), (here, _), (old, _) = S._fs(s, f"{path}._staging-{tag}"), S._fs(s, path), S._fs(s, f"{path}.backup-{tag}")
+        if step != "before":
+            fs.rename(here, old)
+        if step == "after":
+            fs.rename(new, here)
+        raise OSError("the driver is gone")
+
+    monkeypatch.setattr(S, "_swap", stops)
+    with pytest.raises(Exception, match="the driver is gone"):
+        J.stream_records(*args)
+    monkeypatch.setattr(S, "_swap", whole)
+    J.stream_records(*args)
+    shard(spark, shards, 3)
+    J.stream_records(*args)
+    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [(0, 0), (1, 10), (2, 20), (3, 30)]
+
+
+def test_a_session_on_a_cluster_must_name_its_folder():
+    from assetlake.session import shared_dir
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Checkpoint:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return Checkpoint()
+
+    class Session:
+        conf = Conf()
+        sparkContext = Context()
+
+    Session.sparkContext._jsc = Session.sparkContext
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

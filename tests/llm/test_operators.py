@@ -248,11 +248,11 @@ def test_trees_keep_their_direction():
     assert ((model.score(x) > 0.5) == (x[:, 0] > 0.5)).mean() > 0.9
 
 
-def brute_sets(texts):
+def brute_sets(texts, width=3):
     out = []
     for t in texts:
         w = (t or "").encode().lower().split()
-        out.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     return out
 
 

@@ -27,8 +27,8 @@ END_ID = 1
 GROUP_SEQUENCES, MATRIX_SEQUENCES = 1024, 384
 #: UTF-8 bytes per token, to choose the number of groups.
 BYTES_PER_TOKEN = 3.5
-#: Runs that one worker remembers, some 100 MB.
-CACHE_WORDS = 1_000_000
+#: Runs that one worker remembers, some 60 MB.
+CACHE_WORDS = 600_000
 
 
 #: Texts of these characters only are the same after NFC, lower-case one by one, and hold no contraction.

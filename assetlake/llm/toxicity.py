@@ -49,6 +49,8 @@ class Terms(dict):
     def __init__(self, index: dict[int, int] | None = None):
         super().__init__()
         self.index = index
+        #: Beginnings that may be terms of the model at some rate.
+        self.stems = {(k - i * _RATE_STEP) % BUCKETS for k in index for i in range(len(RATES))} if index is not None else set()
 
     def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
         if len(self) >= CACHE_WORDS:
@@ -58,7 +60,7 @@ class Terms(dict):
         stems = tuple(_bucket(f"{term[:n]}\0") for n in STEMS if n <= len(term))
         if self.index is not None:
             own = tuple(self.index[k] for k in own if k in self.index)
-            stems = tuple(s for s in stems if any(self.rated(s, i) in self.index for i in range(len(RATES))))
+            stems = tuple(s for s in stems if s in self.stems)
         got = self[word] = own, stems
         return got
 

@@ -34,7 +34,22 @@ CACHE_WORDS = 600_000
 #: Texts of these characters only are the same after NFC, lower-case one by one, and hold no contraction.
 _PLAIN = re.compile("[ \n!-&(-~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \n]+")
-_PROBE = "Äpfel, x1y22 (straße)... FOO_bar|baz%% año!"
+#: Texts that show whether a tokenizer joins across spaces, line feeds or tabs, and whether it cuts as ``_RUNS`` does.
+_PROBES = (
+    "Äpfel, x1y22 (straße)... FOO_bar|baz%% año!",
+    "hello world, this is a test",
+    "one\ntwo\n\nthree \n four",
+    " begins  with two   or three blanks ",
+    "a\tb\t\tc\r\nd e's we'll I'M 10,000.5",
+)
+
+
+def id_type(tokenizer: str) -> np.dtype:
+    """Little-endian type that holds every id of a tokenizer: 16 bits, or 32 for a vocabulary beyond 65536."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(tokenizer).get_vocab().values(), default=0)
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
 
 
 def _byte_letters() -> list[str]:
@@ -45,28 +60,37 @@ def _byte_letters() -> list[str]:
 
 
 class WordIds:
-    """Ids of a text by a tokenizer that never joins across a space or line feed.
+    """Ids of a text, as the tokenizer gives them, with what was met before remembered.
 
     A plain text is cut into runs of letters, digits and marks, as the tokenizer
     would cut it, and only runs not met before go to its model. Other texts are
     looked at word by word: plain words likewise, the rest by the tokenizer itself.
-    If runs give other ids than the tokenizer on a probe, no text counts as plain.
+    If runs give other ids than the tokenizer on a probe, no text counts as plain;
+    if words cut at spaces and line feeds do, every text is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.type = Tokenizer.from_file(path), id_type(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.at: dict[str, int] = {}
-        self.plain = True
+        self.plain, self.whole = True, False
+        if not self._agrees():
+            self.plain = False
+            self.whole = not self._agrees()
         self.clear()
-        self.plain = self(_PROBE.encode()).tolist() == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+
+    def _agrees(self) -> bool:
         self.clear()
+        return all(self(x.encode()).tolist() == self._encode(x) for x in _PROBES)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
         self.at.clear()
-        self.ids = np.empty(1 << 16, np.uint16)
+        self.ids = np.empty(1 << 16, self.type)
         self.ends = np.zeros(1 << 12, np.int64)
         self.n = 0
 
@@ -88,7 +112,7 @@ class WordIds:
         begin = int(self.ends[self.n])
         for n, part in enumerate(parts, self.n):
             if part[0] == " ":
-                found += self.tokenizer.encode(part[1:], add_special_tokens=False).ids
+                found += self._encode(part[1:])
             else:
                 text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
                 found += [x.id for x in self.model.tokenize(text)]
@@ -103,11 +127,14 @@ class WordIds:
         self.n += len(parts)
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        parts = self._parts(raw.decode("utf-8", "replace"))
+        text = raw.decode("utf-8", "replace")
+        if self.whole:
+            return np.array(self._encode(text), self.type)
+        parts = self._parts(text)
         if self.n > CACHE_WORDS:
             self.clear()
         if not parts:
-            return np.empty(0, np.uint16)
+            return np.empty(0, self.type)
         k = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
         if k.min() < 0:
             self._learn(list(dict.fromkeys([parts[i] for i in np.flatnonzero(k < 0)])))
@@ -222,25 +249,31 @@ PACKERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, ids``: every document's ids and the end id, cut."""
+    """``doc_id, piece, start, length, ids_crc32, doc_tokens, ids``: every document's ids and the end id, cut.
+
+    ``ids`` are of the tokenizer's ``id_type``, the digest is of 32-bit ids whatever that is.
+    """
+    kind = id_type(tokenizer)
+    if end_id > np.iinfo(kind).max:
+        raise ValueError(f"end id {end_id} is beyond the ids of {tokenizer}")
 
     def make():
         encode = word_ids(tokenizer)
 
         def step(b: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-                ids = np.append(encode(raw or b""), np.uint16(end_id)).astype("<u4")
+                ids = np.append(encode(raw or b"").astype("<u4"), np.uint32(end_id))
                 for k, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
-                    row = (doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype("<u2").tobytes() if with_ids else None)
+                    row = (doc, k, start, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(kind).tobytes() if with_ids else None)
                     for c, v in zip(out.values(), row, strict=True):
                         c.append(v)
             return out
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def _groups(docs: DataFrame, length: int, sequences: int) -> int:
@@ -290,7 +323,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, method
     """
     prepare(docs.sparkSession)
     groups = _groups(docs, length, sequences)
-    pieces = token_pieces(docs, tokenizer, length, end_id, with_ids)
+    pieces = token_pieces(docs, tokenizer, length, end_id, with_ids).drop("doc_tokens")
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, g long, sequence_id long, offset long"
     out = _dealt(pieces, length, groups).groupBy("g").applyInArrow(_assigned(length, method), ddl)
     return out.drop("g") if with_ids else out.drop("g", "ids")
@@ -302,16 +335,16 @@ _SEQUENCE = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<i
 def packed_matrix(docs: DataFrame, tokenizer: str, length: int = LENGTH, method: str = "best_fit_decreasing", end_id: int = END_ID, pad_id: int = 0, sequences: int = MATRIX_SEQUENCES) -> DataFrame:
     """One row per sequence: the id row padded to ``length``, cumulative segment lengths, positions.
 
-    ``ids`` and ``position_ids`` are little-endian 16-bit; positions start again at 0
-    in each segment. ``cu_seqlens`` runs from 0 to the tokens used. Null and empty texts
+    ``ids`` are of the tokenizer's ``id_type``, ``position_ids`` little-endian 16-bit, 32-bit
+    for ``length`` beyond 65536; positions start again at 0 in each segment. ``cu_seqlens`` runs from 0 to the tokens used. Null and empty texts
     are the end id alone, overlong ones are cut without loss, repeated rows and null ids
     are segments like others. Extra columns are ignored; an empty table gives an empty
     result.
     """
     prepare(docs.sparkSession)
     groups = _groups(docs, length, sequences)
-    pieces = token_pieces(docs, tokenizer, length, end_id)
-    assign = _assigned(length, method)
+    pieces = token_pieces(docs, tokenizer, length, end_id).drop("doc_tokens")
+    assign, kind, place = _assigned(length, method), id_type(tokenizer), "<u2" if length <= 1 << 16 else "<u4"
 
     def rows(t: pa.Table) -> pa.Table:
         t = assign(t).sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
@@ -322,8 +355,8 @@ def packed_matrix(docs: DataFrame, tokenizer: str, length: int = LENGTH, method:
         for lo, hi in zip(heads, [*heads[1:], len(seq)], strict=True):
             cu = np.r_[0, np.cumsum(size[lo:hi])].astype(np.int32)
             n = int(cu[-1])
-            row, pos = np.full(length, pad_id, "<u2"), np.zeros(length, "<u2")
-            row[:n] = np.frombuffer(b"".join(ids[lo:hi]), "<u2")
+            row, pos = np.full(length, pad_id, kind), np.zeros(length, place)
+            row[:n] = np.frombuffer(b"".join(ids[lo:hi]), kind)
             pos[:n] = np.arange(n) - np.repeat(cu[:-1], np.diff(cu))
             for k, v in zip(out, (int(seq[lo]), n, docs_[lo:hi], piece[lo:hi], cu.tolist(), row.tobytes(), pos.tobytes()), strict=True):
                 out[k].append(v)

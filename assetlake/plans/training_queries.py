@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assetlake.operators import resume as P
 from assetlake.operators import sampling as S
 from assetlake.operators import views as W
 from assetlake.operators import voxel as V
@@ -14,6 +15,7 @@ from assetlake.plans.registry import Registry, Tables, r6
 from assetlake.plans.voxel_queries import _CELLS, points
 from assetlake.session import cut, shared_dir
 from assetlake.streaming import jobs as J
+from assetlake.streaming import ordered as O
 
 _GRID = f"SELECT asset, vx AS row, vy AS col, vx / 7.0::DOUBLE AS x, vy / 7.0::DOUBLE AS y, sum(vz)::DOUBLE / 100 AS z, count(*) % 5 <> 0 AS valid FROM ({_CELLS}) GROUP BY ALL"
 _CORNERS = f"""g AS ({_GRID}), q AS (SELECT a.*, b.z AS bz, c.z AS cz, d.z AS dz, a.valid AS va, b.row IS NOT NULL AS vb, c.row IS NOT NULL AS vc, d.row IS NOT NULL AS vd FROM g a LEFT JOIN g b ON b.asset = a.asset AND b.row = a.row AND b.col = a.col + 1 AND b.valid
@@ -206,6 +208,16 @@ def event_stream(t: Tables):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def step_stream(t: Tables):
+    """The events as norms of a run each, in files that come in two batches, and a row far behind that ends the wait."""
+    path, schema = scratch(t, "norms"), "run string, step long, value double"
+    log = t.events.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
+    log.repartitionByRange(3, "step").write.parquet(path)
+    end = log.agg(F.lit("").alias("run"), (F.coalesce(F.max("step"), F.lit(0)) + 1_000_000).alias("step"), F.lit(None).cast("double").alias("value"))
+    end.write.mode("append").parquet(path)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 @R.query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(t):
     got = collected(t, J.tumbling(event_stream(t), "ts", "event_type", "value", "1 hour"), "update")
@@ -237,8 +249,12 @@ def stream_best(t):
 
 @R.query("stream_clip", "WITH e AS (SELECT event_type AS run, event_id AS step, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) SELECT run, step, round(coalesce(lag(th) OVER (PARTITION BY run ORDER BY step), 100.0), 6) AS threshold FROM (SELECT run, step, CASE WHEN k >= 20 THEN least(quantile_cont(value, 0.9) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 100.0) ELSE 100.0 END AS th FROM e)")
 def stream_clip(t):
-    log = event_stream(t).select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
-    return collected(t, J.stream_clip(log, 0.9, 20, 100.0)).select("run", "step", F.round("threshold", 6).alias("threshold"))
+    return collected(t, O.stream_clip(step_stream(t), 0.9, 20, 100.0)).select("run", "step", F.round("threshold", 6).alias("threshold"))
+
+
+@R.query("stream_improvements", "SELECT run, step, best FROM (SELECT event_type AS run, event_id AS step, value AS best, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR best > before")
+def stream_improvements(t):
+    return collected(t, O.stream_improvements(step_stream(t))).drop("batch")
 
 
 @R.query("stream_log_lines", "SELECT event_id AS step, 'loss' AS metric, value FROM events")
@@ -247,3 +263,45 @@ def stream_log_lines(t):
     path = scratch(t, "runlog")
     t.events.select(F.concat(F.col("event_id").cast("string"), F.lit(": {'loss': "), F.col("value").cast("string"), F.lit("}")).alias("value")).write.text(path)
     return collected(t, J.log_lines(t.spark, path)).select("step", "metric", "value")
+
+
+_LINES = "SELECT event_id AS step, unnest(['loss', 'grad_norm']) AS metric, unnest([value, value / 2]) AS value FROM events WHERE event_id % 97 <> 5"
+
+
+@R.query("stream_step_windows", f"SELECT step // 100 AS \"window\", metric, round(avg(value), 6) AS mean, count(value) AS n FROM ({_LINES}) GROUP BY ALL")
+def stream_step_windows(t):
+    """Window means from the events as lines of a growing run log, some with NaN; each closed window comes once."""
+    path = scratch(t, "runlog")
+    loss = F.when(F.col("event_id") % 97 == 5, "nan").otherwise(F.col("value").cast("string"))
+    line = F.concat(F.col("event_id").cast("string"), F.lit(": {'loss': "), loss, F.lit(", 'grad_norm': np.float64("), (F.col("value") / 2).cast("string"), F.lit(")}"))
+    t.events.repartitionByRange(3, "event_id").select(line.alias("value")).write.text(path)
+    t.events.agg(F.concat((F.coalesce(F.max("event_id"), F.lit(0)) + 1_000_000).cast("string"), F.lit(": {'loss': 0.0}")).alias("value")).write.mode("append").text(path)
+    lines = t.spark.readStream.option("maxFilesPerTrigger", 2).text(path)
+    return collected(t, O.step_windows(lines, 100)).select("window", "metric", F.round("mean", 6).alias("mean"), "n")
+
+
+@R.query("resume_epoch", f"""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY {_MD5.format(13, 'doc_id')}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+a AS (SELECT doc_id, pos FROM o UNION ALL SELECT doc_id, pos + n FROM o WHERE pos < (4 - (n - 140) % 4) % 4)
+SELECT doc_id, 0::BIGINT AS epoch, pos, CASE WHEN pos < 140 THEN pos % 7 ELSE (pos - 140) % 4 END AS rank, CASE WHEN pos < 140 THEN pos // 7 ELSE 20 + (pos - 140) // 4 END AS slot FROM a""", rank="INT")
+def resume_epoch(t):
+    """One epoch: 20 slots of 7 ranks, and after a restart the rest with 4 ranks."""
+    path = scratch(t, "epochs")
+    args = (t.documents, "doc_id", path, "run-a", 13)
+    first, second = P.next_batch(*args, 7, 20), P.next_batch(*args, 4, 1 << 40)
+    return first if second is None else first.unionByName(second)
+
+
+@R.query("pending_runs", """WITH r AS (SELECT doc_id, n_chars, unnest([1, 2, 3]) AS run FROM documents),
+s AS (SELECT *, CASE WHEN n_chars < 60 THEN 'skip_prefilter' WHEN doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 7 = 0 AND run < 3 THEN 'build_failed' ELSE 'success' END AS status FROM r)
+SELECT doc_id, run, CASE WHEN status = 'success' AND (doc_id % 7 <> 0 AND run > 1) THEN 'cached' ELSE status END AS status, CASE WHEN status = 'build_failed' THEN 'run ' || run END AS error FROM s""", run="BIGINT")
+def pending_runs(t):
+    """Three runs over the documents, some of which fail until the third."""
+    path = scratch(t, "runs")
+
+    def build(run: int):
+        failed = (F.col("doc_id") % 7 == 0) & F.lit(run < 3)
+        status = F.when(F.col("n_chars") < 60, "skip_prefilter").when(F.col("doc_id") % 11 == 0, "empty").when(failed, "build_failed").otherwise("success")
+        return lambda todo: todo.withColumn("status", status).select("doc_id", "status", F.when(F.col("status") == "build_failed", F.lit(f"run {run}")).alias("error"))
+
+    runs = [P.run_pending(t.documents.select("doc_id", "n_chars"), "doc_id", build(run), path, run) for run in (1, 2, 3)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("doc_id", "run", "status", "error")

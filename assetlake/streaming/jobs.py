@@ -1,21 +1,26 @@
-"""Incremental forms: record merges, log windows, best values and clip thresholds."""
+"""Incremental forms: record merges, event windows and best values; what needs an order is in ``ordered``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.operators.manifest import merge_records
 from assetlake.sources.files import finish_swap, replace_table
-
-#: Rows of one frame that a stream puts out.
-FRAME_ROWS = 10_000
+from assetlake.streaming.ordered import STATE_STORE
 
 
 def drain(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over everything that is there and stop; ``sink(batch, id)`` gets each batch."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():  # a query keeps the settings it starts with
+        conf.set(k, v)
+    try:
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     q.awaitTermination()
 
 
@@ -64,37 +69,6 @@ def stream_best(log: DataFrame, mode: str = "max") -> DataFrame:
     return good.groupBy("run").agg(best.alias("b")).select("run", step.alias("step"), F.col("b.value").alias("best"))
 
 
-def _clip(percentile: float, buffer: int, cap: float):
-    import numpy as np
-
-    def run(key, batches, state):
-        ring = np.array(state.get[0] if state.exists else [], float)
-        # a group comes in several frames, in any order: it is put in order as a whole
-        rows = pd.concat([pdf[["step", "value"]] for pdf in batches]).sort_values(["step", "value"])
-        rows = rows[np.isfinite(rows["value"].to_numpy(float))]
-        for lo in range(0, len(rows), FRAME_ROWS):
-            part = rows.iloc[lo : lo + FRAME_ROWS]
-            seen = np.concatenate([ring, part["value"].to_numpy(float)])
-            threshold = np.full(len(part), cap)
-            full = np.lib.stride_tricks.sliding_window_view(seen[:-1], buffer) if len(seen) > buffer else np.empty((0, buffer))
-            if len(full):  # of each step but the first few, the window that ends before it
-                threshold[len(part) - len(full) :] = np.minimum(np.percentile(full, 100 * percentile, axis=1), cap)
-            ring = seen[-buffer:]
-            yield pd.DataFrame({"run": [key[0]] * len(part), "step": part["step"].to_numpy(), "threshold": threshold})
-        state.update((ring.tolist(),))
-
-    return run
-
-
-def stream_clip(log: DataFrame, percentile: float, buffer: int, cap: float) -> DataFrame:
-    """Clip threshold of each step from a ring of the last finite norms; rows of a batch must follow the earlier batches.
-
-    Within a batch rows may come in any order. A run's rows of one batch are held by one
-    task, two numbers a row; the source's limits (``maxFilesPerTrigger``) bound a batch.
-    """
-    return log.groupBy("run").applyInPandasWithState(_clip(percentile, buffer, cap), "run string, step long, threshold double", "ring array<double>", "append", "NoTimeout")
-
-
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text log appended by a run, as a stream of (step, metric, value)."""
     from assetlake.sources.files import parse_run_log

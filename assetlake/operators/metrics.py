@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
+from assetlake.session import cut
 
 
 def score_stats(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -72,9 +75,9 @@ def threshold_sweep(df: DataFrame, prob: str, truth: str, thresholds: list[float
     return r.select("threshold", (F.col("i") / (F.col("p") + F.col("g") - F.col("i") + 1e-8)).alias("iou"), (F.col("i") / one(F.col("p"))).alias("precision"), (F.col("i") / one(F.col("g"))).alias("recall"), (F.col("p") / F.col("n")).alias("pred_ratio"))
 
 
-def masked_mse(df: DataFrame, pred: str, gt: str, mask: Column, width: int) -> DataFrame:
+def masked_mse(df: DataFrame, pred: str, gt: str, mask: Column, width: int, by: list[str] | None = None) -> DataFrame:
     err = G.sum_of(G.map_pairs(F.col(pred), F.col(gt), lambda a, b: (a.cast("double") - b) * (a - b)))
-    return df.where(mask).agg((F.sum(err) / (F.count("*") * width)).alias("mse"))
+    return df.where(mask).groupBy(*(by or [])).agg((F.sum(err) / (F.count("*") * width)).alias("mse"))
 
 
 def bce_with_logits(x: Column, y: Column, pos_weight: float = 1.0) -> Column:
@@ -170,7 +173,10 @@ def running_best(df: DataFrame, by: list[str], order: list[str], value: str, mod
     return df.withColumn("_best", f(value).over(w)).where(F.col("_best").isNull() | better(F.col(value), F.col("_best"))).drop("_best")
 
 
-def fit_line(df: DataFrame, y: Column, x: Column) -> DataFrame:
+def fit_line(df: DataFrame, y: Column, x: Column, last: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Least squares over all rows, or the ``last`` ones by ``order``; each task keeps no more than those."""
+    if last is not None:
+        df = df.orderBy(*[c.desc() for c in order]).limit(last)
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
 
 
@@ -262,19 +268,33 @@ def splat_stats(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(*one("offset", "offset"), *one(F.array_max("scale"), "scale"), *one("opacity", "opacity"), F.avg(volume).alias("volume_mean"), F.avg((F.col("opacity") - 1) * (F.col("opacity") - 1)).alias("opacity_loss"))
 
 
-def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, value) of the scalar leaves of a JSON object, two levels deep, joined by ``/``."""
-    top = df.select(key, F.explode(F.from_json(text, "map<string,string>")).alias("k", "v"))
-    inner = F.from_json("v", "map<string,string>")
-    nested = top.withColumn("m", F.when(F.col("v").startswith("{"), inner))
-    deep = nested.where("m is not null").select(key, "k", F.explode("m").alias("k2", "v2")).select(key, F.concat_ws("/", "k", "k2").alias("path"), F.col("v2").alias("value"))
-    return nested.where("m is null").select(key, F.col("k").alias("path"), F.col("v").alias("value")).unionByName(deep)
-
-
-def merge_leaves(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Leaves (key, path, value) of both sides' objects together; a path that both have, or one below another's leaf, is an error at run time."""
+def flatten_json(df: DataFrame, key: str, text: str, sep: str = "/") -> DataFrame:
+    """(key, path, value) of the leaves of a JSON object at any depth, names joined by ``sep``.
+
+    Scalars are text, JSON null is null, lists are leaves and stay JSON. Each round opens
+    the objects of one level, until none is left; empty objects, text that is no JSON or
+    names a key twice, and anything but an object at the top have no leaves.
+    """
+    spark = df.sparkSession
+    is_object = F.expr("schema_of_variant(v) like 'OBJECT%'")
+    level = df.select(key, F.lit("").alias("path"), F.expr(f"try_parse_json(`{text}`)").alias("v")).where(is_object)
+    done: list[DataFrame] = []
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+        path = F.when(F.col("path") == "", F.col("_k")).otherwise(F.concat_ws(sep, "path", "_k"))
+        opened = cut(opened.select(key, path.alias("path"), F.col("_v").alias("v")))
+        done.append(opened.where(~is_object).select(key, "path", F.col("v").cast("string").alias("value")))
+        level = opened.where(is_object)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def merge_leaves(left: DataFrame, right: DataFrame, key: str, sep: str = "/") -> DataFrame:
+    """Leaves (key, path, value) of both sides' objects together; a path that both have, or one below another's leaf, at whatever level, is an error at run time."""
     both = left.unionByName(right)
-    inner = both.where(F.col("path").contains("/")).select(key, F.substring_index("path", "/", 1).alias("path")).distinct().withColumn("_inner", F.lit(1))
+    parts = F.split("path", rf"\Q{sep}\E")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), sep))
+    inner = both.where(F.size(parts) > 1).select(key, F.explode(above).alias("path")).distinct().withColumn("_inner", F.lit(1))
     n = both.groupBy(key, "path").agg(F.count("*").alias("_n"), F.first("value").alias("value")).join(inner, [key, "path"], "left")
     once = F.assert_true((F.col("_n") == 1) & F.col("_inner").isNull(), F.concat(F.lit("duplicate leaf "), F.col("path"))).isNull()
     return n.where(once).select(key, "path", "value")

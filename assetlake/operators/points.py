@@ -207,6 +207,18 @@ def estimate_normals(points: DataFrame, pairs: DataFrame, keys: list[str]) -> Da
     return axis.select(*keys, "id", "k", F.when(~few, F.col("_a.normal")).alias("normal"), F.when(~few, F.col("_a.curvature")).alias("curvature"))
 
 
+def class_neighbours(points: DataFrame, asset: str, k: int, boundary: int | None = None, boundary_k: int | None = None) -> DataFrame:
+    """Neighbour pairs for normals: points look at their own class of the asset, those of class ``boundary`` at all its points.
+
+    Ids are unique in an asset, so what follows goes by asset and id; ``cls`` is the point's.
+    """
+    if boundary is None:
+        return knn(points, [asset, "cls"], k)
+    own = knn(points.where(F.col("cls") != boundary), [asset, "cls"], k)
+    edge = grid_knn(points.where(F.col("cls") == boundary), points, [asset], max(boundary_k or k, 2))
+    return own.unionByName(edge.withColumn("cls", F.lit(boundary).cast(dict(points.dtypes)["cls"])))
+
+
 def primitive_radius(points: DataFrame, pairs: DataFrame, keys: list[str], least_degrees: float = 3.0) -> DataFrame:
     """Median over neighbours of chord / (2 sin(angle / 2)) where the normals differ enough."""
     j = with_attributes(pairs.where("nid <> id"), points, keys, ["normal"])

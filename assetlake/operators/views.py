@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
+from assetlake.operators.graph import connected_components
+from assetlake.operators.manifest import with_global_index
+from assetlake.session import cut
 
 XYZ = ("x", "y", "z")
 
@@ -147,6 +150,21 @@ def mesh_edge_degree(faces: DataFrame, by: list[str]) -> DataFrame:
     return e.groupBy(*by, "u", "v").agg(F.count("*").alias("degree")).withColumn("boundary", F.col("degree") == 1)
 
 
+def mesh_components(faces: DataFrame, by: list[str]) -> DataFrame:
+    """Faces with ``component``: the least place, over all faces in order of ``by`` and corners, of those joined by edges.
+
+    The dual graph links the faces of an edge in a chain, so an edge that many faces share
+    brings as many links as faces. Faces that repeat are joined too.
+    """
+    corners = ["i0", "i1", "i2"]
+    placed = cut(with_global_index(faces.select(*by, *corners), [*by, *corners], "face"))
+    pairs = F.array(*[F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")) for a, b in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))])
+    sides = placed.select(*by, "face", F.explode(pairs).alias("e")).select(*by, "face", "e.u", "e.v")
+    links = sides.withColumn("next", F.lead("face").over(Window.partitionBy(*by, "u", "v").orderBy("face"))).where("next is not null")
+    found = connected_components(links.select(F.col("face").alias("u"), F.col("next").alias("v")))
+    return placed.join(found.withColumnRenamed("node", "face"), "face", "left").withColumn("component", F.coalesce("component", "face")).drop("face")
+
+
 def rasterize_polyline(points: DataFrame, by: list[str], order: list[str], res: int) -> DataFrame:
     """Voxels along each polyline: steps of at most half a voxel, max(2, ceil(length / step) + 1) points a segment."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -188,6 +188,16 @@ def fetch_rows(t):
     return S.fetch_rows(cad, wanted).select("vec_id", "label")
 
 
+@R.query("read_rows", "SELECT doc_id, sha256(text) AS sha256 FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def read_rows(t):
+    """Rows that records ask for, out of many files, by file and row number."""
+    path = scratch(t, "cad")
+    t.documents.select("doc_id", "text").repartitionByRange(6, "doc_id").write.parquet(path)
+    known = S.scan_cad_parquet(t.spark, path, ["doc_id"])
+    wanted = known.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return S.read_rows(t.spark, wanted, ["doc_id", "text"]).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 @R.query("rank_lookup", "SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def rank_lookup(t):
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")

@@ -47,10 +47,8 @@ def latent_explode(t):
     return latents(t)
 
 
-@R.query("npz_roundtrip", "SELECT vec_id AS asset, i::INT AS position, embedding[i+1]::DOUBLE AS value FROM embeddings, range(64) r(i)")
-def npz_roundtrip(t):
-    """Vectors as NPZ contents, one an asset, decoded again."""
-    from assetlake.sources import files as S
+def npz_contents(t: Tables):
+    """Vectors as NPZ contents, one an asset: ``path, content``."""
 
     @F.pandas_udf("binary")
     def npz(vectors: pd.Series) -> pd.Series:
@@ -61,8 +59,15 @@ def npz_roundtrip(t):
 
         return vectors.map(one)
 
-    packed = t.embeddings.select(F.concat(F.lit("latents/"), "vec_id", F.lit(".npz")).alias("path"), npz("embedding").alias("content"))
-    return S.decode_npz(packed, "mean").select(F.col("asset").cast("long").alias("asset"), F.posexplode("values").alias("position", "v")).select("asset", "position", F.col("v").cast("double").alias("value"))
+    return t.embeddings.select(F.concat(F.lit("latents/"), "vec_id", F.lit(".npz")).alias("path"), npz("embedding").alias("content"))
+
+
+@R.query("npz_roundtrip", "SELECT vec_id AS asset, i::INT AS position, embedding[i+1]::DOUBLE AS value FROM embeddings, range(64) r(i)")
+def npz_roundtrip(t):
+    """Vectors as NPZ contents, decoded again."""
+    from assetlake.sources import files as S
+
+    return S.decode_npz(npz_contents(t), "mean").select(F.col("asset").cast("long").alias("asset"), F.posexplode("values").alias("position", "v")).select("asset", "position", F.col("v").cast("double").alias("value"))
 
 
 @R.query("score_stats", "SELECT asset, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS median FROM (<lat>) GROUP BY asset")
@@ -313,3 +318,36 @@ def merge_leaves(t):
     one = t.events.select("event_id", F.to_json(F.struct(F.from_json("props", "k long").alias("a"), F.col("event_type").alias("type"))).alias("j"))
     two = t.events.select("event_id", F.to_json(F.struct(F.struct(F.col("user_id").alias("user")).alias("a"))).alias("j"))
     return M.merge_leaves(M.flatten_json(one, "event_id", "j"), M.flatten_json(two, "event_id", "j"), "event_id")
+
+
+_DEEP = """j AS (SELECT event_id, json_object('a', json_object('k', json_extract(props, '$.k'), 'b', json_object('c', json_object('d', json_object('e', user_id, 'l', json_array(1, event_id))))), 'type', event_type, 'none', NULL) AS v FROM events),
+t AS (SELECT event_id, '' AS path, v FROM j UNION ALL SELECT event_id, CASE WHEN path = '' THEN k ELSE path || '/' || k END, json_extract(v, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT'))"""
+
+
+def deep(t: Tables):
+    e = F.struct(F.col("user_id").alias("e"), F.array(F.lit(1), "event_id").alias("l"))
+    inner = F.struct(F.struct(F.struct(e.alias("d")).alias("c")).alias("b"))
+    a = F.struct(F.from_json("props", "k long")["k"].alias("k"), inner["b"].alias("b"))
+    return t.events.select("event_id", F.to_json(F.struct(a.alias("a"), F.col("event_type").alias("type"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}).alias("j"))
+
+
+@R.query("flatten_deep", f"WITH RECURSIVE {_DEEP} SELECT event_id, path, json_extract_string(v, '$') AS value FROM t WHERE json_type(v) <> 'OBJECT'")
+def flatten_deep(t):
+    return M.flatten_json(deep(t), "event_id", "j")
+
+
+@R.query("usage_fit_recent", "WITH r AS (SELECT * FROM lineitem ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC LIMIT 1000) SELECT round(regr_slope(l_extendedprice, l_quantity * (1 - l_discount)), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity * (1 - l_discount)), 4) AS intercept, count(*) AS n FROM r")
+def usage_fit_recent(t):
+    fit = M.fit_line(t.lineitem, F.col("l_extendedprice"), F.col("l_quantity") * (1 - F.col("l_discount")), 1000, [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")])
+    return rounded(fit, 4, "slope", "intercept")
+
+
+@R.query("reduce_own", "SELECT metric, round(CASE metric WHEN 'click' THEN sqrt(avg(value * value)) WHEN 'error' THEN max(value) WHEN 'view' THEN arg_max(value, step) ELSE avg(value) END, 6) AS value FROM (<log>) GROUP BY metric")
+def reduce_own(t):
+    """Leaves of the log by reductions of one's own and by named ones, chosen by path."""
+    from assetlake.functions.udf import UserAggregate, reduce_leaves
+
+    rms = UserAggregate(lambda: (0, 0.0), lambda s, steps, v: (s[0] + len(v), s[1] + float((v * v).sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: (s[1] / s[0]) ** 0.5)
+    last = UserAggregate(lambda: (-1, 0.0), lambda s, steps, v: max(s, (int(steps[steps.argmax()]), float(v[steps.argmax()]))), max, lambda s: s[1])
+    got = reduce_leaves(log(t).select("step", "metric", "value"), "metric", "value", special={"click": rms, "view": last, "error": "max"})
+    return rounded(got, 6, "value")

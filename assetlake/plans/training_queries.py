@@ -167,6 +167,16 @@ def mesh_edges(t):
     return W.mesh_edge_degree(faces(t), ["asset"])
 
 
+@R.query("mesh_components", """WITH RECURSIVE <tri>, fc AS (SELECT *, row_number() OVER (ORDER BY asset, i0, i1, i2) - 1 AS face FROM faces),
+e AS (SELECT asset, face, unnest([[least(i0, i1), greatest(i0, i1)], [least(i1, i2), greatest(i1, i2)], [least(i2, i0), greatest(i2, i0)]]) AS e FROM fc),
+l AS (SELECT DISTINCT x.face AS a, y.face AS b FROM e x JOIN e y ON x.asset = y.asset AND x.e = y.e AND x.face <> y.face),
+reach AS (SELECT face AS node, face AS other FROM fc UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.other),
+c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT asset, i0, i1, i2, component FROM fc JOIN c ON c.node = fc.face""")
+def mesh_components(t):
+    return W.mesh_components(faces(t), ["asset"])
+
+
 @R.query("rasterize_polyline", """WITH p AS (SELECT user_id, value / 100 - 0.5 AS x, sin(event_id) * 0.8 AS y, cos(event_id) * 0.8 AS z, lead(value / 100 - 0.5) OVER w AS nx, lead(sin(event_id) * 0.8) OVER w AS ny, lead(cos(event_id) * 0.8) OVER w AS nz FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, greatest(2, CAST(ceil(sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y) + (nz-z)*(nz-z)) / (1.0::DOUBLE / 8)) AS INT) + 1) AS n FROM p WHERE nx IS NOT NULL), i AS (SELECT *, unnest(range(n)) AS i FROM s)
 SELECT DISTINCT user_id, {x} AS vx, {y} AS vy, {z} AS vz FROM i""".format(**{a: f"greatest(0, least(7, CAST(floor((CAST({a} + (n{a} - {a}) * (i / (n - 1)) AS FLOAT)::DOUBLE + 1) / 2 * 8) AS INT)))" for a in "xyz"}))

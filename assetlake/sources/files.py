@@ -72,6 +72,26 @@ def fetch_rows(cad: DataFrame, wanted: DataFrame) -> DataFrame:
     return cad.join(wanted, ["file_path", "row_index"], "left_semi")
 
 
+def read_rows(spark: SparkSession, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """``file_path, row_index`` and the columns of exactly the wanted rows; a row that isn't there is an error.
+
+    Only the files that are asked for are opened, by their own paths. Whether all rows
+    exist is seen from row numbers alone before any column is read; a missing file is
+    Spark's own error. Rows asked for twice come once.
+    """
+    wanted = wanted.select("file_path", "row_index").distinct()
+    uri = spark.sparkContext._jvm.java.net.URI
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri(r.file_path)).toString() for r in wanted.select("file_path").distinct().collect()]  # a row per file
+    place = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index")]
+    if not paths:
+        raise ValueError("no rows are asked for")
+    files = spark.read.parquet(*paths)
+    missing = wanted.join(files.select(*place), ["file_path", "row_index"], "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"rows that are not there: {[(r.file_path, r.row_index) for r in missing]}")
+    return fetch_rows(files.select(*place, *columns), wanted)
+
+
 def quarantine_bad_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, error`` for each Parquet file whose footer can't be read (null: good)."""
 

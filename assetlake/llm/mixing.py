@@ -167,16 +167,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def _tie(docs: DataFrame) -> Column:
+    """What tells rows of one key apart: digest of the text, then a hash of all columns and of which are null."""
+    hashed = [f"`{f.name}`" for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    cells = [x for c in hashed for x in (F.col(c).isNull(), F.col(c))]
+    return F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.hex(F.xxhash64(*cells)))
+
+
 def repeat_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` as the mix reads them: each row as often as an epoch takes words of it.
 
     The document at a budget's cut comes whole, so texts stay as they are. Rows are
     judged one by one, so null or repeated ids lose nothing; a row of no words never
-    comes. Columns come back as they were, whatever their names; an empty table gives
-    an empty one.
+    comes. Rows of one doc_id go by their texts and then by their other columns, so what
+    comes does not depend on files or partitions; only rows alike in every column, or
+    that differ in maps alone, are taken in whatever order. Columns come back as they
+    were, whatever their names; an empty table gives an empty one.
     """
     shared_dir(docs.sparkSession)
-    rows = materialize(docs.select(F.struct("*").alias("whole_row"), "source", _size().alias("size"), _key(seed).alias("key"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    key = F.concat(_key(seed), _tie(docs))
+    rows = materialize(docs.select(F.struct("*").alias("whole_row"), "source", _size().alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")), "mix-rows")
     out = _mixed(rows, weights, share, most).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("whole_row.*")

@@ -157,11 +157,11 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
-    """Trees from labelled documents; where a document has several labels the least counts."""
+    """Trees from labelled documents; of several labels of one document the least counts, of several texts too."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     share = min(1.0, train_rows / max(1, marked.count()))
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)  # `train_rows` ids, about
-    some = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "y")
+    some = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "y")
     got = _features(some).toArrow()
     if not got.num_rows:
         return Trees()

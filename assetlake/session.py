@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[str, str]] = []
+_mine: ContextVar[list[str] | None] = ContextVar("tables of this run", default=None)
 REPO = str(Path(__file__).resolve().parents[1])
 
 
@@ -44,23 +47,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assetlake/{name}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext.applicationId, path))
+    if (mine := _mine.get()) is not None:
+        mine.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables have been written so far: a mark for ``release``."""
-    return len(_written)
+@contextmanager
+def tables_of_run() -> Iterator[list[str]]:
+    """Paths of the tables that this thread writes inside, for ``release``."""
+    token = _mine.set(mine := [])
+    try:
+        yield mine
+    finally:
+        _mine.reset(token)
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete the tables written since a mark, all but the last; nothing may still need them."""
-    for i, (app, path) in enumerate(_written[since:-1], since):
-        if path and app == spark.sparkContext.applicationId:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            _written[i] = (app, "")
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables of a run but the last; nothing may still need them."""
+    for path in paths[:-1]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del paths[:-1]
 
 
 def cut(df: DataFrame) -> DataFrame:

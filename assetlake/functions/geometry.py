@@ -179,6 +179,17 @@ def sigmoid(x) -> Column:
     return 1 / (1 + F.exp(-c(x)))
 
 
+def to_half(x: Column) -> Column:
+    """The nearest number of half precision (ties to even), as double; beyond 65504 infinite."""
+    x = x.cast("double")
+    a = F.abs(x)
+    near = F.floor(F.log2(a))  # may be one off beside a power of two
+    e = F.greatest(F.when(F.pow(F.lit(2.0), near + 1) <= a, near + 1).when(F.pow(F.lit(2.0), near) > a, near - 1).otherwise(near), F.lit(-14))
+    unit = F.pow(F.lit(2.0), e - 10)
+    rounded = F.rint(x / unit) * unit
+    return F.when(a.isNull() | F.isnan(a) | (a == 0) | (a == float("inf")), x).when(F.abs(rounded) > 65504, F.signum(x) * float("inf")).otherwise(rounded)
+
+
 def softmax(a) -> Column:
     a = c(a)
     e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))

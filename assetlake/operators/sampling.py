@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +43,7 @@ def sample_epoch(df: DataFrame, key: str, seed: int, epoch: int, world: int, dro
     """(key, rank, slot) of one epoch: shuffled, padded by wrapping round or cut, dealt in turn, resumed at ``start``."""
     ordered = df.select(key, seeded(seed + epoch, key).alias("_o"))
     indexed = with_global_index(ordered, ["_o", key], "pos").drop("_o")
-    n = df.count()
+    n = indexed.count()
     if drop_last:
         rows = indexed.where(F.col("pos") < n // world * world)
     else:
@@ -55,25 +55,45 @@ def sample_epoch(df: DataFrame, key: str, seed: int, epoch: int, world: int, dro
 
 
 def balance_loads(loads: list[float], k: int, equal: bool) -> list[int]:
-    """Group of each item: heaviest first, to the lightest group that is still open."""
-    total, size = [0.0] * k, [0] * k
-    most = -(-len(loads) // k) if equal else len(loads)
-    out = [0] * len(loads)
+    """Group of each item: heaviest first, to the lightest open group, the lower number on ties.
+
+    With ``equal`` a group closes at len(loads) // k items; what is left when all are closed
+    goes to group 0. Fewer items than groups close none.
+    """
+    full = len(loads) // k if equal else 0
+    open_, size, out = [(0.0, g) for g in range(k)], [0] * k, [0] * len(loads)
     for i in sorted(range(len(loads)), key=lambda i: -loads[i]):
-        g = min((g for g in range(k) if size[g] < most), key=lambda g: (total[g], g))
-        out[i], total[g], size[g] = g, total[g] + loads[i], size[g] + 1
+        if not open_:
+            break  # the rest stays in group 0
+        total, g = heapq.heappop(open_)
+        out[i], size[g] = g, size[g] + 1
+        if size[g] != full:
+            heapq.heappush(open_, (total + loads[i], g))
     return out
 
 
-def balance_groups(df: DataFrame, by: str, key: str, load: str, k: int, equal: bool = True) -> DataFrame:
-    """(by, key, load, group): each chunk, of bounded size, is dealt out by load."""
+def balance_groups(df: DataFrame, by: list[str], key: str, load: str, k: int, equal: bool = True) -> DataFrame:
+    """(by, key, load, group): each group of ``by``, which the caller keeps small, is dealt out by load; null loads weigh nothing."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
-        return pdf.assign(group=balance_loads(pdf[load].tolist(), k, equal))
+        return pdf.assign(group=balance_loads(pdf[load].fillna(0).tolist(), k, equal))
 
     kinds = dict(df.dtypes)
-    return df.select(by, key, load).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, `{load}` {kinds[load]}, group int")
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key, load])
+    return df.select(*by, key, load).groupBy(*by).applyInPandas(run, f"{fields}, group int")
+
+
+def balance_chunks(df: DataFrame, by: str, key: str, load: str, k: int, seed: int = 0, most: int = 4096, equal: bool = True) -> DataFrame:
+    """(by, chunk, key, load, group): ``balance_groups`` in chunks of at most ``most`` rows of each ``by``, in a seeded order.
+
+    A ``by`` of any size is many chunks. Groups are balanced in each chunk, so in the whole too.
+    """
+    placed = with_global_index(df.select(by, key, load, seeded(seed, key).alias("_o")), [by, "_o", key], "_i").drop("_o")
+    first = placed.groupBy(by).agg(F.min("_i").alias("_f")).withColumnRenamed(by, "_by")
+    placed = placed.join(first, F.col(by).eqNullSafe(F.col("_by")))
+    chunked = placed.select(by, F.floor((F.col("_i") - F.col("_f")) / most).alias("chunk"), key, load)
+    return balance_groups(chunked, [by, "chunk"], key, load, k, equal)
 
 
 def snake_groups(df: DataFrame, load: str, key: str, k: int) -> DataFrame:
@@ -87,5 +107,5 @@ def balanced_batches(df: DataFrame, key: str, load: str, seed: int, batch: int,
     """Shuffled chunks of batch * world rows, the remainder dropped, each dealt to ranks by load in equal numbers."""
     size = batch * world
     indexed = with_global_index(df.select(key, load, seeded(seed, key).alias("_o")), ["_o", key], "pos").drop("_o")
-    chunked = indexed.where(F.col("pos") < df.count() // size * size).withColumn("chunk", F.floor(F.col("pos") / size))
-    return balance_groups(chunked, "chunk", key, load, world).withColumnRenamed("group", "rank")
+    chunked = indexed.where(F.col("pos") < indexed.count() // size * size).withColumn("chunk", F.floor(F.col("pos") / size))
+    return balance_groups(chunked, ["chunk"], key, load, world).withColumnRenamed("group", "rank")

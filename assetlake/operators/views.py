@@ -58,18 +58,23 @@ def project(points: DataFrame, views: DataFrame, asset: str, focal: Column) -> D
     return j.withColumns(uv).drop("_x", "_y")
 
 
-def fuse_views(projected: DataFrame, tokens: DataFrame, asset: str, point: str, size: int) -> DataFrame:
-    """Mean over views of the bilinear sample of each view's token grid (asset, view, row, col, token); zeros outside."""
+def fuse_views(projected: DataFrame, tokens: DataFrame, asset: str, point: str | list[str], size: int, half: bool = False) -> DataFrame:
+    """Mean over views of the bilinear sample of each view's token grid (asset, view, row, col, token); zeros outside.
+
+    ``point`` names one or several columns; with ``half`` the means are of half precision.
+    """
+    point = [point] if isinstance(point, str) else point
     at = {n: ((F.col(c) + 1) * size - 1) / 2 for n, c in (("_c", "u"), ("_r", "v"))}
     p = projected.withColumns(at)
     taps = F.array(*[
         F.struct((F.floor("_r") + i).cast("int").alias("row"), (F.floor("_c") + j).cast("int").alias("col"), ((1 - F.abs(F.col("_r") - F.floor("_r") - i)) * (1 - F.abs(F.col("_c") - F.floor("_c") - j))).alias("w"))
         for i in (0, 1) for j in (0, 1)
     ])
-    rows = p.select(asset, point, "view", F.explode(taps).alias("t")).select(asset, point, "view", "t.row", "t.col", "t.w")
+    rows = p.select(asset, *point, "view", F.explode(taps).alias("t")).select(asset, *point, "view", "t.row", "t.col", "t.w")
     got = rows.join(tokens, [asset, "view", "row", "col"], "left")
-    per = got.groupBy(asset, point, "view").agg(F.sum(F.col("w") * F.coalesce("token", F.lit(0.0))).alias("s"))
-    return per.groupBy(asset, point).agg(F.avg("s").alias("feature"), F.count("*").alias("views"))
+    per = got.groupBy(asset, *point, "view").agg(F.sum(F.col("w") * F.coalesce("token", F.lit(0.0))).alias("s"))
+    mean = G.to_half(F.avg("s")) if half else F.avg("s")
+    return per.groupBy(asset, *point).agg(mean.alias("feature"), F.count("*").alias("views"))
 
 
 def alpha_crop_box(pixels: DataFrame, asset: str, threshold: float, padding: float = 1.2) -> DataFrame:

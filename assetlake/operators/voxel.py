@@ -359,6 +359,55 @@ def octree_rollup(leaves: DataFrame, depth: int) -> DataFrame:
     return up.groupBy("b", "d", *keys).agg(F.sum("value").alias("value"), F.count("*").alias("leaves")).withColumn("occupancy", F.col("leaves") / F.pow(F.lit(8.0), F.lit(depth) - F.col("d")))
 
 
+def octree_children(nodes: DataFrame) -> DataFrame:
+    """Per parent of nodes ``b, d, x, y, z, value, leaf``: sums and numbers of its leaf and of its inner children."""
+    at = [F.floor(F.col(a) / 2).cast("int").alias(a) for a in XYZ]
+    part = lambda inner: F.when(F.col("leaf") != F.lit(inner), F.col("value"))
+    up = nodes.where("d > 0").select("b", (F.col("d") - 1).alias("d"), *at, "value", "leaf")
+    aggs = [F.coalesce(F.sum(part(i)), F.lit(0.0)).alias(f"{n}_sum") for n, i in (("leaf", False), ("inner", True))]
+    return up.groupBy("b", "d", *XYZ).agg(*aggs, F.count_if(F.col("leaf")).alias("leaves"), F.count_if(~F.col("leaf")).alias("inner_nodes"))
+
+
+def label_points(points: DataFrame, vox: DataFrame, res: int, key: list[str]) -> DataFrame:
+    """Columns ``key`` of each point with ``label``, the class of the voxel (``asset, vx, vy, vz, cls``) it falls in; points in no voxel go."""
+    at = ["asset", "vx", "vy", "vz"]
+    return cells(points, res).join(vox.select(*at, F.col("cls").alias("label")), at).select(*key, "label")
+
+
+#: Numbers of channels by which a dense tensor tells which of its axes they lie on.
+LAYOUTS = (8, 14, 80)
+
+
+def dense_layout(shape: Column) -> Column:
+    """``first`` or ``last``, where the channels of a four-dimensional shape lie; null for no layout known."""
+    ok = F.size(shape) == 4
+    known = lambda c: c.isin(*LAYOUTS)
+    return F.when(ok & known(F.get(shape, F.lit(0))), "first").when(ok & known(F.get(shape, F.lit(3))), "last")
+
+
+def from_layout(tensors: DataFrame, asset: str = "asset") -> DataFrame:
+    """``b, x, y, z, feats`` of the voxels of dense tensors (``asset, shape, values``) where any channel isn't 0.
+
+    A shape with no layout known is an error at run time.
+    """
+    where = dense_layout(F.col("shape"))
+    text = F.concat(F.lit("no channel layout known for shape "), F.col("shape").cast("string"))
+    where = F.when(where.isNull(), F.raise_error(text)).otherwise(where)
+    s, first = F.col("shape"), F.col("_w") == "first"
+    rows = tensors.select(F.col(asset).alias("b"), "shape", where.alias("_w"), F.posexplode("values").alias("i", "v"))
+    rows = rows.withColumn("_c", F.when(first, s[0]).otherwise(s[3]))
+    sizes = {a: F.when(first, s[k + 1]).otherwise(s[k]) for k, a in enumerate(XYZ)}
+    rows = rows.withColumns({f"_{a}": v for a, v in sizes.items()})
+    per = "(_x * _y * _z)"
+    cell = F.expr(f"case when _w = 'first' then i % {per} else i div _c end")
+    channel = F.expr(f"case when _w = 'first' then i div {per} else i % _c end").cast("int")
+    rows = rows.where("v <> 0").select("b", cell.alias("p"), channel.alias("ch"), "v", "_c", "_y", "_z")
+    held = rows.groupBy("b", "p", "_c", "_y", "_z").agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("v").cast("double")))).alias("m"))
+    feats = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))
+    x, y, z = F.expr("cast(p div (_y * _z) as int)"), F.expr("cast((p div _z) % _y as int)"), F.expr("cast(p % _z as int)")
+    return held.select("b", x.alias("x"), y.alias("y"), z.alias("z"), feats.alias("feats"))
+
+
 def octree_refine(leaves: DataFrame, least: int, most: int) -> DataFrame:
     """Leaves (b, d, x, y, z, value, mask): +1 splits in eight, -1 merges when all eight siblings ask, 0 stays."""
     parent = [F.floor(F.col(a) / 2).cast("int").alias(f"p{a}") for a in XYZ]

@@ -351,3 +351,49 @@ def reduce_own(t):
     last = UserAggregate(lambda: (-1, 0.0), lambda s, steps, v: max(s, (int(steps[steps.argmax()]), float(v[steps.argmax()]))), max, lambda s: s[1])
     got = reduce_leaves(log(t).select("step", "metric", "value"), "metric", "value", special={"click": rms, "view": last, "error": "max"})
     return rounded(got, 6, "value")
+
+
+@R.query("log_eav_all", """WITH l AS (SELECT event_id, metric AS kind, step, value FROM (<log>)) SELECT event_id AS step, unnest(['loss', 'grad_norm', 'bin_' || event_id % 10]) AS metric, unnest([value, value * 2, value / 2]) AS value FROM l
+UNION ALL SELECT NULL, CASE WHEN event_id % 2 = 0 THEN 'miou_occ' ELSE 'miou' END, value FROM l""")
+def log_eav_all(t):
+    """All events as step lines, and as validation lines."""
+    from assetlake.sources.files import parse_run_log
+
+    v = F.col("value")
+    num = lambda c: F.concat(F.lit("np.float64("), c.cast("string"), F.lit(")"))
+    lines = t.events.select(F.concat(F.col("event_id").cast("string"), F.lit(": {'loss': "), num(v), F.lit(", 'grad_norm': "), num(v * 2), F.lit(", 'bin_"), (F.col("event_id") % 10).cast("string"), F.lit("': {'mse': "), num(v / 2), F.lit("}}")).alias("value"))
+    valid = t.events.select(F.concat(F.when(F.col("event_id") % 2 == 0, "Validation mIoU_occ: ").otherwise("Validation mIoU: "), v.cast("string")).alias("value"))
+    return parse_run_log(lines.unionByName(valid))
+
+
+@R.query("cross_entropy_all", "SELECT vec_id, round(list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label % 64 + 1], 5) + 0.0 AS ce FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS l FROM embeddings)")
+def cross_entropy_all(t):
+    """Over all 64 values as logits."""
+    ce = M.cross_entropy(F.col("embedding").cast("array<double>"), (F.col("label") % 64).cast("int"))
+    return t.embeddings.select("vec_id", (F.round(ce, 5) + F.lit(0.0)).alias("ce"))
+
+
+@R.query("activate_all", "WITH l AS (SELECT vec_id, g::INT AS g, embedding[8 * g + 1]::DOUBLE AS o, list_transform(embedding[8 * g + 2:8 * g + 8], lambda x: x::DOUBLE * 4) AS c FROM embeddings, range(8) r(g)), s AS (SELECT vec_id, g, 1 / (1 + exp(-o)) AS occ, c, list_max(c) AS m FROM l) SELECT vec_id, g, round(occ, 6) AS occ, occ > 0.5 AS occupied, list_position(c, m)::INT - 1 AS class_id, round(1 / list_sum(list_transform(c, lambda x: exp(x - m))), 6) AS top FROM s")
+def activate_all(t):
+    """Every eight values an occupancy and seven classes."""
+    e = t.embeddings.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("g"))
+    e = e.select("vec_id", "g", G.sigmoid(F.col("embedding")[F.col("g") * 8].cast("double")).alias("occ"), F.transform(F.slice("embedding", F.col("g") * 8 + 2, F.lit(7)), lambda x: x.cast("double") * 4).alias("c"))
+    return e.select("vec_id", "g", F.round("occ", 6).alias("occ"), (F.col("occ") > 0.5).alias("occupied"), (F.array_position("c", F.array_max("c")) - 1).cast("int").alias("class_id"), F.round(F.array_max(G.softmax("c")), 6).alias("top"))
+
+
+@R.query("normal_angle_all", "WITH u AS (SELECT vec_id, i, embedding[3*i+1]::DOUBLE * 2 - 1 AS x, embedding[3*i+2]::DOUBLE * 2 - 1 AS y, embedding[3*i+3]::DOUBLE * 2 - 1 AS z FROM embeddings, range(21) r(i)) SELECT round(avg(degrees(acos(least(1, greatest(-1, (a.x*b.x + a.y*b.y + a.z*b.z) / (sqrt(a.x*a.x+a.y*a.y+a.z*a.z) * sqrt(b.x*b.x+b.y*b.y+b.z*b.z) + 1e-9)))))), 5) AS angle FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 21")
+def normal_angle_all(t):
+    """All 21 normals of a vector, each against the next."""
+    e = t.embeddings.select("embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    at = lambda i: F.slice("embedding", i * 3 + 1, F.lit(3))
+    return rounded(M.mean_normal_angle(e.select(at(F.col("i")).alias("a"), at((F.col("i") + 1) % 21).alias("b")), "a", "b"), 5, "angle")
+
+
+@R.query("dense_layouts", """SELECT vec_id AS b, x::INT AS x, y::INT AS y, z::INT AS z, c::INT AS channel, v FROM (
+  SELECT vec_id, c, x, y, z, embedding[CASE WHEN vec_id % 2 = 0 THEN c * 8 + x * 4 + y * 2 + z ELSE (x * 4 + y * 2 + z) * 8 + c END + 1]::DOUBLE AS v FROM embeddings, range(8) a(c), range(2) d(x), range(2) e(y), range(2) f(z)) WHERE v <> 0""")
+def dense_layouts(t):
+    """Vectors as tensors of 2 x 2 x 2 cells with their 8 channels first or last."""
+    first = F.col("vec_id") % 2 == 0
+    shape = F.when(first, F.array(*[F.lit(x) for x in (8, 2, 2, 2)])).otherwise(F.array(*[F.lit(x) for x in (2, 2, 2, 8)]))
+    v = V.from_layout(t.embeddings.select("vec_id", shape.alias("shape"), F.col("embedding").alias("values")), "vec_id")
+    return v.select("b", "x", "y", "z", F.posexplode("feats").alias("channel", "v")).where("v <> 0")

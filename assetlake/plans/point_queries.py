@@ -194,7 +194,12 @@ def even_subsample(t):
     return P.even_subsample(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber"), ["l_suppkey"], ["l_orderkey", "l_linenumber"], 100)
 
 
-@R.query("farthest_points")
+@R.query("farthest_points", """WITH RECURSIVE a AS (SELECT asset, list(x ORDER BY slot) AS xs, list(y ORDER BY slot) AS ys, list(z ORDER BY slot) AS zs, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM (<pts>) GROUP BY asset),
+d AS (SELECT *, list_transform(range(1, 22), lambda i: (xs[i] - mx) * (xs[i] - mx) + (ys[i] - my) * (ys[i] - my) + (zs[i] - mz) * (zs[i] - mz)) AS c FROM a),
+f AS (SELECT asset, xs, ys, zs, 0 AS slot, list_transform(xs, lambda x: 1e9::DOUBLE) AS best, list_position(c, list_min(c)) AS k FROM d
+  UNION ALL SELECT asset, xs, ys, zs, slot + 1, best, list_position(best, list_max(best)) FROM (
+    SELECT asset, xs, ys, zs, slot, list_transform(best, lambda b, i: least(b, (xs[i] - xs[k]) * (xs[i] - xs[k]) + (ys[i] - ys[k]) * (ys[i] - ys[k]) + (zs[i] - zs[k]) * (zs[i] - zs[k]))) AS best FROM f WHERE slot < 7))
+SELECT asset, slot, xs[k] AS x, ys[k] AS y, zs[k] AS z FROM f""")
 def farthest_points(t):
     return P.farthest_points(points(t), ["asset"], 8, ["slot"])
 

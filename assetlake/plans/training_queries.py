@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assetlake.functions import geometry as G
 from assetlake.operators import resume as P
 from assetlake.operators import sampling as S
 from assetlake.operators import views as W
@@ -58,14 +59,25 @@ def sample_epoch(t):
     return S.sample_epoch(t.documents, "doc_id", 10, 3, 7, start=3)
 
 
-@R.query("balanced_batches")
+_LPT = """k AS (SELECT grp, chunk, count(*) // 4 AS per FROM o GROUP BY ALL),
+s AS (SELECT grp, chunk, per, 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS t, [0, 0, 0, 0]::BIGINT[] AS c, NULL::BIGINT AS doc_id, NULL::BIGINT AS load, NULL::INT AS g FROM k
+  UNION ALL SELECT grp, chunk, per, i + 1, list_transform(t, lambda x, j: x + CASE WHEN j = pick THEN w ELSE 0 END), list_transform(c, lambda x, j: x + CASE WHEN j = pick THEN 1 ELSE 0 END), d, w, pick - 1 FROM (
+    SELECT *, coalesce(list_position(m, list_min(m)), 1)::INT AS pick FROM (
+      SELECT s.*, o.doc_id AS d, o.n_chars AS w, list_transform(t, lambda x, j: CASE WHEN per > 0 AND c[j] >= per THEN NULL ELSE x END) AS m FROM s JOIN o ON o.grp IS NOT DISTINCT FROM s.grp AND o.chunk = s.chunk AND o.i = s.i + 1)))"""
+
+
+@R.query("balanced_batches", f"""WITH RECURSIVE p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY {_MD5.format(4, 'doc_id')}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+o AS (SELECT 0 AS grp, pos // 64 AS chunk, doc_id, n_chars, row_number() OVER (PARTITION BY pos // 64 ORDER BY n_chars DESC, doc_id) AS i FROM p WHERE pos < n // 64 * 64), {_LPT}
+SELECT chunk, doc_id, load AS n_chars, g AS rank FROM s WHERE doc_id IS NOT NULL""")
 def balanced_batches(t):
     return S.balanced_batches(t.documents, "doc_id", "n_chars", 4, 16, 4)
 
 
-@R.query("lpt_groups")
+@R.query("lpt_groups", f"""WITH RECURSIVE p AS (SELECT source, doc_id, n_chars, (row_number() OVER (PARTITION BY source ORDER BY {_MD5.format(3, 'doc_id')}, doc_id) - 1) // 150 AS chunk FROM documents),
+o AS (SELECT source AS grp, chunk, doc_id, n_chars, row_number() OVER (PARTITION BY source, chunk ORDER BY n_chars DESC, doc_id) AS i FROM p), {_LPT}
+SELECT grp AS source, chunk, doc_id, load AS n_chars, g AS "group" FROM s WHERE doc_id IS NOT NULL""")
 def lpt_groups(t):
-    return S.balance_groups(t.documents.select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 4)
+    return S.balance_chunks(t.documents.select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 4, seed=3, most=150)
 
 
 @R.query("snake_groups", "SELECT doc_id, n_chars, (CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END)::INT AS \"group\" FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS p FROM documents)")
@@ -136,6 +148,22 @@ def fuse_views(t):
     return f.withColumn("feature", F.round("feature", 4) + F.lit(0.0))
 
 
+_HALF = """CASE WHEN f = 0 THEN f ELSE round_even(f / pow(2.0, greatest(e, -14) - 10), 0) * pow(2.0, greatest(e, -14) - 10) END"""
+
+
+@R.query("fuse_all_views", _PROJ_ALL + f""", k AS (SELECT *, ((u + 1) * 6 - 1) / 2 AS c, ((v + 1) * 6 - 1) / 2 AS r FROM uv WHERE cz > 0.5), tap AS (SELECT asset, l_orderkey, l_linenumber, view, floor(r) + i AS row, floor(c) + j AS col, (1 - abs(r - floor(r) - i)) * (1 - abs(c - floor(c) - j)) AS w FROM k, range(2) a(i), range(2) b(j)),
+fs AS (SELECT asset, l_orderkey, l_linenumber, view, sum(w * CASE WHEN row BETWEEN 0 AND 5 AND col BETWEEN 0 AND 5 THEN row * 6 + col + view ELSE 0 END) AS s FROM tap GROUP BY ALL),
+h AS (SELECT asset, l_orderkey, l_linenumber, round(avg(s), 6) + 0.0 AS f, count(*) AS views FROM fs GROUP BY ALL), x AS (SELECT *, floor(log2(abs(nullif(f, 0))))::INT AS e FROM h)
+SELECT asset, l_orderkey, l_linenumber, {_HALF} AS feature, views FROM x""")
+def fuse_all_views(t):
+    """Every point's features in half precision, rounded alike before."""
+    v = views(t).select("asset", "view")
+    cell = F.explode(F.sequence(F.lit(0), F.lit(35)))
+    tokens = v.withColumn("k", cell).select("asset", "view", F.expr("cast(k div 6 as int)").alias("row"), (F.col("k") % 6).alias("col"), (F.col("k") + F.col("view")).cast("double").alias("token"))
+    f = W.fuse_views(projected(t, every=True).where("depth > 0.5"), tokens, "asset", ["l_orderkey", "l_linenumber"], 6)
+    return f.withColumn("feature", G.to_half(F.round("feature", 6) + F.lit(0.0)))
+
+
 @R.query("densify_grid", "WITH <corners>, r AS (SELECT asset, row, col, 0 AS kind, z FROM q WHERE va UNION ALL SELECT asset, row, col, 1, (z + bz + cz + dz) / 4 FROM q WHERE va AND vb AND vc AND vd UNION ALL SELECT asset, row, col, 2, (z + cz) / 2 FROM q WHERE va AND vc UNION ALL SELECT asset, row, col, 3, (z + bz) / 2 FROM q WHERE va AND vb) SELECT asset, row, col, kind, round(z, 6) + 0.0 AS z FROM r")
 def densify_grid(t):
     return W.densify_grid(cut(grid(t)), ["asset"]).select("asset", "row", "col", "kind", r6("z").alias("z"))

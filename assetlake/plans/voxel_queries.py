@@ -227,6 +227,12 @@ def replicate(t):
     return wide(V.replicate(voxels(t).where("b = 4"), 3).select("b", "x", "y", "z", "feats"), "n", "q")
 
 
+@R.query("replicate_all", "SELECT i::INT AS b, v.b AS was, x, y, z, n, q FROM (<vox>) v, range(3) r(i)")
+def replicate_all(t):
+    """Every batch three times."""
+    return wide(V.replicate(voxels(t).withColumn("was", F.col("b")), 3).select("b", "was", "x", "y", "z", "feats"), "n", "q")
+
+
 @R.query("batch_layout", "WITH c AS (SELECT i::INT AS b, count(v.b) AS n FROM range((SELECT max(b) + 1 FROM (<vox>))) r(i) LEFT JOIN (<vox>) v ON v.b = i GROUP BY 1) SELECT b, (sum(n) OVER (ORDER BY b) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY b))::BIGINT AS stop FROM c")
 def batch_layout(t):
     return V.batch_layout(voxels(t))
@@ -244,6 +250,17 @@ def octree_rollup(t):
     return V.octree_rollup(v, 4).withColumn("occupancy", F.round("occupancy", 6))
 
 
+@R.query("octree_children", """WITH v AS (<vox>), i AS (SELECT b, d::INT AS d, CAST(floor(x / pow(2, 4 - d)) AS INT) AS x, CAST(floor(y / pow(2, 4 - d)) AS INT) AS y, CAST(floor(z / pow(2, 4 - d)) AS INT) AS z, sum(n) AS value, false AS leaf FROM v, range(4) r(d) GROUP BY ALL),
+a AS (SELECT * FROM i UNION ALL SELECT b, 4, x, y, z, n, true FROM v)
+SELECT b, d - 1 AS d, x // 2 AS x, y // 2 AS y, z // 2 AS z, coalesce(sum(value) FILTER (leaf), 0)::DOUBLE AS leaf_sum, coalesce(sum(value) FILTER (NOT leaf), 0)::DOUBLE AS inner_sum, count(*) FILTER (leaf) AS leaves, count(*) FILTER (NOT leaf) AS inner_nodes FROM a WHERE d > 0 GROUP BY ALL""")
+def octree_children(t):
+    """Leaves at depth 4 and the inner nodes above them: what each parent gathers."""
+    v = voxels(t).withColumn("value", F.col("feats")[0])
+    inner = V.octree_rollup(v, 4).select("b", "d", "x", "y", "z", "value", F.lit(False).alias("leaf"))
+    leaves = v.select("b", F.lit(4).alias("d"), "x", "y", "z", "value", F.lit(True).alias("leaf"))
+    return V.octree_children(inner.unionByName(leaves))
+
+
 @R.query("octree_refine", """WITH l AS (SELECT b, 4 AS d, x, y, z, n AS value, CASE WHEN x < 8 AND y < 8 THEN -1 WHEN n > 2 THEN 1 ELSE 0 END AS mask FROM (<vox>)),
 p AS (SELECT *, count(*) FILTER (WHERE mask < 0) OVER w AS asks, sum(value) OVER w AS total FROM l WINDOW w AS (PARTITION BY b, x // 2, y // 2, z // 2))
 SELECT DISTINCT b, 3 AS d, x // 2 AS x, y // 2 AS y, z // 2 AS z, total AS value FROM p WHERE mask < 0 AND asks = 8
@@ -264,8 +281,7 @@ def point_union(t):
 @R.query("label_points", "WITH m AS (SELECT asset, vx, vy, vz, first(cls ORDER BY n DESC, cls) AS label FROM (SELECT asset, vx, vy, vz, cls, count(*) AS n FROM (<cells>) GROUP BY ALL) GROUP BY ALL) SELECT c.l_orderkey, c.l_linenumber, m.label FROM (<cells>) c JOIN m ON (m.asset, m.vx, m.vy, m.vz) = (c.asset, c.vx, c.vy, c.vz)")
 def label_points(t):
     p = points(t)
-    v = V.majority_class(p, RES, CLASSES).select("asset", "vx", "vy", "vz", F.col("cls").alias("label"))
-    return V.cells(p, RES).join(v, ["asset", "vx", "vy", "vz"]).select("l_orderkey", "l_linenumber", "label")
+    return V.label_points(p, V.majority_class(p, RES, CLASSES), RES, ["l_orderkey", "l_linenumber"])
 
 
 @R.query("minmax", "SELECT b, x, y, z, round((n - min(n) OVER (PARTITION BY b)) / (max(n) OVER (PARTITION BY b) - min(n) OVER (PARTITION BY b) + 1e-8), 6) + 0.0 AS v, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (sqrt(n * n + q * q) - 10) / 90)).round(6) + 0.0 AS w FROM (<vox>)")

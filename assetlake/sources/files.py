@@ -10,7 +10,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,8 +92,24 @@ def read_rows(spark: SparkSession, wanted: DataFrame, columns: list[str]) -> Dat
     return fetch_rows(files.select(*place, *columns), wanted)
 
 
+#: Bytes of a file that ``binaryFile`` can hold in one row.
+MOST_CONTENT = (1 << 31) - 16
+
+
 def quarantine_bad_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, error`` for each Parquet file whose footer can't be read (null: good)."""
+    """``path, parquet_index, error`` for each Parquet file whose footer can't be read (null: good).
+
+    Files are numbered in path order; files of no bytes are in no listing of Spark. Spark's reader opens the footers alone, and skips files
+    that it can't; only files that gave no row are read whole, to tell why. Such a file that is
+    too large for that is ``unreadable footer``.
+    """
+    parquet = {"pathGlobFilter": "*.parquet", "recursiveFileLookup": True}
+    listed = spark.read.format("binaryFile").options(**parquet).load(path).select("path", "length")
+    listed = listed.withColumn("parquet_index", F.row_number().over(Window.orderBy("path")) - 1)  # a row per file
+    rows = spark.read.schema("_nothing int").options(**parquet, ignoreCorruptFiles=True).parquet(path)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    good = rows.select(plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("_p")).distinct()
+    odd = listed.join(good, plain(F.col("path")) == F.col("_p"), "left_anti")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
@@ -108,8 +124,13 @@ def quarantine_bad_files(spark: SparkSession, path: str) -> DataFrame:
                     errors.append(f"{type(e).__name__}: {e}"[:200])
             yield pd.DataFrame({"path": b["path"], "error": errors})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(probe, "path string, error string")
+    names = [r.path for r in odd.where(F.col("length") <= MOST_CONTENT).select("path").collect()]  # bad and empty files only
+    told = spark.createDataFrame([], "path string, error string")
+    if names:
+        told = spark.read.format("binaryFile").load(names).select("path", "content").mapInPandas(probe, "path string, error string")
+    out = listed.join(told, "path", "left")
+    large = odd.where(F.col("length") > MOST_CONTENT).select("path", F.lit("unreadable footer").alias("_large"))
+    return out.join(large, "path", "left").select("path", "parquet_index", F.coalesce("error", "_large").alias("error"))
 
 
 def decode_npy(blob: bytes | None) -> tuple[list[float] | None, list[int] | None, str | None]:
@@ -200,26 +221,54 @@ def scan_views(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("asset", "view", "f.file_path", "f.camera_angle_x", "f.transform_matrix")
 
 
-def scan_archive_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``archive, member, size, sha256`` of members of zip and tar files that match."""
+def _members(content: bytes, depth: int, prefix: str = "") -> Iterator[tuple[str, Callable[[], bytes]]]:
+    """Names of an archive's files with what reads them; archives inside are opened ``depth`` levels down, as ``outer!/inner``."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        z = zipfile.ZipFile(io.BytesIO(content))
+        found = [(m.filename, lambda m=m: z.read(m)) for m in z.infolist() if not m.is_dir()]
+    else:
+        t = tarfile.open(fileobj=io.BytesIO(content))
+        found = [(m.name, lambda m=m: t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
+    for name, read in found:
+        if depth and re.search(r"\.(zip|tar|tgz|tar\.gz)$", name):
+            yield from _members(read(), depth - 1, f"{prefix}{name}!/")
+        else:
+            yield prefix + name, read
+
+
+def scan_archive_members(spark: SparkSession, path: str, pattern: str, wanted: DataFrame | None = None, depth: int = 0) -> DataFrame:
+    """``archive, member, size, sha256`` of the files in archives whose name matches.
+
+    ``wanted`` (``archive``: end of the archive's path, ``member``) is looked at before anything
+    is read: only archives that it names are opened, and only its members extracted. Archives
+    inside archives are opened ``depth`` levels down, their members named ``inner.zip!/file``.
+    """
+    options = {"pathGlobFilter": "*.{zip,tar,tgz,gz}", "recursiveFileLookup": True}
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    asked = None
+    if wanted is not None:
+        listed = files.select("path")
+        asked = wanted.groupBy("archive").agg(F.collect_set("member").alias("members"))
+        asked = listed.join(asked, F.expr("endswith(path, '/' || archive)")).select("path", "members")
+        names = [r.path for r in asked.select("path").distinct().collect()]  # a row per archive
+        if not names:
+            return spark.createDataFrame([], "archive string, member string, size long, sha256 string")
+        files = spark.read.format("binaryFile").load(names)
+    files = files.select("path", "content")
+    files = files.withColumn("members", F.lit(None).cast("array<string>")) if asked is None else files.join(asked, "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for b in batches:
-            rows = []
-            for name, content in zip(b["path"], b["content"], strict=True):
-                if zipfile.is_zipfile(io.BytesIO(content)):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = [(m.filename, z.read(m)) for m in z.infolist() if not m.is_dir() and re.search(pattern, m.filename)]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as z:
-                        found = [(m.name, z.extractfile(m).read()) for m in z.getmembers() if m.isfile() and re.search(pattern, m.name)]
-                rows += [(name, member, len(data), hashlib.sha256(data).hexdigest()) for member, data in found]
-            yield pd.DataFrame(rows, columns=["archive", "member", "size", "sha256"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{zip,tar,tgz,gz}").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, "archive string, member string, size long, sha256 string")
+            for name, content, some in zip(b["path"], b["content"], b["members"], strict=True):
+                only = None if some is None else set(some)
+                for member, read in _members(content, depth):
+                    if re.search(pattern, member) and (only is None or member in only):
+                        data = read()
+                        yield pd.DataFrame([(name, member, len(data), hashlib.sha256(data).hexdigest())], columns=["archive", "member", "size", "sha256"])
+
+    return files.mapInPandas(run, "archive string, member string, size long, sha256 string")
 
 
 def content_sha256(spark: SparkSession, path: str) -> DataFrame:

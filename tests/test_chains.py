@@ -129,6 +129,54 @@ def test_own_class_is_the_default_neighbourhood(spark):
     assert (4, 3) in mixed and (4, 2) not in mixed and (5, 3) in mixed and (5, 4) not in mixed
 
 
+def test_half_precision_is_ieee(spark):
+    from assetlake.functions import geometry as G
+
+    rng = np.random.default_rng(1)
+    values = [*(rng.normal(size=300) * 10.0 ** rng.integers(-8, 6, 300)).tolist(), 0.0, 65504.0, 65519.9, 65520.0, 1e9, -1e9, 2.0**-24, 2.0**-25, 2.0**-14, 8.0, 1023.75, float("inf"), float("nan"), *[2.0**k for k in range(-20, 16)]]
+    got = [r.h for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", G.to_half(F.col("v")).alias("h")).orderBy("i").collect()]
+    with np.errstate(over="ignore"):
+        want = np.array(values).astype(np.float16).astype(float)
+    assert np.array_equal(np.array(got), want, equal_nan=True)
+
+
+def test_loads_go_to_the_lightest_open_group():
+    from assetlake.operators.sampling import balance_loads
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        loads, k, equal = rng.integers(0, 9, rng.integers(0, 30)).tolist(), int(rng.integers(1, 6)), bool(rng.integers(0, 2))
+        total, size, want = [0.0] * k, [0] * k, [0] * len(loads)
+        for i in sorted(range(len(loads)), key=lambda i: -loads[i]):
+            open_ = [g for g in range(k) if not (equal and len(loads) >= k and size[g] >= len(loads) // k)]
+            g = min(open_, key=lambda g: (total[g], g), default=0)
+            want[i], total[g], size[g] = g, total[g] + loads[i], size[g] + 1
+        assert balance_loads(loads, k, equal) == want
+
+
+def test_chunks_of_a_large_group_are_bounded(spark):
+    from assetlake.operators.sampling import balance_chunks
+
+    df = spark.createDataFrame([("big", i, i % 17) for i in range(230)] + [(None, 1000 + i, None) for i in range(5)], "s string, k int, load int")
+    rows = balance_chunks(df, "s", "k", "load", 4, most=50).collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault((r.s, r.chunk), []).append(r.group)
+    assert len(rows) == 235 and sorted(map(len, sizes.values())) == [5, 30, 50, 50, 50, 50]
+    assert all(max(v.count(g) for g in range(4)) - len(v) // 4 <= 3 for v in sizes.values())
+
+
+def test_a_tensor_without_a_known_layout_is_an_error(spark):
+    from assetlake.operators import voxel as V
+
+    t = spark.createDataFrame([(1, [3, 1, 1, 2], [1.0] * 6)], "asset int, shape array<int>, values array<float>")
+    with pytest.raises(Exception, match="no channel layout"):
+        V.from_layout(t).collect()
+    eight = spark.createDataFrame([(1, [8, 1, 1, 2], [0.0] * 15 + [2.0]), (2, [1, 2, 1, 14], [0.0] * 14 + [3.0] + [0.0] * 13)], t.schema)
+    got = {(r.b, r.x, r.y, r.z): r.feats for r in V.from_layout(eight).collect()}
+    assert got == {(1, 0, 0, 1): [0.0] * 7 + [2.0], (2, 0, 1, 0): [3.0] + [0.0] * 13}
+
+
 def test_balanced_shards_fill_every_batch(spark):
     df = spark.createDataFrame([(i, (i * 7) % 31 + 1, [float(i), 1.0]) for i in range(50)], "id long, load long, v array<double>").withColumns({"captions": F.lit('["a"]'), "plain": F.lit("p")})
     cfg = J.Shards(seed=1, world=3, batch=4, balanced=True, mean=(0.0, 1.0), std=(2.0, 1.0), per=1)

@@ -81,6 +81,34 @@ def test_bad_files_are_reported(spark, tmp_path):
     assert got["good.parquet"] is None and got["bad.parquet"]
 
 
+def test_bad_files_keep_their_place_and_good_ones_are_not_read(spark, tmp_path, monkeypatch):
+    for name, rows in (("a b+c", [1]), ("d", []), ("f", [2, 3])):
+        pq.write_table(pa.table({"a": pa.array(rows, pa.int64())}), tmp_path / f"{name}.parquet")
+    (tmp_path / "c.parquet").write_bytes(b"PAR1 not really")
+    got = {r.path.rpartition("/")[2]: (r.parquet_index, r.error is None) for r in S.quarantine_bad_files(spark, str(tmp_path)).collect()}
+    assert got == {"a b+c.parquet": (0, True), "c.parquet": (1, False), "d.parquet": (2, True), "f.parquet": (3, True)}
+    monkeypatch.setattr(S, "MOST_CONTENT", 4)
+    got = {r.path.rpartition("/")[2]: r.error for r in S.quarantine_bad_files(spark, str(tmp_path)).collect()}
+    assert got["c.parquet"] == "unreadable footer" and got["f.parquet"] is None
+
+
+def test_archives_by_manifest_and_in_archives(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep/x.glb", b"deep")
+    for name in ("one", "two", "broken"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("x.glb", name.encode())
+            z.writestr("y.glb", b"y")
+            z.writestr("in.zip", inner.getvalue())
+    (tmp_path / "broken.zip").write_bytes(b"neither zip nor tar")
+    wanted = spark.createDataFrame([("one.zip", "x.glb"), ("two.zip", "in.zip!/deep/x.glb"), ("gone.zip", "x.glb")], "archive string, member string")
+    got = sorted((r.archive.rpartition("/")[2], r.member, r.size) for r in S.scan_archive_members(spark, str(tmp_path), "glb$", wanted, depth=1).collect())
+    assert got == [("one.zip", "x.glb", 3), ("two.zip", "in.zip!/deep/x.glb", 4)]  # the broken one is not opened
+    flat = S.scan_archive_members(spark, str(tmp_path), "in", wanted.where("archive = 'one.zip'")).count()
+    assert flat == 0 and S.scan_archive_members(spark, str(tmp_path), "glb$", wanted.where("archive = 'gone.zip'")).count() == 0
+
+
 def test_cad_index(spark, tmp_path):
     for n, v in (("b", [3, 4]), ("a", [1, 2])):
         pq.write_table(pa.table({"v": v}), tmp_path / f"{n}.parquet")

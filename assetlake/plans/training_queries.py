@@ -15,6 +15,7 @@ from assetlake.operators import voxel as V
 from assetlake.plans.registry import Registry, Tables, r6
 from assetlake.plans.voxel_queries import _CELLS, points
 from assetlake.session import cut, shared_dir
+from assetlake.sources import datasource as D
 from assetlake.streaming import jobs as J
 from assetlake.streaming import ordered as O
 
@@ -343,3 +344,28 @@ def pending_runs(t):
 
     runs = [P.run_pending(t.documents.select("doc_id", "n_chars"), "doc_id", build(run), path, run) for run in (1, 2, 3)]
     return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("doc_id", "run", "status", "error")
+
+
+@R.query("source_npz", "SELECT vec_id AS asset, i::INT AS position, embedding[i+1]::DOUBLE AS value FROM embeddings, range(64) r(i)")
+def source_npz(t):
+    """Vectors written as NPZ files and read through the data source."""
+    path = scratch(t, "npz")
+    shape = F.array(F.lit(8), F.lit(8))
+    D.write_npz(t.embeddings.select(F.col("vec_id").cast("string").alias("asset"), shape.alias("shape"), F.col("embedding").alias("values")), path, "mean").count()
+    D.register(t.spark)
+    rows = t.spark.read.format("assets").option("kind", "npz").option("field", "mean").load(path)
+    return rows.select(F.col("asset").cast("long").alias("asset"), F.posexplode("values").alias("position", "v")).select("asset", "position", F.col("v").cast("double").alias("value"))
+
+
+@R.query("tail_log", "SELECT event_id // 100 AS \"window\", 'loss' AS metric, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1")
+def tail_log(t):
+    """Window means from run-log lines that the data source follows as they come: the log, then two lines that end it."""
+    path, out, ck = scratch(t, "runlog"), scratch(t, "stream"), scratch(t, "offsets")
+    line = F.concat(F.col("event_id").cast("string"), F.lit(": {'loss': "), F.col("value").cast("string"), F.lit("}"))
+    after = lambda n: t.events.agg(F.concat((F.coalesce(F.max("event_id"), F.lit(0)) + n).cast("string"), F.lit(": {'loss': 0.0}")).alias("value"))
+    D.register(t.spark)
+    for part in (t.events.repartitionByRange(3, "event_id").select(line.alias("value")), after(1_000_000), after(1_000_001)):
+        part.write.mode("append").text(path)
+        lines = t.spark.readStream.format("assets").option("kind", "lines").load(path)
+        J.drain(O.step_windows(lines.select("value"), 100), lambda batch, number: batch.write.mode("append").parquet(out), ck)
+    return t.spark.read.parquet(out).select("window", "metric", F.round("mean", 6).alias("mean"), "n")

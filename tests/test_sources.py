@@ -250,3 +250,54 @@ def test_a_session_on_a_cluster_must_name_its_folder():
     Session.sparkContext._jsc = Session.sparkContext
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_the_data_source_reads_what_is_asked_for(spark, tmp_path):
+    from assetlake.sources import datasource as D
+
+    D.register(spark)
+    rows = spark.createDataFrame([(f"a{i}", [2, 2], [float(i), 1.0, 2.0, 3.0]) for i in range(9)], "asset string, shape array<int>, values array<float>")
+    path = f"{tmp_path}/my arrays"
+    assert D.write_npz(rows, path, "mean").count() == 9
+    (tmp_path / "my arrays" / "broken.npz").write_bytes(b"no zip")
+    read = lambda field="mean": spark.read.format("assets").option("kind", "npz").option("field", field).option("partitionBytes", "600").load(path)
+    got = read().where("asset in ('a3', 'a5') and size(values) = 4").collect()  # the broken file is never opened
+    assert sorted((r.asset, r.shape, r["values"]) for r in got) == [("a3", [2, 2], [3.0, 1.0, 2.0, 3.0]), ("a5", [2, 2], [5.0, 1.0, 2.0, 3.0])]
+    assert read().where("asset = 'a1'").rdd.getNumPartitions() == 1 and read("other").where("asset = 'a1'").first().shape is None
+    with pytest.raises(Exception, match="(?i)zip|pickle|magic"):
+        read().collect()
+    assert spark.read.format("assets").option("kind", "npz").load(f"{tmp_path}/nowhere").count() == 0
+    with pytest.raises(Exception, match="unknown kind"):
+        spark.read.format("assets").option("kind", "jpeg").load(path)
+    np_points = b"ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n"
+    (tmp_path / "c.ply").write_bytes(np_points)
+    assert sorted(tuple(r) for r in spark.read.format("assets").option("kind", "ply").load(f"file://{tmp_path}").collect()) == [("c", 0, 1.0, 2.0, 3.0), ("c", 1, 4.0, 5.0, 6.0)]
+
+
+@pytest.mark.parametrize("most", [7, 64, 1 << 20])
+def test_ranges_of_lines_are_whole_and_come_once(spark, tmp_path, most):
+    from assetlake.sources import datasource as D
+
+    text = "".join(f"line {i} " + "x" * (i * 7 % 40) + "\n" for i in range(50)) + "\n\nlast\n"
+    (tmp_path / "run.log").write_text(text)
+    D.register(spark)
+    got = sorted((r.offset, r.value) for r in spark.read.format("assets").option("kind", "lines").option("partitionBytes", str(most)).load(str(tmp_path)).collect())
+    assert [v for _, v in got] == text.split("\n")[:-1] and all(text[o : o + len(v)] == v for o, v in got)
+
+
+def test_a_log_is_followed_as_it_grows(spark, tmp_path):
+    from assetlake.sources import datasource as D
+
+    D.register(spark)
+    src, out = tmp_path / "log", str(tmp_path / "out")
+    src.mkdir()
+    drain = lambda: J.drain(spark.readStream.format("assets").option("kind", "lines").load(str(src)), lambda b, n: b.write.mode("append").parquet(out), str(tmp_path / "ck"))
+    (src / "a.txt").write_text("one\ntwo\nthr")
+    drain()
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["one", "two"]  # a line without an end waits
+    with open(src / "a.txt", "a") as f:
+        f.write("ee\nfour\n")
+    (src / "b.txt").write_text("new\n")
+    drain()
+    drain()
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["four", "new", "one", "three", "two"]

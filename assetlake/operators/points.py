@@ -83,36 +83,40 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
     which is how far those cells surely reach. The others try again with cells twice
     as wide. Cells start, per group, at the widest of some widths at which no cell holds
     many points, so outliers and clusters don't make a group one cell; of points in one
-    place only the k first by id can be answers, and only they are kept. Columns: keys,
-    id, nid, d2, r (1-based, ties by nid). Query points whose keys have no reference
-    point have no row.
+    place only the k first by id can be answers, and only they are kept. Small groups are
+    compared whole, and if there are no others nothing else is done. Columns: keys, id, nid,
+    d2, r (1-based, ties by nid). Query points whose keys have no reference point have no
+    row.
     """
-    place = Window.partitionBy(*keys, *[f"n{a}" for a in XYZ]).orderBy("nid")
+    w = Window.partitionBy(*keys, "id")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        d = [F.col(a) - F.col(f"n{a}") for a in XYZ]
+        near = pairs.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        return near.withColumn("r", F.row_number().over(w.orderBy("d2", "nid"))).where(F.col("r") <= k)
+
     first = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ])
-    first = cut(first.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p"))
+    query = query.select(*keys, "id", *XYZ)
+    sizes = cut(first.groupBy(*keys).agg(F.count("*").alias("_n")))
+    small = sizes.where(F.col("_n") <= SMALL_GROUP).select(*keys)
+    # a group that is no larger than what the cells around a point would hold is compared whole
+    done = [nearest(query.join(first.join(small, keys), keys)).select(*keys, "id", "nid", "d2", "r")]
+    large = sizes.where(F.col("_n") > SMALL_GROUP).select(*keys)
+    if large.isEmpty():
+        return done[0]
+    place = Window.partitionBy(*keys, *[f"n{a}" for a in XYZ]).orderBy("nid")
+    first = cut(first.join(large, keys).withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p"))
     stats = first.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(f"n{a}") - F.min(f"n{a}")).alias(f"_e{a}") for a in XYZ])
     extent = F.greatest(*[F.col(f"_e{a}") for a in XYZ], F.lit(1e-9))
     stats = cut(stats.select(*keys, "_n", F.least(F.col("_n"), F.lit(k)).alias("_k"), extent.alias("_e")))
-    crowd = first.join(stats.where(F.col("_n") > SMALL_GROUP), keys).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    crowd = first.join(stats, keys).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     width = F.col("_e") / F.pow(F.lit(4.0), F.col("_l"))
     crowd = crowd.groupBy(*keys, "_l", *[F.floor(F.col(f"n{a}") / width).alias(f"_c{a}") for a in XYZ]).agg(F.count("*").alias("_in"))
     fine = crowd.groupBy(*keys, "_l").agg(F.max("_in").alias("_in"))
     level = fine.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_in") <= F.greatest(F.lit(SMALL_GROUP), F.lit(4 * k)), F.col("_l"))), F.lit(LEVELS)).alias("_l"))
     stats = cut(stats.join(level, keys, "left").withColumn("_h0", F.col("_e") / F.pow(F.lit(4.0), F.coalesce("_l", F.lit(0)))).drop("_e", "_l"))
-    r0 = first.join(stats, keys)
-    q0 = query.select(*keys, "id", *XYZ).join(stats.select(*keys, "_n"), keys)
-    w = Window.partitionBy(*keys, "id")
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        d = [F.col(a) - F.col(f"n{a}") for a in XYZ]
-        near = pairs.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        return near.withColumn("r", F.row_number().over(w.orderBy("d2", "nid"))).where(F.col("r") <= k)
-
-    # a group that is no larger than what the cells around a point would hold is compared whole
-    few = nearest(q0.where(F.col("_n") <= SMALL_GROUP).drop("_n").join(r0.where(F.col("_n") <= SMALL_GROUP), keys))
-    done = [few.select(*keys, "id", "nid", "d2", "r")]
-    r0 = r0.where(F.col("_n") > SMALL_GROUP).drop("_n")
-    todo = cut(q0.where(F.col("_n") > SMALL_GROUP).drop("_n").join(stats.select(*keys, "_h0"), keys))
+    r0 = first.join(stats, keys).drop("_n")
+    todo = cut(query.join(stats.select(*keys, "_h0"), keys))
     offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijk", strict=True)]) for o in np.ndindex(3, 3, 3)])
     for i in range(max_rounds):
         if todo.isEmpty():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
 from assetlake.operators.graph import connected_components
+from assetlake.operators.manifest import with_global_index
 from assetlake.session import cut
 
 XYZ = ("x", "y", "z")
@@ -174,11 +175,13 @@ def patch_edges(points: DataFrame, keys: list[str], k: int, radius_scale: float,
 def grow_patches(points: DataFrame, edges: DataFrame, asset: str, min_size: int, skip_class: int | None = None) -> DataFrame:
     """Patch of each point: components of the edges with enough points, numbered by class and least member; -1 else.
 
-    Points have (asset, cls, id) with ids from 0 to 2^20 - 1 inside an asset.
+    Points have (asset, cls, id), ids are unique inside an asset.
     """
-    node = lambda c: F.col(asset).cast("long") * (1 << 20) + F.col(c)
-    found = connected_components(edges.select(node("id").alias("u"), node("nid").alias("v")), "u", "v")
-    p = points.select(asset, "cls", "id", node("id").alias("node")).join(found, "node", "left")
+    placed = cut(with_global_index(points.select(asset, "cls", "id"), [asset, "id"], "node"))
+    end = lambda c, name: placed.select(asset, F.col("id").alias(c), F.col("node").alias(name))
+    links = edges.select(asset, "id", "nid").join(end("id", "u"), [asset, "id"]).join(end("nid", "v"), [asset, "nid"])
+    found = connected_components(links, "u", "v")
+    p = placed.join(found, "node", "left")
     p = p.withColumn("component", F.coalesce("component", "node"))
     big = p.groupBy(asset, "cls", "component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     if skip_class is not None:

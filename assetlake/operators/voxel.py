@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -220,18 +222,16 @@ def full_grid_of(batches: DataFrame, lo: tuple[int, int, int], hi: tuple[int, in
 def to_dense(vox: DataFrame, res: int, value: Column) -> DataFrame:
     """One flat array of res^3 values per batch, 0 where empty."""
 
-    @F.pandas_udf("array<double>")
-    def scatter(at: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for i, x in zip(at, v, strict=True):
-            dense = np.zeros(res**3)
-            dense[i] = x
-            out.append(dense)
-        return pd.Series(out)
+    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for b, i, x in zip(rows["b"], rows["i"], rows["v"], strict=True):  # one grid in hand at a time
+                dense = np.zeros(res**3)
+                dense[i] = x
+                yield pd.DataFrame({"b": [b], "dense": [dense]})
 
     at = (F.col("x") * (res * res) + F.col("y") * res + F.col("z")).cast("int")
     held = vox.groupBy("b").agg(F.sort_array(F.collect_list(F.struct(at.alias("i"), value.cast("double").alias("v")))).alias("m"))
-    return held.select("b", scatter(F.col("m.i"), F.col("m.v")).alias("dense"))
+    return held.select("b", "m.i", "m.v").mapInPandas(scatter, f"b {dict(vox.dtypes)['b']}, dense array<double>")
 
 
 def from_dense(dense: DataFrame, res: int) -> DataFrame:

@@ -72,7 +72,7 @@ def source_cuts(rows: DataFrame, weights: tuple[int, ...], share: float, most: i
     (``part``) of one more. Rows before that key come whole, later ones not at all;
     without a cut every row comes in whole epochs only.
     """
-    total = rows.count()
+    total, sources = rows.agg(F.count("*"), F.count_distinct(F.coalesce("source", F.lit("null")), F.col("source").isNull())).first()
     digits = 1
     while 16**digits * RANGE_ROWS < total * 4:
         digits += 1
@@ -88,14 +88,12 @@ def source_cuts(rows: DataFrame, weights: tuple[int, ...], share: float, most: i
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     budgets = targets.withColumn("epochs", epochs).withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
-    budgets = materialize(budgets, "budgets")
     # the range in which the rest of the budget ends, then the key: of a source, one range is sorted
     t, f, b = tops.alias("t"), fine.alias("f"), budgets.alias("b")
     placed = f.join(t, F.col("f.source").eqNullSafe(F.col("t.source")) & (F.col("f.high") == F.col("t.at"))).select(F.col("f.source").alias("source"), "range", "f.words", (F.col("top") + F.col("inner")).alias("offset")).alias("p")
     ends = placed.join(b, F.col("p.source").eqNullSafe(F.col("b.source"))).where("offset < rest and rest <= offset + words").select(F.col("p.source").alias("source"), "range", "offset", "rest")
-    ends = materialize(ends, "ends")
     here = F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.range") == F.col("e.range"))
-    near = rows.alias("r").join(_hinted(ends, budgets.count()).alias("e"), here, "left_semi")
+    near = rows.alias("r").join(_hinted(ends, sources).alias("e"), here, "left_semi")
     groups = near.groupBy("source", "range", "key", "size").agg(F.count("*").alias("n"))
     last = groups.alias("r").join(ends.alias("e"), here).select("r.source", "r.range", "key", "size", "n", "offset", "rest")
     within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

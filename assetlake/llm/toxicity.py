@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ EPOCHS, BATCH, RATE, L2 = 40, 256, 0.1, 0.1
 #: One training row in so many is kept apart to choose the number of epochs.
 VALIDATION = 5
 CACHE_WORDS = 500_000
+#: Bytes of the texts whose terms are found together, about.
+BATCH_BYTES = 4_000_000
 #: Lengths of the beginnings of words that are terms, and the rates that make a term each.
 STEMS, RATES = range(3, 9), (1 / 1024, 1 / 256, 1 / 64)
 _RATE_STEP = 0x9E3779B1
@@ -55,15 +58,22 @@ class Terms(dict):
     def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        term = word.decode("utf-8", "replace").lower().strip(_EDGES)
-        own = (_bucket(term),) if term else ()
-        stems = tuple(_bucket(f"{term[:n]}\0") for n in STEMS if n <= len(term))
-        if self.index is not None:
-            own = tuple(self.index[k] for k in own if k in self.index)
-            stems = tuple(s for s in stems if s in self.stems)
-        got = self[word] = own, stems
+        got = self[word] = self.found(word)
         return got
 
+    def found(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        term = word.decode("utf-8", "replace").lower().strip(_EDGES)
+        raw, digest = term.encode(), xxhash.xxh3_64_intdigest
+        own = (digest(raw) % BUCKETS,) if term else ()
+        if len(raw) == len(term):
+            stems = [digest(raw[:n] + b"\0") % BUCKETS for n in range(STEMS.start, min(STEMS.stop, len(raw) + 1))]
+        else:
+            stems = [digest(term[:n].encode() + b"\0") % BUCKETS for n in range(STEMS.start, min(STEMS.stop, len(term) + 1))]
+        if self.index is None:
+            return own, tuple(stems)
+        known = self.stems
+        return tuple(self.index[k] for k in own if k in self.index), tuple([s for s in stems if s in known])
+
     @staticmethod
     def rated(stem: int, level: int) -> int:
         return (stem + level * _RATE_STEP) % BUCKETS
@@ -89,6 +99,88 @@ class Terms(dict):
         return sorted(found)
 
 
+class BatchTerms(dict):
+    """The model's terms of many texts at once, as ``Terms.of`` finds them in each.
+
+    A word has a number, or -1 when it has no term of the model; its own term and its
+    beginnings lie in flat arrays. Words are counted, and beginnings added up, for all
+    texts of a batch together.
+    """
+
+    def __init__(self, index: dict[int, int]):
+        super().__init__()
+        self.terms = Terms(index)
+        keys = np.array(sorted(index), np.int64)
+        self.keys, self.places = keys, np.array([index[k] for k in keys.tolist()], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.own, self.stems, self.ends = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.new: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+
+    def __missing__(self, word: bytes) -> int:
+        got = self.terms.found(word)
+        if got == ((), ()):
+            number = -1
+        else:
+            number = len(self.own) + len(self.new)
+            self.new.append(got)
+        self[word] = number
+        return number
+
+    def _grow(self) -> None:
+        if self.new:
+            own = np.array([o[0] if o else -1 for o, _ in self.new], np.int64)
+            size = np.array([len(x) for _, x in self.new], np.int64)
+            stems = np.fromiter((x for _, some in self.new for x in some), np.int64, int(size.sum()))
+            self.own, self.stems = np.concatenate([self.own, own]), np.concatenate([self.stems, stems])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            self.new = []
+
+    def of(self, raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(term, text) pairs, by text and then by term."""
+        if len(self) >= CACHE_WORDS:
+            self.forget()
+        words = [(raw or b"").split() for raw in raws]
+        n = np.array([len(w) for w in words], np.int64)
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        self._grow()
+        text = np.repeat(np.arange(len(raws)), n)[number >= 0]
+        wide = max(1, len(self.own))
+        pair, times = np.unique(text * wide + number[number >= 0], return_counts=True)
+        text, number = pair // wide, pair % wide
+        own = self.own[number]
+        found = [(own[own >= 0], text[own >= 0])]
+        size = self.ends[number + 1] - self.ends[number]
+        at = np.repeat(self.ends[number] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        stem, which = np.unique(np.repeat(text, size) * BUCKETS + self.stems[at], return_inverse=True)
+        count = np.bincount(which, np.repeat(times, size), len(stem))
+        text, stem = stem // BUCKETS, stem % BUCKETS
+        for level, rate in enumerate(RATES):
+            often = count >= rate * n[text]
+            key = (stem[often] + level * _RATE_STEP) % BUCKETS
+            place = np.searchsorted(self.keys, key)
+            known = place < len(self.keys)
+            known[known] = self.keys[place[known]] == key[known]
+            found.append((self.places[place[known]], text[often][known]))
+        wide = max(1, len(self.keys))
+        pair = np.unique(np.concatenate([y * wide + x for x, y in found]))
+        return pair % wide, pair // wide
+
+
+_kept: dict[bytes, BatchTerms] = {}
+
+
+def batch_terms(terms: np.ndarray) -> BatchTerms:
+    """The finder of this worker for a model's terms, which remembers its words from task to task."""
+    key = xxhash.xxh3_128_digest(terms.tobytes())
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = BatchTerms({int(t): i for i, t in enumerate(terms)})
+    return _kept[key]
+
+
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All terms of some rows, and the row of each."""
     return np.fromiter((t for r in rows for t in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -106,8 +198,11 @@ class FactorizationMachine:
 
     def raw(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the logistic, and each row's sum of vectors; a row's sums see that row alone."""
-        idx, row = _flat(rows)
-        total = lambda x: np.bincount(row, x, len(rows))
+        return self.raw_flat(*_flat(rows), len(rows))
+
+    def raw_flat(self, idx: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """``raw`` of n rows given as (term, row) pairs."""
+        total = lambda x: np.bincount(row, x, n)
         v = self.v[idx] * self.x[idx, None]
         s = np.stack([total(v[:, f]) for f in range(FACTORS)], axis=1)
         squares = np.stack([total(v[:, f] ** 2) for f in range(FACTORS)], axis=1)
@@ -157,7 +252,10 @@ class FactorizationMachine:
         return self
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(rows)[0], -30, 30)))
+        return self.score_flat(*_flat(rows), len(rows))
+
+    def score_flat(self, idx: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.raw_flat(idx, row, n)[0], -30, 30)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> FactorizationMachine:
@@ -219,10 +317,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     def make():
         model = shared.value
-        known = Terms({int(t): i for i, t in enumerate(model.terms)})
+        known = batch_terms(model.terms)
 
         def step(b: pa.RecordBatch) -> dict:
-            score = model.score([known.of(x) for x in raw_texts(b.column(2))])
+            texts = raw_texts(b.column(2))
+            ends = np.cumsum([len(x or b"") for x in texts]) // BATCH_BYTES
+            parts = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1)
+            score = np.concatenate([model.score_flat(*known.of([texts[i] for i in part]), len(part)) for part in parts])
             return {"doc_id": b.column(0), "held_out": b.column(1), "score": score, "predicted": (score >= threshold).astype(np.int32)}
 
         return step

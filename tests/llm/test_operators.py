@@ -346,6 +346,32 @@ def test_repeated_passages(spark, texts):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+@pytest.mark.parametrize("fan", [3, 6])
+def test_buckets_in_levels_give_the_same(spark, texts, monkeypatch, fan):
+    docs = frame(spark, texts)
+    want = sorted(map(str, substring_dedup.repeated_passages(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
+    monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 500)
+    monkeypatch.setattr(substring_dedup, "SPLIT_BYTES", 20_000)
+    assert substring_dedup._levels(sum(len((t or "").encode()) for t in texts), 8_000)[2] == {3: 4, 6: 2}[fan]
+    assert sorted(map(str, substring_dedup.repeated_passages(docs, bucket_bytes=8_000).collect())) == want
+
+
+def test_messages_of_a_batch_do_not_grow_with_the_input():
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(2)
+    z = [zstandard.compress(words(rng, 1000, 50_000).encode()) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(z, pa.binary())], ["doc_id", "key", "z"])
+    sent = {}
+    for size in (10**9, 10**11, 10**13, 10**14):
+        plan = substring_dedup._levels(size, substring_dedup.BUCKET_BYTES)
+        assert plan[0] * substring_dedup.BUCKET_BYTES >= size and plan[1] <= substring_dedup.FAN
+        sent[size] = sum(b.num_rows for b in substring_dedup._probe_batches(plan, 20, 10)(iter([batch])))
+    assert max(sent.values()) <= substring_dedup.FAN + 1
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_repeated_rows_are_one_document(spark, parts):
     rng = random.Random(6)
@@ -616,6 +642,21 @@ def test_pairwise_products_one_by_one():
     assert m.raw(rows)[0].tolist() == [m.raw([r])[0][0] for r in rows]  # whatever else is in the batch
 
 
+def test_terms_of_a_batch_are_those_of_each_text(monkeypatch):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", "!", "."]) for _ in range(rng.choice([0, 1, 9, 200, 3000]))).encode() for _ in range(60)] + [None, b"", b"  "]
+    every = toxicity.Terms()
+    index = {t: i for i, t in enumerate(sorted({t for x in texts for t in every.of(x) if rng.random() < 0.3}))}
+    one, many = toxicity.Terms(index), toxicity.BatchTerms(index)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 200)
+    for lo in range(0, len(texts), 21):
+        term, text = many.of(texts[lo : lo + 21])
+        assert [term[text == i].tolist() for i in range(len(texts[lo : lo + 21]))] == [one.of(x) for x in texts[lo : lo + 21]]
+    none = toxicity.BatchTerms({})
+    assert [len(x) for x in none.of(texts)] == [0, 0]
+
+
 def test_terms_of_a_text():
     known = toxicity.Terms()
     text = "Anders, anderen anderswo " + "x " * 300
@@ -671,6 +712,25 @@ def test_mix(spark, texts):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_what_is_mixed_does_not_depend_on_partitions(spark, parts):
+    """Rows of one id and size with different texts, and rows alike but for one column."""
+    some = [(7, f"a{i} b c", "s") for i in range(40)] + [(8, "x y z", "s")] * 5 + [(None, f"n{i} o", "s") for i in range(9)]
+    docs = rows_of(spark, some, 1).withColumn("n_chars", F.when(F.col("text") == "x y z", F.monotonically_increasing_id()))
+    got = mixing.repeat_mixed(spark.createDataFrame(docs.orderBy("text", "n_chars").collect(), docs.schema).repartition(parts)).select("doc_id", "text", "n_chars").collect()
+    want = mixing.repeat_mixed(docs).select("doc_id", "text", "n_chars").collect()
+    assert len(got) > 54 and Counter(map(tuple, got)) == Counter(map(tuple, want))
+
+
+def test_trees_learn_the_same_from_any_layout(spark):
+    rng = random.Random(6)
+    rows = [(i % 60, words(rng, rng.randrange(5, 90)), "s") for i in range(180)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], LABELS)
+    trees = [quality.learn(rows_of(spark, some, parts), labels) for some, parts in ((rows, 1), (rows[::-1], 5))]
+    x = np.array([quality.statistics(t.encode())[1] for _, t, _ in rows], float)
+    assert np.array_equal(trees[0].score(x), trees[1].score(x))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     assert spark_rows(QUERIES[name](spark, DATA)) == duck_rows(duck, ORACLES[name])

@@ -7,36 +7,59 @@ from pyspark.sql import functions as F
 
 from assetlake.session import cut
 
+#: Edges of one node that meet in one task, at most, unless no node can have so many.
+HUB_EDGES = 1 << 22
+
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:
     """(u, m): the least of u and its neighbours; one partial aggregate."""
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def _beside_min(edges: DataFrame, total: int, hub_edges: int) -> DataFrame:
+    """``edges``, of which there are at most ``total``, each with the ``m`` of its ``u``.
+
+    Of more edges than a hub has, those of hubs stay where they are: at most 1024 nodes can
+    be hubs, and their least neighbours are broadcast. Fewer edges simply meet by ``u``.
+    """
+    if total < hub_edges:
+        return edges.join(_min_neighbour(edges), "u")
+    bar = max(hub_edges, -(-total // 1024))
+    least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k")))
+    hubs = F.broadcast(least.where(F.col("k") >= bar).drop("k"))
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("k") < bar).drop("k"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _state(e: DataFrame):
+    return e.agg(F.count("*").alias("n"), F.sum("v").cast("string").alias("s"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Component (least node id reached) of every node that has an edge.
 
     ``edges`` holds 64-bit ids in two columns; direction, repeats and self loops
     don't matter, null ends are ignored. Returns ``(node, component)``. Alternating
     large-star and small-star rounds: each is two shuffles of the edge list, whose
     length never grows, and the number of rounds grows with the logarithm of the
-    component size, not with its diameter. Isolated nodes belong to the caller:
-    left-join and coalesce with the node itself. Raises after ``max_rounds``.
+    component size, not with its diameter. In a giant component nearly every edge comes
+    to have the same end: edges of nodes with ``hub_edges`` or more are not brought together.
+    Isolated nodes belong to the caller: left-join and coalesce with the node itself.
+    Raises after ``max_rounds``.
     """
     e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
+    last = _state(e)
     for _ in range(max_rounds):
         both = e.where("u <> v")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _beside_min(both, 2 * last.n, hub_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         loops = e.where("u = v")
         large = large.unionByName(loops).distinct()
         down = large.where("u <> v")
-        least = _min_neighbour(down)
-        small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).unionByName(loops)
+        small = _beside_min(down, 2 * last.n, hub_edges).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).unionByName(loops)
         e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum("v").cast("string").alias("s"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
+        now = _state(e)
         if now == last:
             break
         last = now

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -218,6 +219,32 @@ def test_components_of_a_long_path(spark):
     assert {got[i] for i in range(n)} == {0} and got[1001] == 1000
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_components_with_hubs_kept_where_they_are(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(0, i) for i in range(1, 200)] + [(500, 500 + i) for i in range(60)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(120)]
+    names = list(range(2000))
+    rng.shuffle(names)
+    pairs = [(names[a], names[b]) for a, b in pairs] + [(None, 3), (4, None)]
+    rng.shuffle(pairs)
+    root = {n: n for p in pairs if None not in p for n in p}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        if a is not None and b is not None:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    e = spark.createDataFrame(pairs, "u long, v long")
+    for hub_edges in (5, 1 << 22):
+        got = [(r.node, r.component) for r in connected_components(e, hub_edges=hub_edges).collect()]
+        assert sorted(got) == sorted((n, top(n)) for n in root)
+    assert connected_components(e.limit(0)).count() == 0 and connected_components(e.limit(0), hub_edges=0).count() == 0
+
+
 def brute_hilbert(x, y, z, bits):
     a, m = [x, y, z], 1 << (bits - 1)
     q = m

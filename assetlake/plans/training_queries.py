@@ -15,6 +15,7 @@ from assetlake.operators import voxel as V
 from assetlake.plans.registry import Registry, Tables, r6
 from assetlake.plans.voxel_queries import _CELLS, points
 from assetlake.session import cut, shared_dir
+from assetlake.sources import archives as A
 from assetlake.sources import datasource as D
 from assetlake.streaming import jobs as J
 from assetlake.streaming import ordered as O
@@ -369,3 +370,15 @@ def tail_log(t):
         lines = t.spark.readStream.format("assets").option("kind", "lines").load(path)
         J.drain(O.step_windows(lines.select("value"), 100), lambda batch, number: batch.write.mode("append").parquet(out), ck)
     return t.spark.read.parquet(out).select("window", "metric", F.round("mean", 6).alias("mean"), "n")
+
+
+@R.query("archive_members", "SELECT doc_id || '.txt' AS member, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL")
+def archive_members(t):
+    """Every text in a zip, and those with a language found again by a list of members and read in their ranges."""
+    path = scratch(t, "zips")
+    member = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("member")
+    texts = t.documents.where("doc_id is not null").select(member, F.coalesce("text", F.lit("")).alias("content"))
+    zips = cut(A.write_zips(texts, path))
+    names = A.list_members(t.spark, path, zips.select(F.element_at(F.split("archive", "/"), -1).alias("archive")))
+    asked = names.join(t.documents.where("lang is not null").select(member), "member", "left_semi")
+    return A.read_members(asked, path).select("member", "size", "sha256")

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
-from assetlake.operators.graph import connected_components
+from assetlake.operators.graph import connected_components, local_labels
+from assetlake.session import cut
 
 XYZ = ("x", "y", "z")
 #: Resolution up to which the voxels of an asset go to one task: a grid of 8 MB.
 TASK_RES = 128
+#: Edge of the blocks whose voxels meet in one task.
+BLOCK = 32
 KEY = ("b", *XYZ)
 
 
@@ -64,18 +67,63 @@ def neighbours(vox: DataFrame, half: bool = False) -> DataFrame:
     return moved.join(vox.select(*KEY), list(KEY))
 
 
-def voxel_components(vox: DataFrame, res: int) -> DataFrame:
+def _blocks(a: str, block: int, reach: tuple[int, ...] = (0,)) -> Column:
+    """Numbers of the blocks along an axis that a voxel moved by each of ``reach`` is in."""
+    return F.array_distinct(F.array(*[F.floor((F.col(a) + i) / block).cast("int") for i in reach]))
+
+
+def neighbour_counts(vox: DataFrame, parts: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Occupied 26-neighbours of each voxel (``neighbours``); voxels come once each.
+
+    A voxel goes to its block and to those it touches, and is counted there: one shuffle of
+    little more than the voxels, and at most (block + 2)^3 of them in a group.
+    """
+    near = vox.select(*KEY)
+    for a in XYZ:
+        near = near.withColumn(f"_b{a}", F.explode(_blocks(a, block, (-1, 0, 1))))
+    keys = ["b", *[f"_b{a}" for a in XYZ]]
+    near = near.repartition(*([parts] if parts else []), *keys)
+    around = F.array(*[F.struct(*[F.lit(v - 1).alias(o) for v, o in zip(c, "ijk", strict=True)]) for c in np.ndindex(3, 3, 3)])
+    moved = near.withColumn("_o", F.explode(around)).withColumn("_self", F.expr("_o.i = 0 and _o.j = 0 and _o.k = 0"))
+    moved = moved.select(*keys, "_self", *[(F.col(a) + F.col(f"_o.{o}")).alias(a) for a, o in zip(XYZ, "ijk", strict=True)])
+    home = G.total((F.floor(F.col(a) / block).cast("int") == F.col(f"_b{a}")).cast("int") for a in XYZ) == 3
+    found = moved.where(home).groupBy(*keys, *XYZ).agg(F.count_if(~F.col("_self")).alias("neighbours"), F.bool_or("_self").alias("_self"))
+    return found.where("_self").select(*KEY, "neighbours")
+
+
+def voxel_components(vox: DataFrame, res: int, block: int = BLOCK) -> DataFrame:
     """26-connected component of each voxel, all assets at once: the least flat index in it.
 
-    As a graph job, for grids too large for one task; ``component_sizes`` takes an
-    asset at a time.
+    The voxels of a block of an asset are joined by one task; where the grid has more blocks
+    than one, the components of blocks that touch are a graph job. So its edges are those
+    between blocks only, once for each two components. Repeated voxels count once.
     """
     cube = res**3
-    node = lambda s: F.col("b") * cube + F.col(f"x{s}") * (res * res) + F.col(f"y{s}") * res + F.col(f"z{s}")
-    edges = neighbours(vox, half=True).select(node("0").alias("u"), node("").alias("v"))
-    found = connected_components(edges, "u", "v")
-    ids = vox.select(*KEY, node("").alias("node"))
-    return ids.join(found, "node", "left").select(*KEY, (F.coalesce("component", "node") - F.col("b") * cube).alias("component"))
+    node = F.col("b").cast("long") * cube + F.col("x").cast("long") * (res * res) + F.col("y") * res + F.col("z")
+    kept = vox.select(*KEY, *[F.floor(F.col(a) / block).cast("int").alias(f"_b{a}") for a in XYZ], node.alias("node")).distinct()
+    kinds = dict(kept.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*KEY, "node")) + ", part long"
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")  # the least row number is then the least node
+        coords = np.stack([t.column(a).to_numpy().astype(np.int64) for a in XYZ], axis=1)
+        nodes = t.column("node").to_numpy()
+        labels = grid_labels(coords - coords.min(axis=0), int(np.ptp(coords, axis=0).max()) + 1)
+        return t.select([*KEY, "node"]).append_column("part", pa.array(nodes[labels], pa.int64()))
+
+    local = kept.groupBy("b", *[f"_b{a}" for a in XYZ]).applyInArrow(run, schema)
+    if res > block:
+        local = cut(local)
+        edge = F.lit(False)
+        for a in XYZ:
+            edge = edge | F.pmod(F.col(a), F.lit(block)).isin(0, block - 1)
+        rim = local.where(edge).select(*KEY, "part")  # only these have neighbours in another block
+        moved = rim.select("b", "part", *XYZ, F.explode(_offsets(half=True)).alias("o"))
+        moved = moved.select("b", F.col("part").alias("u"), *[(F.col(a) + F.col(f"o.{o}")).alias(a) for a, o in zip(XYZ, "ijk", strict=True)])
+        links = moved.join(rim.withColumnRenamed("part", "v"), list(KEY)).where("u <> v").select("u", "v").distinct()
+        found = connected_components(links, "u", "v").withColumnRenamed("node", "part")
+        local = local.join(found, "part", "left").withColumn("part", F.coalesce("component", "part"))
+    return local.select(*KEY, (F.col("part") - F.col("b") * cube).alias("component"))
 
 
 def grid_labels(coords: np.ndarray, res: int) -> np.ndarray:
@@ -91,17 +139,7 @@ def grid_labels(coords: np.ndarray, res: int) -> np.ndarray:
             u = np.flatnonzero(v >= 0)
             ends.append((u, v[u]))
     u, v = (np.concatenate(e) for e in zip(*ends, strict=True))
-    label = np.arange(n)
-    while True:
-        a, b = label[u], label[v]
-        if (a == b).all():
-            return label
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
+    return local_labels(n, u, v)
 
 
 def component_sizes(vox: DataFrame, res: int, task_res: int = TASK_RES) -> DataFrame:
@@ -262,20 +300,24 @@ def serialize_windows(vox: DataFrame, size: int, code: Column, shift: int = 0) -
 
     A batch of n rows has ceil(n / size) windows. Each owns an even share of the
     order (``valid``) and is filled up around its middle by the rows beside it, which
-    wrap around; a batch that fits into one window is that window, unfilled.
+    wrap around; a batch that fits into one window is that window, unfilled. A share is
+    more than half a window, so a row can only be in its own window and those beside it:
+    each row names them itself and meets no other.
     """
-    ordered = vox.withColumn("position", F.row_number().over(Window.partitionBy("b").orderBy(code, *XYZ)) - 1)
-    w = vox.groupBy("b").agg(F.count("*").cast("int").alias("n")).withColumn("windows", F.ceil(F.col("n") / size).cast("int"))
-    w = w.withColumn("window", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+    by = Window.partitionBy("b")
+    w = vox.withColumn("position", F.row_number().over(by.orderBy(code, *XYZ)) - 1).withColumn("n", F.count("*").over(by).cast("int"))
+    w = w.withColumn("windows", F.ceil(F.col("n") / size).cast("int"))
     share = F.col("n") / F.col("windows")
+    own = F.floor((F.col("position") - shift) / share).cast("int")
+    w = w.withColumn("window", F.explode(F.array_distinct(F.array(*[F.pmod(own + i, F.col("windows")) for i in range(-2, 3)]))))
     edge = lambda i: F.floor(i * share + shift).cast("int")
     single = F.col("windows") == 1
     begin = F.when(single, 0).otherwise(F.floor((F.col("window") + 0.5) * share + shift - 0.5 * size).cast("int"))
     length = F.when(single, F.col("n")).otherwise(size)
-    w = w.select("b", "n", "window", single.alias("one"), edge(F.col("window")).alias("lo"), edge(F.col("window") + 1).alias("hi"), begin.alias("begin"), F.explode(F.sequence(F.lit(0), length - 1)).alias("slot"))
-    at = F.col("begin") + F.col("slot")
-    w = w.select("b", "window", "slot", F.pmod(at, F.col("n")).alias("position"), (F.col("one") | (at >= F.col("lo")) & (at < F.col("hi"))).alias("valid"))
-    return w.join(ordered, ["b", "position"])
+    w = w.withColumn("_begin", begin).withColumn("slot", F.pmod(F.col("position") - F.col("_begin"), F.col("n"))).where(F.col("slot") < length)
+    at = F.col("_begin") + F.col("slot")
+    valid = single | (at >= edge(F.col("window"))) & (at < edge(F.col("window") + 1))
+    return w.select("b", "position", "window", "slot", valid.alias("valid"), *[c for c in vox.columns if c != "b"])
 
 
 def window_partition(vox: DataFrame, size: int, shift: int) -> DataFrame:

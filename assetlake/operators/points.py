@@ -6,17 +6,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
 from assetlake.operators.graph import connected_components
 from assetlake.operators.manifest import with_global_index
-from assetlake.session import cut
+from assetlake.session import cut, spread
 
 XYZ = ("x", "y", "z")
 #: Points of a group up to which all of them are candidates for each other.
 SMALL_GROUP = 64
+#: Points and queries of a group up to which one task compares all of them.
+TASK_GROUP = 4096
 #: Cell widths tried are the group's extent over 4^0 to 4^LEVELS.
 LEVELS = 8
 
@@ -76,6 +79,42 @@ def merge_duplicates(points: DataFrame, step: float, by: str, boundary: int = 0)
     return mean.join(votes, keys).join(modes, keys)
 
 
+def _nearest_rows(q: np.ndarray, r: np.ndarray, k: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of r, squared distance, rank from 1) of the k nearest of r to each row of q; the earlier row of r on ties."""
+    out = []
+    k = min(k, len(r))
+    step = max(1, chunk // len(r))
+    for lo in range(0, len(q), step):
+        d = [q[lo : lo + step, None, i] - r[None, :, i] for i in range(3)]
+        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        at, near = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
+        value = d2[at, near]
+        order = np.lexsort((near, value, at))
+        at, near, value = at[order], near[order], value[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
+        kept = rank <= k
+        out.append((at[kept] + lo, near[kept], value[kept], rank[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _task_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, rows: int) -> DataFrame:
+    """``grid_knn`` of groups that one task can hold."""
+    kinds = dict(query.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "id")) + f", nid {dict(ref.dtypes)['id']}, d2 double, r int"
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not len(q) or not len(r):
+            return q.select([*keys, "id"]).slice(0, 0).append_column("nid", r.column("id").slice(0, 0)).append_column("d2", pa.array([], pa.float64())).append_column("r", pa.array([], pa.int32()))
+        r = r.sort_by("id")
+        at, near, d2, rank = _nearest_rows(*[np.stack([t.column(a).to_numpy() for a in XYZ], axis=1).astype(float) for t in (q, r)], k)
+        got = q.select([*keys, "id"]).take(pa.array(at))
+        return got.append_column("nid", r.column("id").take(pa.array(near))).append_column("d2", pa.array(d2)).append_column("r", pa.array(rank.astype(np.int32)))
+
+    # columns get names of their own, for query and ref may be one table
+    sides = [spread(df.select(*[F.col(c).alias(c) for c in (*keys, "id", *XYZ)]), rows, *keys).groupBy(*keys) for df in (query, ref)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+
+
 def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int = 48) -> DataFrame:
     """Exact k nearest of ``ref`` for each point of ``query`` inside the same keys.
 
@@ -84,8 +123,9 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
     which is how far those cells surely reach. The others try again with cells twice
     as wide. Cells start, per group, at the widest of some widths at which no cell holds
     many points, so outliers and clusters don't make a group one cell; of points in one
-    place only the k first by id can be answers, and only they are kept. Small groups are
-    compared whole, and if there are no others nothing else is done. Columns: keys, id, nid,
+    place only the k first by id can be answers, and only they are kept. All that is for
+    groups of more than ``TASK_GROUP`` points or queries: one task compares those of a group
+    that is no larger, and small groups are joined. Columns: keys, id, nid,
     d2, r (1-based, ties by nid). Query points whose keys have no reference point have no
     row.
     """
@@ -98,13 +138,22 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
 
     first = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ])
     query = query.select(*keys, "id", *XYZ)
-    sizes = cut(first.groupBy(*keys).agg(F.count("*").alias("_n")))
-    small = sizes.where(F.col("_n") <= SMALL_GROUP).select(*keys)
+    sizes = first.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = cut(sizes.join(query.groupBy(*keys).agg(F.count("*").alias("_q")), keys))
+    groups = lambda where: sizes.where(where).select(*keys)
     # a group that is no larger than what the cells around a point would hold is compared whole
+    small = groups(F.col("_n") <= SMALL_GROUP)
     done = [nearest(query.join(first.join(small, keys), keys)).select(*keys, "id", "nid", "d2", "r")]
-    large = sizes.where(F.col("_n") > SMALL_GROUP).select(*keys)
+    fits = (F.col("_n") > SMALL_GROUP) & (F.greatest("_n", "_q") <= TASK_GROUP)
+    held = sizes.where(fits).agg(F.sum(F.greatest("_n", "_q"))).first()[0]
+    if held:
+        if small.isEmpty():
+            done = []
+        ones = groups(fits)
+        done.append(_task_knn(query.join(ones, keys, "left_semi"), ref.select(*keys, "id", *XYZ).join(ones, keys, "left_semi"), keys, k, held))
+    large = groups((F.col("_n") > SMALL_GROUP) & ~fits)
     if large.isEmpty():
-        return done[0]
+        return reduce(DataFrame.unionByName, done)
     place = Window.partitionBy(*keys, *[f"n{a}" for a in XYZ]).orderBy("nid")
     first = cut(first.join(large, keys).withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p"))
     stats = first.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(f"n{a}") - F.min(f"n{a}")).alias(f"_e{a}") for a in XYZ])

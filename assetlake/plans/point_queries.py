@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetlake.functions import geometry as G
 from assetlake.operators import points as P
 from assetlake.plans.registry import Registry, Tables, r6
-from assetlake.session import cut
+from assetlake.session import cut, materialize
 
 _PTS = "SELECT vec_id AS asset, s::INT AS slot, embedding[3*s+1]::DOUBLE AS x, embedding[3*s+2]::DOUBLE AS y, embedding[3*s+3]::DOUBLE AS z, (s % 3)::INT AS cls, label FROM embeddings, range(21) r(s)"
 _KNN = f"SELECT * FROM (SELECT a.asset, a.slot, b.slot AS nid, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2, row_number() OVER (PARTITION BY a.asset, a.slot ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.slot) AS r FROM ({_PTS}) a JOIN ({_PTS}) b ON a.asset = b.asset) WHERE r <= 6"
@@ -232,5 +232,5 @@ _PARTS = "SELECT l_suppkey AS asset, l_orderkey * 8 + l_linenumber AS id, min(l_
 def knn_parts(t):
     """Groups of hundreds of points, many of them in one place."""
     at = [F.min(c).cast("double").alias(a) for c, a in ((F.col("l_quantity"), "x"), (F.col("l_discount") * 100, "y"), (F.col("l_tax") * 100, "z"))]
-    p = cut(t.lineitem.groupBy(F.col("l_suppkey").alias("asset"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(*at))
+    p = materialize(t.lineitem.groupBy(F.col("l_suppkey").alias("asset"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(*at), "parts")
     return P.knn(p, ["asset"], 4).select("asset", "id", "nid", "r", F.round("d2", 6).alias("d2"))

@@ -133,10 +133,41 @@ def noise_report(df: DataFrame, t: str, mse: str, cosine: str) -> DataFrame:
     return out.withColumn("warn_high", F.coalesce(F.col("high") > 5 * F.col("low"), F.lit(False))).withColumn("warn_low", F.coalesce(F.col("low") > 0.1, F.lit(False)))
 
 
+def quantiles(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """``by`` and ``q``: exact quantiles of each group with linear interpolation, as ``percentile`` gives them.
+
+    Values are placed by one sort over all groups, so no task holds a group. ``by`` has few values.
+    """
+    from assetlake.operators.manifest import with_global_index
+
+    placed = with_global_index(df.select(by, value).where(F.col(value).isNotNull()), [by, value], "_i")
+    ends = placed.groupBy(by).agg(F.min("_i").alias("_from"), F.count("*").alias("_n"))  # a row per group
+    wanted = ends.select(F.col(by).alias("_g"), F.posexplode(F.array(*[F.col("_from") + (F.col("_n") - 1) * F.lit(float(s)) for s in shares])).alias("_k", "_p"))
+    wanted = wanted.withColumn("_e", F.explode(F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))))
+    hit = placed.join(F.broadcast(wanted), F.col("_i") == F.col("_e"))
+    weight = F.when(F.floor("_p") == F.ceil("_p"), 1.0).when(F.col("_e") == F.floor("_p"), F.ceil("_p") - F.col("_p")).otherwise(F.col("_p") - F.floor("_p"))
+    per = hit.groupBy(by, "_k").agg(F.sum(weight * F.col(value)).alias("_v"))
+    return per.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"]).alias("q"))
+
+
 def log_statistics(df: DataFrame, metric: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.groupBy(metric).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
-    return got.select(metric, "n", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    got = df.groupBy(metric).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, metric, value, [0.25, 0.5, 0.75]).withColumnRenamed(metric, "_g")
+    got = got.join(q, got[metric].eqNullSafe(q["_g"]), "left")
+    return got.select(metric, "n", "mean", "std", "min", "max", *[F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
+
+
+def last_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each group; a task keeps no more than those."""
+    w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def last_improvement(df: DataFrame, by: list[str], order: str, value: str, mode: str = "max") -> DataFrame:
+    """Per group the ``order`` of the last row of ``running_best``: the first that has the best value, or the last if none has a value."""
+    key = -F.col(value) if mode == "max" else F.col(value)
+    first = F.min(F.when(F.col(value).isNotNull(), F.struct(key.alias("v"), F.col(order).alias("o"))))["o"]
+    return df.groupBy(*by).agg(F.coalesce(first, F.max(order)).alias(order))
 
 
 def log_rollup(df: DataFrame, step: str, path: str, value: str, every: int) -> DataFrame:

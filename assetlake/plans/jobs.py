@@ -261,13 +261,17 @@ def log_report(log: DataFrame, every: int, width: int = 10, norm: str = "grad_no
     mean of the last ``width`` values, for ``norm`` the clip threshold of the last step, and
     for time bins ``bin_i`` their number and mean.
     """
-    clean = cut(X.exclude_nan_steps(log.where("step is not null"), "step", "value"))
+    clean = materialize(X.exclude_nan_steps(log.where("step is not null"), "step", "value"), "runlog")
     last = lambda df, c: df.groupBy("metric").agg(F.max_by(c, "step").alias(c))
     out = X.log_statistics(clean, "metric", "value")
-    best = X.running_best(clean, ["metric"], ["step"], "value", sign).groupBy("metric").agg(F.max("step").alias("best_step"))
+    best = X.last_improvement(clean, ["metric"], "step", "value", sign).withColumnRenamed("step", "best_step")
     windows = X.log_rollup(clean, "step", "metric", "value", every).groupBy("metric").agg(F.count("*").alias("windows"))
-    smooth = last(X.moving_average(clean, ["metric"], ["step"], F.col("value"), width, "smooth"), "smooth")
-    clip = last(X.adaptive_clip(clean.where(F.col("metric") == norm), ["metric"], ["step"], "value", percentile, buffer, cap), "threshold")
+    # what the last step looks back on is all that its mean and its threshold need
+    ends = X.last_rows(clean, ["metric"], ["step"], width)
+    smooth = last(X.moving_average(ends, ["metric"], ["step"], F.col("value"), width, "smooth"), "smooth")
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    ends = X.last_rows(clean.where((F.col("metric") == norm) & finite), ["metric"], ["step"], buffer + 1)
+    clip = last(X.adaptive_clip(ends, ["metric"], ["step"], "value", percentile, buffer, cap), "threshold")
     number = F.regexp_extract("metric", r"^bin_(\d+)$", 1)
     binned = clean.where(number != "").withColumn("t", (number.cast("double") + 0.5) / 10)
     bins = X.time_bin_mse(binned, "t", "value").select(F.concat(F.lit("bin_"), "bin").alias("metric"), "bin", F.col("mse").alias("bin_mse"))

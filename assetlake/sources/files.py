@@ -67,6 +67,19 @@ def scan_cad_parquet(spark: SparkSession, root: str, columns: list[str], max_fil
     return df.join(files, "file_path")
 
 
+def scan_table_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``scan_cad_parquet`` of one table, whether it is a file or a folder of part files.
+
+    ``file_path`` is the table's path and ``row_index`` goes on from part to part, in path order.
+    """
+    df = scan_cad_parquet(spark, path, columns)
+    sizes = df.groupBy("parquet_index").agg((F.max("row_index") + 1).alias("_n"))  # a row per file
+    before = Window.orderBy("parquet_index").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("parquet_index", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = [F.lit(path).alias("file_path"), F.lit(0).alias("parquet_index"), (F.col("_start") + F.col("row_index")).alias("row_index")]
+    return df.join(F.broadcast(starts), "parquet_index").select(*columns, *place)
+
+
 def fetch_rows(cad: DataFrame, wanted: DataFrame) -> DataFrame:
     """Exactly the requested (file_path, row_index) rows."""
     return cad.join(wanted, ["file_path", "row_index"], "left_semi")

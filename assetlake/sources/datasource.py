@@ -13,12 +13,16 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
+from assetlake.session import materialize, spread
+
 #: Columns of each kind, and the file names that it takes.
 SCHEMAS = {
     "npz": "asset string, shape array<int>, values array<float>",
@@ -48,6 +52,50 @@ def list_files(uri: str, pattern: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.is_file and re.search(pattern, f.path) and not re.search(r"(^|/)[._]", f.path[len(root) :]))
 
 
+#: Names that Spark's readers leave out.
+HIDDEN = r"^(\.|_[^=]*$)|\._COPYING_$"
+
+
+def is_folder(uri: str) -> bool:
+    """Whether it is a folder that pyarrow's file systems reach."""
+    from pyarrow import fs
+
+    try:
+        store, root = _open(uri)
+        return store.get_file_info(root).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def find_files(spark: SparkSession, uri: str) -> DataFrame:
+    """``path, length`` of the files below a folder, as Spark's readers name them; empty ones are left out, as they do.
+
+    Tasks list the folders, a level at a time, and write what they find: the driver holds no
+    list. What lies in one folder is listed by one task.
+    """
+    from pyarrow import fs
+
+    store, root = _open(uri)
+    before = "file:" if isinstance(store, fs.LocalFileSystem) else uri.rstrip("/").removesuffix(root)
+
+    def run(batches):
+        store, _ = _open(uri)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder.removeprefix(before), allow_not_found=True))
+                found = [f for f in found if f.type in (fs.FileType.File, fs.FileType.Directory) and not re.search(HIDDEN, f.base_name)]
+                yield pa.RecordBatch.from_arrays([pa.array([before + f.path for f in found], pa.string()), pa.array([f.size if f.is_file else None for f in found], pa.int64())], ["path", "length"])
+
+    level, levels = spark.createDataFrame([(before + root,)], "path string").coalesce(1), []
+    while level is not None:
+        found = materialize(level.mapInArrow(run, "path string, length long"), "files")
+        levels.append(found.where("length > 0"))
+        folders = found.where("length is null").select("path")
+        n = folders.count()
+        level = folders.repartition(min(n, max(4 * spark.sparkContext.defaultParallelism, n // 1000)), "path") if n else None
+    return reduce(DataFrame.unionByName, levels)
+
+
 @dataclass
 class Ranges(InputPartition):
     """(path, from byte, to byte) of what one task reads."""
@@ -227,3 +275,30 @@ def write_npz(rows: DataFrame, path: str, field: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["asset", "bytes"])
 
     return rows.select("asset", "shape", "values").mapInArrow(run, "asset string, bytes long")
+
+
+def write_files(rows: DataFrame, path: str, folders: int = 1024) -> DataFrame:
+    """One file for each row ``name, content``, in ``folders`` folders by a hash of the name, written by the tasks; gives ``name, bytes``. Lazy.
+
+    A repeated task writes the same files again.
+    """
+    store, root = _open(path)
+    store.create_dir(root, recursive=True)
+
+    def run(batches):
+        store, root = _open(path)
+        made: set[str] = set()
+        for b in batches:
+            sizes = []
+            for folder, name, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if folder not in made:
+                    store.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{root}/{folder}/{name}") as f:
+                    f.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int64())], ["name", "bytes"])
+
+    folder = F.format_string("%04d", F.crc32(F.col("name").cast("binary")) % folders)
+    dealt = spread(rows.select(folder.alias("folder"), "name", F.col("content").cast("binary").alias("content")), rows.count(), "folder")
+    return dealt.mapInArrow(run, "name string, bytes long")

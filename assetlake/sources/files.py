@@ -1,7 +1,8 @@
 """Readers and writers of manifests, records, CAD shards, blobs, logs and tables.
 
 Everything goes through Spark's readers, writers and file system, so any store that
-Spark reaches will do; file contents are decoded in tasks.
+Spark reaches will do; file contents are decoded in tasks. Artefacts are listed by tasks
+where pyarrow's file systems reach them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assetlake.sources.datasource import find_files, is_folder
+
 
 def scan_manifest(spark: SparkSession, roots: str, schema: str, root_of: str | None = None) -> DataFrame:
     """CSV manifests of one or more comma-separated roots, tagged with their root.
@@ -290,8 +293,15 @@ def content_sha256(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_artifacts(spark: SparkSession, path: str, pattern: str, stage: str) -> DataFrame:
-    """``key, stage, length`` of files whose path matches; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    """``key, stage, length`` of files whose path matches; contents are not read.
+
+    Tasks list the folders. Of a store that only Spark reaches, or a path with wildcards, the
+    driver holds the list.
+    """
+    if is_folder(path):
+        files = find_files(spark, path)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     key = F.regexp_extract("path", pattern, 1)
     return files.select(key.alias("key"), F.lit(stage).alias("stage"), "length").where("key <> ''")
 

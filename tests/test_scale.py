@@ -12,6 +12,7 @@ from assetlake.operators import points as P
 from assetlake.operators import views as W
 from assetlake.operators import voxel as V
 from assetlake.plans import catalogue
+from assetlake.sources import datasource as D
 from assetlake.sources import files as S
 from tests.conftest import DATA
 
@@ -114,3 +115,29 @@ def test_quantiles_and_ends_of_a_log(spark):
         steps = M.running_best(df, ["metric"], ["step"], "value", mode).groupBy("metric").agg(F.max("step").alias("step")).collect()
         assert sorted(steps) == sorted(M.last_improvement(df, ["metric"], "step", "value", mode).collect())
     assert sorted((r.metric, r.step) for r in M.last_rows(df, ["metric"], ["step"], 2).collect()) == [*[(m, s) for m in "abc" for s in (38, 39)], ("d", 1), ("d", 2)]
+
+
+def test_artefacts_are_listed_by_tasks(spark, tmp_path):
+    root = tmp_path / "out"
+    for i, name in enumerate(("a.npz", "d e/b%20.npz", "d e/f/c+.npz", "k=1/_x=1.npz", "_h/d.npz", ".i/e.npz", "d e/_g.npz", "d e/.j.npz", "d e/h._COPYING_", "_metadata", "d e/empty.npz")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * ((i + 1) % 11))
+    want = sorted(map(tuple, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root)).select("path", "length").collect()))
+    for path in (str(root), f"{root}/", f"file://{root}"):
+        assert sorted(map(tuple, D.find_files(spark, path).collect())) == want and len(want) == 4
+    listing = S.scan_artifacts(spark, str(root), r"([^/]+)\.npz$", "latent")
+    assert sorted((r.key, r.length) for r in listing.collect()) == [("_x=1", 4), ("a", 1), ("b%20", 2), ("c+", 3)]
+    assert "binaryFile" not in plan(listing)
+    assert [r.key for r in S.scan_artifacts(spark, f"{root}/*.npz", r"([^/]+)\.npz$", "latent").collect()] == ["a"]
+    (tmp_path / "none").mkdir()
+    assert S.scan_artifacts(spark, str(tmp_path / "none"), "(.)", "latent").count() == 0
+
+
+def test_a_file_an_asset_in_folders_of_bounded_number(spark, tmp_path):
+    rows = spark.range(60).select(F.concat((F.col("id") % 50).cast("string"), F.lit(".txt")).alias("name"), F.lit("done").alias("content"))
+    path = str(tmp_path / "w")
+    assert D.write_files(rows, path, 4).agg(F.sum("bytes")).first()[0] == 240
+    files = [p for p in (tmp_path / "w").rglob("*") if p.is_file()]
+    assert sorted(p.name for p in files) == sorted(f"{i}.txt" for i in range(50)) and {p.read_text() for p in files} == {"done"}
+    assert len({p.parent for p in files}) == 4
+    assert D.write_files(rows.where("false"), str(tmp_path / "e")).count() == 0 and D.find_files(spark, str(tmp_path / "e")).count() == 0

@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions import geometry as G
-from assetlake.operators.graph import connected_components
+from assetlake.operators.graph import connected_components, local_labels
 from assetlake.operators.manifest import with_global_index
 from assetlake.session import cut, spread
 
 XYZ = ("x", "y", "z")
+PLACE = ("n_x", "n_y", "n_z")
 #: Points of a group up to which all of them are candidates for each other.
 SMALL_GROUP = 64
 #: Points and queries of a group up to which one task compares all of them.
 TASK_GROUP = 4096
+#: Rows of groups that a task compares at a time, about.
+BUCKET_ROWS = 16_384
+#: Points of an asset up to which its patches are joined by one task.
+TASK_POINTS = 200_000
 #: Cell widths tried are the group's extent over 4^0 to 4^LEVELS.
 LEVELS = 8
 
@@ -61,9 +66,9 @@ def quantised(step: float) -> list[Column]:
 
 def dedup_first(points: DataFrame, step: float, by: list[str], order: list[str]) -> DataFrame:
     """The first point of each quantised place."""
+    place = Window.partitionBy(*by, *quantised(step)).orderBy(*order)
     cols = [x for x in points.columns if x not in by]
-    got = points.groupBy(*by, *quantised(step)).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_p"))
-    return got.select(*by, *[F.col(f"_p.{x}").alias(x) for x in cols])
+    return points.withColumn("_r", F.row_number().over(place)).where("_r = 1").select(*by, *cols)
 
 
 def merge_duplicates(points: DataFrame, step: float, by: str, boundary: int = 0) -> DataFrame:
@@ -72,11 +77,14 @@ def merge_duplicates(points: DataFrame, step: float, by: str, boundary: int = 0)
     Points carry ``cls`` (number) and ``voxel``; the smaller class and voxel win ties.
     """
     keys = [by, "qx", "qy", "qz"]
-    p = points.select("*", *quantised(step))
-    mean = p.groupBy(*keys).agg(*[F.avg(a).alias(a) for a in XYZ], F.count("*").alias("source_count"))
-    votes = p.groupBy(*keys, "cls").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("cls", F.struct((F.col("cls") != boundary).alias("o"), "n", (-F.col("cls")).alias("r"))).alias("cls"))
-    modes = p.groupBy(*keys, "voxel").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("voxel", F.struct("n", (-F.col("voxel")).alias("r"))).alias("voxel"))
-    return mean.join(votes, keys).join(modes, keys)
+    p = points.select("*", *quantised(step)).dropna(subset=keys)
+    kinds = p.groupBy(*keys, "cls", "voxel").agg(*[F.sum(a).alias(a) for a in XYZ], F.count("*").alias("n"))
+    votes = lambda c: F.sum("n").over(Window.partitionBy(*keys, c))
+    kinds = kinds.withColumn("_c", votes("cls")).withColumn("_v", votes("voxel"))
+    mean = [(F.sum(a) / F.sum("n")).alias(a) for a in XYZ]
+    cls = F.max_by("cls", F.struct((F.col("cls") != boundary).alias("o"), "_c", (-F.col("cls")).alias("r"))).alias("cls")
+    voxel = F.max_by("voxel", F.struct("_v", (-F.col("voxel")).alias("r"))).alias("voxel")
+    return kinds.groupBy(*keys).agg(*mean, F.sum("n").alias("source_count"), cls, voxel)
 
 
 def _nearest_rows(q: np.ndarray, r: np.ndarray, k: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,25 +105,69 @@ def _nearest_rows(q: np.ndarray, r: np.ndarray, k: int, chunk: int = 1 << 15) ->
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _task_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, rows: int) -> DataFrame:
-    """``grid_knn`` of groups that one task can hold."""
-    kinds = dict(query.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "id")) + f", nid {dict(ref.dtypes)['id']}, d2 double, r int"
+def _nearest_in_groups(q: np.ndarray, qg: np.ndarray, r: np.ndarray, rg: np.ndarray, k: int, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_nearest_rows`` inside many groups at once: ``qg`` and ``rg`` number the groups, and ``r`` lies by group.
+
+    Rows of small groups of one size are compared together.
+    """
+    n = np.bincount(rg, minlength=max(qg.max(initial=-1), rg.max(initial=-1)) + 1)
+    start = np.cumsum(n) - n
+    by_size = np.lexsort((qg, n[qg]))
+    edges = np.flatnonzero(np.diff(n[qg][by_size], prepend=-1))
+    out = [(np.array([], int), np.array([], int), np.array([]), np.array([], int))]
+    for rows in np.split(by_size, edges[1:]):
+        size = n[qg[rows[0]]] if len(rows) else 0
+        if size > SMALL_GROUP:
+            for some in np.split(rows, np.flatnonzero(np.diff(qg[rows])) + 1):
+                lo = start[qg[some[0]]]
+                at, near, d2, rank = _nearest_rows(q[some], r[lo : lo + size], k)
+                out.append((some[at], near + lo, d2, rank))
+        elif size:
+            for lo in range(0, len(rows), max(1, chunk // size)):
+                some = rows[lo : lo + max(1, chunk // size)]
+                near = start[qg[some]][:, None] + np.arange(size)
+                d = [q[some, None, i] - r[near, i] for i in range(3)]
+                d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                first = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                rank = np.broadcast_to(np.arange(1, first.shape[1] + 1), first.shape)
+                out.append((np.repeat(some, first.shape[1]), np.take_along_axis(near, first, 1).ravel(), np.take_along_axis(d2, first, 1).ravel(), rank.ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _buckets(sides: list[DataFrame], keys: list[str], rows: int) -> list[DataFrame]:
+    """Tables with ``_b``, the same for rows of one key and for about ``BUCKET_ROWS`` rows, in parts by it."""
+    b = F.pmod(F.xxhash64(*keys), F.lit(-(-rows // BUCKET_ROWS))).alias("_b")
+    return [spread(df.dropna(subset=keys).select("*", b), rows, "_b") for df in sides]
+
+
+def _numbers(tables: list[pa.Table], keys: list[str]) -> list[np.ndarray]:
+    """The group of each row of some tables, numbered through all of them by their keys."""
+    code = pd.concat([t.select(keys).to_pandas() for t in tables]).groupby(keys, sort=False).ngroup().to_numpy()
+    return np.split(code, np.cumsum([len(t) for t in tables])[:-1])
+
+
+def _task_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, rows: int, own: tuple[str, ...], other: tuple[str, ...]) -> DataFrame:
+    """``grid_knn`` of groups that one task can hold, many of them at a time."""
+    kinds, theirs = dict(query.dtypes), dict(ref.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*keys, "id")] + [f"nid {theirs['id']}, d2 double, r int"] + [f"`{c}` {kinds[c]}" for c in own] + [f"`n_{c}` {theirs[c]}" for c in other])
 
     def run(q: pa.Table, r: pa.Table) -> pa.Table:
-        if not len(q) or not len(r):
-            return q.select([*keys, "id"]).slice(0, 0).append_column("nid", r.column("id").slice(0, 0)).append_column("d2", pa.array([], pa.float64())).append_column("r", pa.array([], pa.int32()))
-        r = r.sort_by("id")
-        at, near, d2, rank = _nearest_rows(*[np.stack([t.column(a).to_numpy() for a in XYZ], axis=1).astype(float) for t in (q, r)], k)
-        got = q.select([*keys, "id"]).take(pa.array(at))
-        return got.append_column("nid", r.column("id").take(pa.array(near))).append_column("d2", pa.array(d2)).append_column("r", pa.array(rank.astype(np.int32)))
+        qg, rg = _numbers([q, r], keys)
+        r = r.append_column("_g", pa.array(rg)).sort_by([("_g", "ascending"), ("id", "ascending")])
+        places = [np.stack([t.column(a).to_numpy() for a in XYZ], axis=1).astype(float) for t in (q, r)]
+        at, near, d2, rank = _nearest_in_groups(places[0], qg, places[1], r.column("_g").to_numpy(), k)
+        mine, found = q.select([*keys, "id", *own]).take(pa.array(at)), r.select(list(dict.fromkeys(["id", *other]))).take(pa.array(near))
+        columns = [*(mine.column(c) for c in (*keys, "id")), found.column("id"), pa.array(d2), pa.array(rank.astype(np.int32)), *(mine.column(c) for c in own), *(found.column(c) for c in other)]
+        return pa.Table.from_arrays(columns, [*keys, "id", "nid", "d2", "r", *own, *(f"n_{c}" for c in other)])
 
     # columns get names of their own, for query and ref may be one table
-    sides = [spread(df.select(*[F.col(c).alias(c) for c in (*keys, "id", *XYZ)]), rows, *keys).groupBy(*keys) for df in (query, ref)]
-    return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+    wanted = [list(dict.fromkeys((*keys, "id", *XYZ, *c))) for c in (own, other)]
+    q, r = [df.select(*[(F.col(c).cast(kinds[c]) if c in keys else F.col(c)).alias(c) for c in cols]) for df, cols in zip((query, ref), wanted, strict=True)]
+    q, r = [df.groupBy("_b") for df in _buckets([q, r], keys, rows)]
+    return q.cogroup(r).applyInArrow(run, schema)
 
 
-def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int = 48) -> DataFrame:
+def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int = 48, own: tuple[str, ...] = (), other: tuple[str, ...] = ()) -> DataFrame:
     """Exact k nearest of ``ref`` for each point of ``query`` inside the same keys.
 
     Both have ``id, x, y, z``. Candidates come from the 27 grid cells around the
@@ -124,11 +176,28 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
     as wide. Cells start, per group, at the widest of some widths at which no cell holds
     many points, so outliers and clusters don't make a group one cell; of points in one
     place only the k first by id can be answers, and only they are kept. All that is for
-    groups of more than ``TASK_GROUP`` points or queries: one task compares those of a group
-    that is no larger, and small groups are joined. Columns: keys, id, nid,
-    d2, r (1-based, ties by nid). Query points whose keys have no reference point have no
-    row.
+    groups of more than ``TASK_GROUP`` points or queries: those of a group that is no larger
+    are compared by one task, which takes many groups at a time, and many queries of few points
+    are joined. Columns: keys, id, nid, d2, r (1-based, ties by nid), the query's columns
+    ``own`` and the neighbour's columns ``other`` as ``n_<name>``. Query points whose keys have
+    no reference point have no row.
     """
+    local, rest = _grid_knn(query, ref, keys, k, max_rounds, own, other)
+    if rest:
+        local.append(_with_columns(reduce(DataFrame.unionByName, rest), query, ref, keys, own, other))
+    return reduce(DataFrame.unionByName, local)
+
+
+def _with_columns(pairs: DataFrame, query: DataFrame, ref: DataFrame, keys: list[str], own: tuple[str, ...], other: tuple[str, ...]) -> DataFrame:
+    if own:
+        pairs = pairs.join(query.select(*keys, "id", *own), [*keys, "id"])
+    if other:
+        pairs = pairs.join(ref.select(*keys, F.col("id").alias("nid"), *[F.col(c).alias(f"n_{c}") for c in other]), [*keys, "nid"])
+    return pairs
+
+
+def _grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int, own: tuple[str, ...], other: tuple[str, ...]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The answers of groups that one task compares, with the columns asked for, and those of the other groups without."""
     w = Window.partitionBy(*keys, "id")
 
     def nearest(pairs: DataFrame) -> DataFrame:
@@ -136,24 +205,23 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
         near = pairs.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
         return near.withColumn("r", F.row_number().over(w.orderBy("d2", "nid"))).where(F.col("r") <= k)
 
+    sizes = ref.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = cut(sizes.withColumn("_q", F.col("_n")) if query is ref else sizes.join(query.groupBy(*keys).agg(F.count("*").alias("_q")), keys))
+    most = F.greatest("_n", "_q")
+    fits, few = most <= TASK_GROUP, (F.col("_n") <= SMALL_GROUP) & (F.col("_q") > TASK_GROUP)
+    held, n_few, n_large = sizes.agg(F.sum(F.when(fits, most)), F.count_if(few), F.count_if(~fits & ~few)).first()
+    groups = lambda where: sizes.where(where).select(*keys)
+    local, done = [], []
+    if held or not (n_few or n_large):
+        pick = (lambda df: df.join(groups(fits), keys, "left_semi")) if n_few or n_large else (lambda df: df)
+        local.append(_task_knn(pick(query), pick(ref), keys, k, held or 1, own, other))
     first = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ])
     query = query.select(*keys, "id", *XYZ)
-    sizes = first.groupBy(*keys).agg(F.count("*").alias("_n"))
-    sizes = cut(sizes.join(query.groupBy(*keys).agg(F.count("*").alias("_q")), keys))
-    groups = lambda where: sizes.where(where).select(*keys)
-    # a group that is no larger than what the cells around a point would hold is compared whole
-    small = groups(F.col("_n") <= SMALL_GROUP)
-    done = [nearest(query.join(first.join(small, keys), keys)).select(*keys, "id", "nid", "d2", "r")]
-    fits = (F.col("_n") > SMALL_GROUP) & (F.greatest("_n", "_q") <= TASK_GROUP)
-    held = sizes.where(fits).agg(F.sum(F.greatest("_n", "_q"))).first()[0]
-    if held:
-        if small.isEmpty():
-            done = []
-        ones = groups(fits)
-        done.append(_task_knn(query.join(ones, keys, "left_semi"), ref.select(*keys, "id", *XYZ).join(ones, keys, "left_semi"), keys, k, held))
-    large = groups((F.col("_n") > SMALL_GROUP) & ~fits)
-    if large.isEmpty():
-        return reduce(DataFrame.unionByName, done)
+    if n_few:
+        done.append(nearest(query.join(first.join(groups(few), keys), keys)).select(*keys, "id", "nid", "d2", "r"))
+    if not n_large:
+        return local, done
+    large = groups(~fits & ~few)
     place = Window.partitionBy(*keys, *[f"n{a}" for a in XYZ]).orderBy("nid")
     first = cut(first.join(large, keys).withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p"))
     stats = first.groupBy(*keys).agg(F.count("*").alias("_n"), *[(F.max(f"n{a}") - F.min(f"n{a}")).alias(f"_e{a}") for a in XYZ])
@@ -182,12 +250,12 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
         todo = cut(todo.join(got.where("r = 1").select(*keys, "id"), [*keys, "id"], "left_anti"))
     else:
         raise RuntimeError("neighbour search did not settle")
-    return reduce(DataFrame.unionByName, done)
+    return local, done
 
 
-def knn(points: DataFrame, keys: list[str], k: int) -> DataFrame:
+def knn(points: DataFrame, keys: list[str], k: int, own: tuple[str, ...] = (), other: tuple[str, ...] = ()) -> DataFrame:
     """k nearest including the point itself, k at least 2 and at most the number of points."""
-    return grid_knn(points, points, keys, max(k, 2))
+    return grid_knn(points, points, keys, max(k, 2), own=own, other=other)
 
 
 def local_scale(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -209,16 +277,48 @@ def patch_edges(points: DataFrame, keys: list[str], k: int, radius_scale: float,
     include cls. ``curvature`` is (class, limit), ``radius`` (classes, relative limit);
     both tests are skipped when either value is missing.
     """
-    pairs = knn(points, keys, k)
-    scaled = points.join(local_scale(pairs, keys), [*keys, "id"])
-    j = with_attributes(pairs.where("nid > id"), scaled, keys, ["scale", "normal", "curvature", "radius", "vx", "vy", "vz"])
+    seen = ("normal", "curvature", "radius", "vx", "vy", "vz")
+    j = knn(points, keys, k, own=seen, other=seen)
     gap = F.greatest(*[F.abs(F.col(a) - F.col(f"n_{a}")) for a in ("vx", "vy", "vz")])
     both = lambda a: F.col(a).isNotNull() & F.col(f"n_{a}").isNotNull() & ~F.isnan(a) & ~F.isnan(f"n_{a}")
     bend = (F.col("cls") != curvature[0]) | ~both("curvature") | (F.abs(F.col("curvature") - F.col("n_curvature")) <= curvature[1])
     rel = F.abs(F.col("radius") - F.col("n_radius")) / F.greatest("radius", "n_radius", F.lit(1e-6))
     round_ = ~F.col("cls").isin(*radius[0]) | ~both("radius") | (rel <= radius[1])
-    ok = (F.sqrt("d2") <= F.greatest("scale", "n_scale") * radius_scale) & (gap <= voxel_gap) & (G.vector_angle("normal", "n_normal") <= angle)
-    return j.where(ok & bend & round_).select(*keys, "id", "nid")
+    ok = (F.col("nid") > F.col("id")) & (gap <= voxel_gap) & (G.vector_angle("normal", "n_normal") <= angle) & bend & round_
+    pairs = cut(j.select(*keys, "id", "nid", "d2", ok.alias("_ok")))
+    # the radius is that of the wider of two points, so it needs all neighbours of both
+    near = with_attributes(pairs.where("_ok"), local_scale(pairs, keys), keys, ["scale"])
+    return near.where(F.sqrt("d2") <= F.greatest("scale", "n_scale") * radius_scale).select(*keys, "id", "nid")
+
+
+def _graph_components(points: DataFrame, edges: DataFrame, asset: str) -> DataFrame:
+    """Points with ``component``, the least place of those joined, over all points by asset and id."""
+    placed = cut(with_global_index(points, [asset, "id"], "node"))
+    end = lambda c, name: placed.select(asset, F.col("id").alias(c), F.col("node").alias(name))
+    links = edges.join(end("id", "u"), [asset, "id"]).join(end("nid", "v"), [asset, "nid"])
+    found = connected_components(links, "u", "v")
+    p = placed.join(found, "node", "left")
+    return p.select(asset, "cls", "id", F.coalesce("component", "node").cast("long").alias("component"))
+
+
+def _task_components(points: DataFrame, edges: DataFrame, asset: str, rows: int) -> DataFrame:
+    """Points with ``component``, the least place of those joined, in the asset by id; many assets a task at a time."""
+    kinds = dict(points.dtypes)
+
+    def run(p: pa.Table, e: pa.Table) -> pa.Table:
+        pg, eg = _numbers([p, e], [asset])
+        ids = [t.column(c).to_numpy() for t, c in ((p, "id"), (e, "id"), (e, "nid"))]
+        known, place = np.unique(np.concatenate(ids), return_inverse=True)
+        own, u, v = [g * len(known) + i for g, i in zip((pg, eg, eg), np.split(place, np.cumsum([len(i) for i in ids])[:-1]), strict=True)]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        at = [np.minimum(np.searchsorted(own, x), max(len(own) - 1, 0)) for x in (u, v)]
+        there = (own[at[0]] == u) & (own[at[1]] == v) if len(own) else np.zeros(len(u), bool)
+        label = local_labels(len(own), at[0][there], at[1][there])
+        return p.select([asset, "cls", "id"]).take(pa.array(order)).append_column("component", pa.array(label.astype(np.int64)))
+
+    sides = _buckets([points, edges.select(F.col(asset).cast(kinds[asset]).alias(asset), "id", "nid")], [asset], rows)
+    return sides[0].groupBy("_b").cogroup(sides[1].groupBy("_b")).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (asset, "cls", "id")) + ", component long")
 
 
 def grow_patches(points: DataFrame, edges: DataFrame, asset: str, min_size: int, skip_class: int | None = None) -> DataFrame:
@@ -226,12 +326,19 @@ def grow_patches(points: DataFrame, edges: DataFrame, asset: str, min_size: int,
 
     Points have (asset, cls, id), ids are unique inside an asset.
     """
-    placed = cut(with_global_index(points.select(asset, "cls", "id"), [asset, "id"], "node"))
-    end = lambda c, name: placed.select(asset, F.col("id").alias(c), F.col("node").alias(name))
-    links = edges.select(asset, "id", "nid").join(end("id", "u"), [asset, "id"]).join(end("nid", "v"), [asset, "nid"])
-    found = connected_components(links, "u", "v")
-    p = placed.join(found, "node", "left")
-    p = p.withColumn("component", F.coalesce("component", "node"))
+    points, edges = points.select(asset, "cls", "id"), edges.select(asset, "id", "nid")
+    sizes = points.groupBy(asset).agg(F.count("*").alias("_n"))
+    many = (F.col("_n") > TASK_POINTS) | F.col(asset).isNull()
+    held, n_many = sizes.agg(F.sum(F.when(~many, F.col("_n"))), F.count_if(many)).first()
+    if not n_many:
+        p = _task_components(points, edges, asset, held or 1)
+    else:
+        large = cut(sizes.where(many).select(F.col(asset).alias("_a")))
+        same = F.col(asset).eqNullSafe(F.col("_a"))
+        p = _graph_components(points.join(large, same, "left_semi"), edges, asset)
+        if held:
+            p = p.unionByName(_task_components(points.join(large, same, "left_anti"), edges, asset, held))
+    p = cut(p)
     big = p.groupBy(asset, "cls", "component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     if skip_class is not None:
         big = big.where(F.col("cls") != skip_class)
@@ -242,36 +349,42 @@ def grow_patches(points: DataFrame, edges: DataFrame, asset: str, min_size: int,
 def _smallest_axis(*cov: Column) -> Column:
     """Least principal axis and its share, from the six covariances."""
 
-    @F.pandas_udf("struct<normal:array<double>, curvature:double>")
+    @F.pandas_udf("struct<x:double, y:double, z:double, curvature:double>")
     def axis(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.stack([np.stack([xx, xy, xz], 1), np.stack([xy, yy, yz], 1), np.stack([xz, yz, zz], 1)], 1).astype(float)
         good = np.isfinite(m).all(axis=(1, 2))
         value, vector = np.linalg.eigh(np.where(good[:, None, None], m, 0.0))
         total = np.maximum(value.sum(axis=1), 1e-12)
-        return pd.DataFrame({"normal": [v if g else None for v, g in zip(vector[:, :, 0].tolist(), good, strict=True)], "curvature": np.where(good, value[:, 0] / total, np.nan)})
+        found = np.where(good[:, None], np.column_stack([vector[:, :, 0], value[:, 0] / total]), np.nan)
+        return pd.DataFrame(found, columns=["x", "y", "z", "curvature"])
 
     return axis(*cov)
 
 
 def estimate_normals(points: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Least principal axis of each point's neighbours, curvature = its share; null with fewer than 3 points."""
-    n = points.select(*keys, F.col("id").alias("nid"), *XYZ)
+    """Least principal axis of each point's neighbours, curvature = its share; null with fewer than 3 points.
+
+    Neighbours' places are looked up where the pairs don't have them (``n_x, n_y, n_z``).
+    """
+    if not set(PLACE) <= set(pairs.columns):
+        n = points.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n_{a}") for a in XYZ])
+        pairs = pairs.join(n, [*keys, "nid"])
     names = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
-    cov = pairs.join(n, [*keys, "nid"]).groupBy(*keys, "id").agg(F.count("*").alias("k"), *[F.covar_samp(a, b).alias(a + b) for a, b in names])
+    cov = pairs.groupBy(*keys, "id").agg(F.count("*").alias("k"), *[F.covar_samp(f"n_{a}", f"n_{b}").alias(a + b) for a, b in names])
     axis = cov.withColumn("_a", _smallest_axis(*[F.col(a + b) for a, b in names]))
     few = F.col("k") < 3
-    return axis.select(*keys, "id", "k", F.when(~few, F.col("_a.normal")).alias("normal"), F.when(~few, F.col("_a.curvature")).alias("curvature"))
+    return axis.select(*keys, "id", "k", F.when(~few & F.col("_a.x").isNotNull(), F.array("_a.x", "_a.y", "_a.z")).alias("normal"), F.when(~few, F.col("_a.curvature")).alias("curvature"))
 
 
 def class_neighbours(points: DataFrame, asset: str, k: int, boundary: int | None = None, boundary_k: int | None = None) -> DataFrame:
     """Neighbour pairs for normals: points look at their own class of the asset, those of class ``boundary`` at all its points.
 
-    Ids are unique in an asset, so what follows goes by asset and id; ``cls`` is the point's.
+    Ids are unique in an asset, so what follows goes by asset and id; ``cls`` is the point's, ``n_x, n_y, n_z`` the neighbour's place.
     """
     if boundary is None:
-        return knn(points, [asset, "cls"], k)
-    own = knn(points.where(F.col("cls") != boundary), [asset, "cls"], k)
-    edge = grid_knn(points.where(F.col("cls") == boundary), points, [asset], max(boundary_k or k, 2))
+        return knn(points, [asset, "cls"], k, other=XYZ)
+    own = knn(points.where(F.col("cls") != boundary), [asset, "cls"], k, other=XYZ)
+    edge = grid_knn(points.where(F.col("cls") == boundary), points, [asset], max(boundary_k or k, 2), other=XYZ)
     return own.unionByName(edge.withColumn("cls", F.lit(boundary).cast(dict(points.dtypes)["cls"])))
 
 
@@ -280,7 +393,10 @@ def primitive_radius(points: DataFrame, pairs: DataFrame, keys: list[str], least
     j = with_attributes(pairs.where("nid <> id"), points, keys, ["normal"])
     angle = G.vector_angle("normal", "n_normal")
     chord = F.sqrt("d2") / (2 * F.sin(F.radians(angle) / 2))
-    return j.withColumn("a", angle).where(F.col("a") >= least_degrees).groupBy(*keys, "id").agg(F.percentile(chord, F.lit(0.5)).alias("radius"))
+    chords = j.withColumn("a", angle).where(F.col("a") >= least_degrees).groupBy(*keys, "id").agg(F.sort_array(F.collect_list(chord)).alias("_c"))
+    # lists of at most k: a percentile keeps a table of counts for each point
+    low, high = [F.get("_c", F.floor((F.size("_c") - i) / 2).cast("int")) for i in (1, 0)]
+    return chords.select(*keys, "id", F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("radius"))
 
 
 def refine_normals(points: DataFrame, pairs: DataFrame, keys: list[str], classes: tuple[int, ...], tolerance: float) -> DataFrame:
@@ -288,11 +404,11 @@ def refine_normals(points: DataFrame, pairs: DataFrame, keys: list[str], classes
     j = with_attributes(pairs, points, keys, ["radius"])
     known = F.col("radius").isNotNull() & F.col("n_radius").isNotNull()
     like = ~known | (F.abs(F.col("radius") - F.col("n_radius")) / F.greatest("radius", "n_radius", F.lit(1e-6)) <= tolerance)
-    chosen = j.where(like).select(*keys, "id", "nid", "d2", "r")
+    chosen = j.where(like).select(*keys, "id", "nid", "d2", "r", *[c for c in PLACE if c in pairs.columns])
     again = estimate_normals(points, chosen, keys).where("k >= 4").select(*keys, "id", F.col("normal").alias("_new"))
     out = points.join(again, [*keys, "id"], "left")
-    sign = F.when(G.dot("normal", "_new") < 0, -1.0).otherwise(1.0)
-    new = F.transform("_new", lambda x: x * sign)
+    sign = F.when(G.dot3("normal", "_new") < 0, -1.0).otherwise(1.0)
+    new = F.array(*[F.get("_new", F.lit(i)) * sign for i in range(3)])
     return out.withColumn("normal", F.when(F.col("cls").isin(*classes) & F.col("_new").isNotNull(), new).otherwise(F.col("normal"))).drop("_new")
 
 

@@ -16,7 +16,7 @@ from assetlake.operators import points as P
 from assetlake.operators import sampling as S
 from assetlake.operators import views as W
 from assetlake.operators import voxel as V
-from assetlake.session import cut, materialize
+from assetlake.session import cut, materialize, spread
 from assetlake.sources import files
 
 
@@ -162,6 +162,8 @@ def clean_cloud(samples: DataFrame, cfg: Cloud) -> DataFrame:
     Valid samples of each voxel, merged where voxels meet, numbered in each asset; normals
     from the class, at the boundary from all classes; refined on round classes.
     """
+    # what follows goes by asset, so one exchange is enough
+    samples = spread(samples, samples.count(), "asset")
     p = P.explode_samples(samples, cfg.step, ["asset", "voxel"], "slot", cfg.most)
     boundary = -1 if cfg.boundary is None else cfg.boundary
     p = P.merge_duplicates(p, cfg.step, "asset", boundary)
@@ -178,11 +180,8 @@ def clean_cloud(samples: DataFrame, cfg: Cloud) -> DataFrame:
 
 def match_cloud(cloud: DataFrame, truth: DataFrame) -> DataFrame:
     """Each valid point with the nearest true point of its asset and class: ``dist``, ``angle`` of the normals, ``face``."""
-    near = P.grid_knn(cloud.where("normal_valid"), truth, ["asset", "cls"], 1)
-    own = cloud.select("asset", "id", "normal")
-    other = truth.select("asset", "cls", F.col("id").alias("nid"), F.col("normal").alias("_t"), "face")
-    j = near.join(own, ["asset", "id"]).join(other, ["asset", "cls", "nid"])
-    return cut(j.select("asset", "cls", "id", "face", F.sqrt("d2").alias("dist"), G.vector_angle("normal", "_t").alias("angle")))
+    near = P.grid_knn(cloud.where("normal_valid"), truth, ["asset", "cls"], 1, own=("normal",), other=("normal", "face"))
+    return cut(near.select("asset", "cls", "id", F.col("n_face").alias("face"), F.sqrt("d2").alias("dist"), G.vector_angle("normal", "n_normal").alias("angle")))
 
 
 def grow_cloud(cloud: DataFrame, cfg: Cloud) -> DataFrame:

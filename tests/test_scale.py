@@ -141,3 +141,46 @@ def test_a_file_an_asset_in_folders_of_bounded_number(spark, tmp_path):
     assert sorted(p.name for p in files) == sorted(f"{i}.txt" for i in range(50)) and {p.read_text() for p in files} == {"done"}
     assert len({p.parent for p in files}) == 4
     assert D.write_files(rows.where("false"), str(tmp_path / "e")).count() == 0 and D.find_files(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_small_groups_are_compared_many_at_a_time(spark, monkeypatch):
+    random.seed(7)
+    rows = [(g, i, f"c{g}", float(random.randrange(3)), float(random.randrange(3)), random.random()) for g in range(40) for i in range(1 + g % 9)] + [(None, 1, "x", 0.0, 0.0, 0.0)]
+    rows += [(99, i, "big", random.random(), random.random(), random.random()) for i in range(90)]
+    p = spark.createDataFrame(rows, "g int, id long, name string, x double, y double, z double")
+    want = {}
+    for g, i, name, *a in rows:
+        near = sorted((sum((a[n] - b[n]) * (a[n] - b[n]) for n in range(3)), j) for h, j, _, *b in rows if h == g and g is not None)[:3]
+        want |= {(g, i, n + 1): (j, round(d, 12), name, name) for n, (d, j) in enumerate(near)}
+    for most in (4096, 70, 3):
+        monkeypatch.setattr(P, "TASK_GROUP", most)
+        near = P.knn(p, ["g"], 3, own=("name",), other=("name",))
+        assert {(r.g, r.id, r.r): (r.nid, round(r.d2, 12), r["name"], r.n_name) for r in near.collect()} == want, most
+        text = plan(near)
+        assert "FlatMapCoGroupsInArrow" in text and (most < 4096 or "Window" not in text)
+
+
+def test_patches_are_joined_by_tasks_or_as_a_graph(spark, monkeypatch):
+    random.seed(8)
+    sizes = {a: 5 + 12 * (a % 3) for a in range(12)}
+    points = spark.createDataFrame([(a, i % 2, i * 7) for a, n in sizes.items() for i in range(n)], "asset int, cls int, id long")
+    links = [(a, i * 7, (i + 2 * random.randrange(1, 4)) * 7) for a, n in sizes.items() for i in range(n) if random.random() < 0.6]
+    edges = spark.createDataFrame(links, "asset int, id long, nid long")  # some end at no point
+    got = []
+    for most in (200_000, 20, 0):
+        monkeypatch.setattr(P, "TASK_POINTS", most)
+        got.append(sorted(map(tuple, P.grow_patches(points, edges, "asset", 3, 1).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == sum(sizes.values()) and max(r[3] for r in got[0]) > 0
+    used = []
+    monkeypatch.setattr(P, "TASK_POINTS", 200_000)
+    monkeypatch.setattr(P, "connected_components", lambda *a: used.append(a))
+    P.grow_patches(points, edges, "asset", 3, 1).collect()
+    assert not used
+
+
+def test_samples_are_dealt_out_once(spark):
+    p = spark.createDataFrame([(1, 0, s, s % 2, s // 4 * 1.0, 0.0, 0.0) for s in range(12)] + [(1, None, 20, 1, 0.0, 0.0, 0.0), (1, 5, 21, 1, float("nan"), 0.0, 0.0), (1, 5, 22, 1, None, 0.0, 0.0)], "asset int, voxel int, slot int, cls int, x double, y double, z double")
+    dealt = p.repartition(3, "asset")
+    assert plan(P.merge_duplicates(P.explode_samples(dealt, 1e-3, ["asset", "voxel"], "slot", 9.0), 1e-3, "asset")).count("Exchange") == 1
+    got = {r.qx: (r.source_count, r.cls, r.voxel) for r in P.merge_duplicates(P.valid_points(p, 9.0), 1e-3, "asset").collect()}
+    assert got == {0: (5, 1, 0), 1000: (4, 1, 0), 2000: (4, 1, 0)}

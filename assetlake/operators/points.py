@@ -146,19 +146,26 @@ def _numbers(tables: list[pa.Table], keys: list[str]) -> list[np.ndarray]:
     return np.split(code, np.cumsum([len(t) for t in tables])[:-1])
 
 
-def _task_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, rows: int, own: tuple[str, ...], other: tuple[str, ...]) -> DataFrame:
-    """``grid_knn`` of groups that one task can hold, many of them at a time."""
+def _task_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, rows: int, own: tuple[str, ...], other: tuple[str, ...], far: bool) -> DataFrame:
+    """``grid_knn`` of groups that one task can hold, many of them at a time; ``far`` is for a table and itself."""
     kinds, theirs = dict(query.dtypes), dict(ref.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*keys, "id")] + [f"nid {theirs['id']}, d2 double, r int"] + [f"`{c}` {kinds[c]}" for c in own] + [f"`n_{c}` {theirs[c]}" for c in other])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*keys, "id")] + [f"nid {theirs['id']}, d2 double, r int"] + [f"`{c}` {kinds[c]}" for c in own] + [f"`n_{c}` {theirs[c]}" for c in other] + ["far double, n_far double"] * far)
 
     def run(q: pa.Table, r: pa.Table) -> pa.Table:
         qg, rg = _numbers([q, r], keys)
-        r = r.append_column("_g", pa.array(rg)).sort_by([("_g", "ascending"), ("id", "ascending")])
+        in_order = lambda t, g: t.append_column("_g", pa.array(g)).sort_by([("_g", "ascending"), ("id", "ascending")])
+        r = in_order(r, rg)
+        if far:  # both sides have the same rows
+            q, qg = in_order(q, qg), np.sort(qg)
         places = [np.stack([t.column(a).to_numpy() for a in XYZ], axis=1).astype(float) for t in (q, r)]
         at, near, d2, rank = _nearest_in_groups(places[0], qg, places[1], r.column("_g").to_numpy(), k)
         mine, found = q.select([*keys, "id", *own]).take(pa.array(at)), r.select(list(dict.fromkeys(["id", *other]))).take(pa.array(near))
         columns = [*(mine.column(c) for c in (*keys, "id")), found.column("id"), pa.array(d2), pa.array(rank.astype(np.int32)), *(mine.column(c) for c in own), *(found.column(c) for c in other)]
-        return pa.Table.from_arrays(columns, [*keys, "id", "nid", "d2", "r", *own, *(f"n_{c}" for c in other)])
+        if far:
+            most = np.full(len(q), -np.inf)
+            np.maximum.at(most, at, d2)
+            columns += [pa.array(most[at]), pa.array(most[near])]
+        return pa.Table.from_arrays(columns, [*keys, "id", "nid", "d2", "r", *own, *(f"n_{c}" for c in other), *(("far", "n_far") if far else ())])
 
     # columns get names of their own, for query and ref may be one table
     wanted = [list(dict.fromkeys((*keys, "id", *XYZ, *c))) for c in (own, other)]
@@ -167,7 +174,7 @@ def _task_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, rows: i
     return q.cogroup(r).applyInArrow(run, schema)
 
 
-def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int = 48, own: tuple[str, ...] = (), other: tuple[str, ...] = ()) -> DataFrame:
+def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int = 48, own: tuple[str, ...] = (), other: tuple[str, ...] = (), far: bool = False) -> DataFrame:
     """Exact k nearest of ``ref`` for each point of ``query`` inside the same keys.
 
     Both have ``id, x, y, z``. Candidates come from the 27 grid cells around the
@@ -179,12 +186,17 @@ def grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_roun
     groups of more than ``TASK_GROUP`` points or queries: those of a group that is no larger
     are compared by one task, which takes many groups at a time, and many queries of few points
     are joined. Columns: keys, id, nid, d2, r (1-based, ties by nid), the query's columns
-    ``own`` and the neighbour's columns ``other`` as ``n_<name>``. Query points whose keys have
-    no reference point have no row.
+    ``own`` and the neighbour's columns ``other`` as ``n_<name>``, and with ``far``, for a table
+    and itself, the ``d2`` of the last neighbour of both ends as ``far`` and ``n_far``. Query
+    points whose keys have no reference point have no row.
     """
-    local, rest = _grid_knn(query, ref, keys, k, max_rounds, own, other)
+    local, rest = _grid_knn(query, ref, keys, k, max_rounds, own, other, far)
     if rest:
-        local.append(_with_columns(reduce(DataFrame.unionByName, rest), query, ref, keys, own, other))
+        pairs = _with_columns(reduce(DataFrame.unionByName, rest), query, ref, keys, own, other)
+        if far:
+            last = pairs.groupBy(*keys, "id").agg(F.max("d2").alias("far"))
+            pairs = with_attributes(pairs, last, keys, ["far"])
+        local.append(pairs)
     return reduce(DataFrame.unionByName, local)
 
 
@@ -196,7 +208,7 @@ def _with_columns(pairs: DataFrame, query: DataFrame, ref: DataFrame, keys: list
     return pairs
 
 
-def _grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int, own: tuple[str, ...], other: tuple[str, ...]) -> tuple[list[DataFrame], list[DataFrame]]:
+def _grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rounds: int, own: tuple[str, ...], other: tuple[str, ...], far: bool) -> tuple[list[DataFrame], list[DataFrame]]:
     """The answers of groups that one task compares, with the columns asked for, and those of the other groups without."""
     w = Window.partitionBy(*keys, "id")
 
@@ -214,7 +226,7 @@ def _grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rou
     local, done = [], []
     if held or not (n_few or n_large):
         pick = (lambda df: df.join(groups(fits), keys, "left_semi")) if n_few or n_large else (lambda df: df)
-        local.append(_task_knn(pick(query), pick(ref), keys, k, held or 1, own, other))
+        local.append(_task_knn(pick(query), pick(ref), keys, k, held or 1, own, other, far))
     first = ref.select(*keys, F.col("id").alias("nid"), *[F.col(a).alias(f"n{a}") for a in XYZ])
     query = query.select(*keys, "id", *XYZ)
     if n_few:
@@ -253,9 +265,9 @@ def _grid_knn(query: DataFrame, ref: DataFrame, keys: list[str], k: int, max_rou
     return local, done
 
 
-def knn(points: DataFrame, keys: list[str], k: int, own: tuple[str, ...] = (), other: tuple[str, ...] = ()) -> DataFrame:
+def knn(points: DataFrame, keys: list[str], k: int, own: tuple[str, ...] = (), other: tuple[str, ...] = (), far: bool = False) -> DataFrame:
     """k nearest including the point itself, k at least 2 and at most the number of points."""
-    return grid_knn(points, points, keys, max(k, 2), own=own, other=other)
+    return grid_knn(points, points, keys, max(k, 2), own=own, other=other, far=far)
 
 
 def local_scale(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -278,17 +290,15 @@ def patch_edges(points: DataFrame, keys: list[str], k: int, radius_scale: float,
     both tests are skipped when either value is missing.
     """
     seen = ("normal", "curvature", "radius", "vx", "vy", "vz")
-    j = knn(points, keys, k, own=seen, other=seen)
+    j = knn(points, keys, k, own=seen, other=seen, far=True).where("nid > id")
     gap = F.greatest(*[F.abs(F.col(a) - F.col(f"n_{a}")) for a in ("vx", "vy", "vz")])
     both = lambda a: F.col(a).isNotNull() & F.col(f"n_{a}").isNotNull() & ~F.isnan(a) & ~F.isnan(f"n_{a}")
     bend = (F.col("cls") != curvature[0]) | ~both("curvature") | (F.abs(F.col("curvature") - F.col("n_curvature")) <= curvature[1])
     rel = F.abs(F.col("radius") - F.col("n_radius")) / F.greatest("radius", "n_radius", F.lit(1e-6))
     round_ = ~F.col("cls").isin(*radius[0]) | ~both("radius") | (rel <= radius[1])
-    ok = (F.col("nid") > F.col("id")) & (gap <= voxel_gap) & (G.vector_angle("normal", "n_normal") <= angle) & bend & round_
-    pairs = cut(j.select(*keys, "id", "nid", "d2", ok.alias("_ok")))
-    # the radius is that of the wider of two points, so it needs all neighbours of both
-    near = with_attributes(pairs.where("_ok"), local_scale(pairs, keys), keys, ["scale"])
-    return near.where(F.sqrt("d2") <= F.greatest("scale", "n_scale") * radius_scale).select(*keys, "id", "nid")
+    scale = F.greatest(F.sqrt(F.greatest("far", "n_far")), F.lit(1e-6))
+    ok = (F.sqrt("d2") <= scale * radius_scale) & (gap <= voxel_gap) & (G.vector_angle("normal", "n_normal") <= angle)
+    return j.where(ok & bend & round_).select(*keys, "id", "nid")
 
 
 def _graph_components(points: DataFrame, edges: DataFrame, asset: str) -> DataFrame:

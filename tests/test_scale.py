@@ -154,8 +154,11 @@ def test_small_groups_are_compared_many_at_a_time(spark, monkeypatch):
         want |= {(g, i, n + 1): (j, round(d, 12), name, name) for n, (d, j) in enumerate(near)}
     for most in (4096, 70, 3):
         monkeypatch.setattr(P, "TASK_GROUP", most)
-        near = P.knn(p, ["g"], 3, own=("name",), other=("name",))
-        assert {(r.g, r.id, r.r): (r.nid, round(r.d2, 12), r["name"], r.n_name) for r in near.collect()} == want, most
+        near = P.knn(p, ["g"], 3, own=("name",), other=("name",), far=True)
+        found = near.collect()
+        assert {(r.g, r.id, r.r): (r.nid, round(r.d2, 12), r["name"], r.n_name) for r in found} == want, most
+        last = {(r.g, r.id): r.d2 for r in sorted(found, key=lambda r: r.r)}
+        assert all((r.far, r.n_far) == (last[r.g, r.id], last[r.g, r.nid]) for r in found)
         text = plan(near)
         assert "FlatMapCoGroupsInArrow" in text and (most < 4096 or "Window" not in text)
 
